@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_sharding": sharding.op5_sharding,
     }
 
@@ -15,4 +16,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op4_url_filter": url_filter.SQL,
     }
