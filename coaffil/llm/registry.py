@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, sharding, simhash, url_filter
+from . import exact_dedup, packing, pii, sharding, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sharding": sharding.op5_sharding,
+        "op7_packing": packing.op7_packing,
         "op8_pii": pii.op8_pii,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
