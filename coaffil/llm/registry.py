@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, sharding, simhash, url_filter
+from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_embedding_near_dedup": embedding.op3_embedding_near_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sharding": sharding.op5_sharding,
         "op7_packing": packing.op7_packing,
         "op8_pii": pii.op8_pii,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
