@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, url_filter
+from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_embedding_near_dedup": embedding.op3_embedding_near_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sharding": sharding.op5_sharding,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_packing": packing.op7_packing,
         "op8_pii": pii.op8_pii,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
