@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import land
 from .words import _ALPHABET, id_lookup, load
@@ -135,7 +136,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 
     rows = rows.drop("decoded")
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, rows.schema.add("decoded", T.StringType()))
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

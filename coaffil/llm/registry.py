@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, suffix_dedup, url_filter
+from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_embedding_near_dedup": embedding.op3_embedding_near_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sharding": sharding.op5_sharding,
