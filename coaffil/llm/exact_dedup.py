@@ -56,6 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             f" i -> substring(cast(text as binary), i * {block_bytes} + 1, {block_bytes}))"
         ).alias("blocks"),
     )
+    cut = land(cut)  # read twice below; normalising costs more than the file
     blocks = cut.select("doc_id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     blocks = blocks.withColumn("h", F.shiftrightunsigned(F.xxhash64("block"), 64 - hash_bits) if hash_bits < 64 else F.xxhash64("block"))
 

@@ -6,6 +6,8 @@ from . import bpe, embedding, exact_dedup, packing, pii, sharding, simhash, suff
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_bpe": bpe.op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
