@@ -1,0 +1 @@
+"""plans of the network and contrast analytics."""

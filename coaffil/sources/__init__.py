@@ -1,0 +1 @@
+"""sources of the network and contrast analytics."""

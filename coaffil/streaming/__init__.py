@@ -1,0 +1 @@
+"""streaming of the network and contrast analytics."""
