@@ -22,7 +22,7 @@ def hash_uniform(*parts: Column) -> Column:
 
 def split_multivalue(c: Column) -> Column:
     """Parts of a comma-joined list, trimmed, blanks dropped; null gives the empty array."""
-    return F.coalesce(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def parse_bool(c: Column) -> Column:
