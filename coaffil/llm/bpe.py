@@ -136,7 +136,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 
     rows = rows.drop("decoded")
-    return rows.mapInArrow(run, rows.schema.add("decoded", T.StringType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

@@ -107,7 +107,8 @@ def voted(docs: DataFrame, lexicon: list[str]) -> DataFrame:
                 [*(batch.schema.names[k] for k in keep), "votes", "terms"],
             )
 
-    return docs.mapInArrow(run, docs.drop("text").schema.add("votes", T.IntegerType()).add("terms", T.ArrayType(T.IntegerType())))
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("votes", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
 
 
 class LabelModel:
