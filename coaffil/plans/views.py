@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import geo as geo_ops
+from ..operators import network
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 
@@ -86,16 +90,17 @@ def for_duckdb(sql: str) -> str:
     return _marks(sql, "PCT", lambda x: "quantile_cont({}, {})".format(*x.rsplit("~", 1)))
 
 
-def needed(sql: str) -> list[str]:
-    """Views that the text names, directly or through others, in order of definition."""
+def needed(sql: str, stop: tuple[str, ...] = ()) -> list[str]:
+    """Views that the text names, directly or through others but not through those of ``stop``, in order of definition."""
     found: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for name, body in VIEWS.items():
-            if name not in found and re.search(rf"\b{name}\b", text):
+            if name not in found and re.search(rf"\b(FROM|JOIN) {name}\b", text):
                 found.add(name)
-                todo.append(body)
+                if name not in stop:
+                    todo.append(body)
     return [n for n in VIEWS if n in found]
 
 
@@ -109,17 +114,39 @@ def with_views(sql: str) -> str:
     return for_duckdb(sql)
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo_ops.nearest_anchor(spark_view(spark, sf_dir, "raw_geo"), spark_view(spark, sf_dir, "anchors"), "raw", 1.5e6)
+
+
+def _counts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark_view(spark, sf_dir, "raw_geo").where("lat is not null")
+    near = geo_ops.within_radius(raw, spark_view(spark, sf_dir, "points"), "raw", "point", 1e6)
+    near = near.groupBy("raw").agg(F.count("*").alias("around"), F.min("distance").alias("nearest"))
+    return raw.select("raw").join(near, "raw", "left").na.fill(0, ["around"])
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.coaffil_edges(spark_view(spark, sf_dir, "affil"), "paper", "std")
+
+
+#: Views that Spark takes from the operators: no brute-force pairs there, unlike in the text that DuckDB runs.
+FROM_OPERATORS = {"matches": _matches, "counts_raw": _counts_raw, "edges": _edges}
+
+
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The same text on Spark: given tables by path, views inlined by Catalyst."""
-    text = sql
-    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed(sql))
-    body = text.strip()
+    """The text on Spark: given tables by path, plain views inlined for Catalyst, the others from the operators."""
+    names = needed(sql, tuple(FROM_OPERATORS))
+    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names if n not in FROM_OPERATORS)
+    body = sql.strip()
     if views:
-        body = f"WITH {views}, {body[4:]}" if body.upper().startswith("WITH") and not body.upper().startswith("WITH RECURSIVE") else f"WITH {views} {body}"
+        body = f"WITH {views}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {views} {body}"
     body = for_spark(body)
     for t in TABLES:
         body = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", body)
-    return spark.sql(body)
+    frames = {n: FROM_OPERATORS[n](spark, sf_dir) for n in names if n in FROM_OPERATORS}
+    for n in frames:
+        body = re.sub(rf"\b(FROM|JOIN) {n}\b( (?!ON\b|JOIN\b|LEFT\b|WHERE\b|GROUP\b|CROSS\b)[a-z]\w*)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ' ' + n}", body)
+    return spark.sql(body, **frames)
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
