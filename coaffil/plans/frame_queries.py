@@ -232,6 +232,20 @@ def betweenness_pivots(spark, d):
     return network.betweenness(edges, network.checkpointed(pivots))
 
 
+@query(None)
+def betweenness_seed_stability(spark, d):
+    """Mean centrality by arm for two pivot seeds."""
+    edges = network.checkpointed(network.coaffil_edges(spark_view(spark, d, "affil"), "paper", "raw"))
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    label = spark_view(spark, d, "matches").select(F.col("raw").alias("id"), "near")
+    found = None
+    for seed in (1, 2):
+        pivots = network.checkpointed(nodes.orderBy(X.hash_uniform(F.col("id"), F.lit(seed)), "id").limit(4))
+        g = network.betweenness(edges, pivots).join(label, "id").groupBy("near").agg(F.avg("betweenness").alias("mean")).withColumn("seed", F.lit(seed))
+        found = g if found is None else found.unionByName(g)
+    return found
+
+
 @query(f"""SELECT k.raw, k.c5, k.c2, k.c5 >= k.c2 AS plausible FROM (SELECT m.raw, count(*) FILTER (WHERE {dist('m', 'p')} <= 2e6) AS c5, count(*) FILTER (WHERE {dist('m', 'p')} <= 1e6) AS c2 FROM matches m CROSS JOIN points p GROUP BY m.raw) k""")
 def radius_monotonic_check(spark, d):
     raw, points = spark_view(spark, d, "raw_geo").where("lat is not null"), spark_view(spark, d, "points")

@@ -22,8 +22,8 @@ def corr(x: str, y: str) -> str:
 def mann_whitney_sql(source: str, group: str = "") -> str:
     g, by, on = (f"{group}, ", f"PARTITION BY {group} ", f"GROUP BY {group}") if group else ("", "", "")
     return f"""
-    SELECT {g}n1, n0, {R('u')} AS u, {R('2 * u / (n1 * n0) - 1')} AS r, {R('u / (n1 * n0)')} AS cles,
-      {R('(u - n1 * n0 / 2e0) / sqrt(n1 * n0 / 12e0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1e0))))')} AS z
+    SELECT {g}n1, n0, {R('u')} AS u, {R('2 * u / nullif(n1 * n0, 0) - 1')} AS r, {R('u / nullif(n1 * n0, 0)')} AS cles,
+      {R('(u - n1 * n0 / 2e0) / nullif(sqrt(n1 * n0 / 12e0 * ((n1 + n0 + 1) - ties / (nullif((n1 + n0) * (n1 + n0 - 1e0), 0e0))), 0e0)')} AS z
     FROM (SELECT {g}CAST(sum(arm) AS BIGINT) AS n1, CAST(sum(1 - arm) AS BIGINT) AS n0,
         sum(CASE WHEN arm = 1 THEN rk ELSE 0e0 END) - CAST(sum(arm) AS DOUBLE) * (sum(arm) + 1) / 2e0 AS u,
         sum(CAST(peers AS DOUBLE) * peers - 1e0) AS ties
@@ -159,4 +159,10 @@ SQL: dict[str, str] = {
         g AS (SELECT rep, ln((sum(times * y) FILTER (WHERE treated = 1) / sum(times) FILTER (WHERE treated = 1)) / (sum(times * y) FILTER (WHERE treated = 0) / sum(times) FILTER (WHERE treated = 0))) AS b0,
           ln((sum(times * y) FILTER (WHERE treated = 1 AND kept) / sum(times) FILTER (WHERE treated = 1 AND kept)) / (sum(times * y) FILTER (WHERE treated = 0 AND kept) / sum(times) FILTER (WHERE treated = 0 AND kept))) AS b1 FROM x GROUP BY rep)
         SELECT rep, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b0 - b1, 5) AS log_difference FROM g""",
+    "cluster_bootstrap_diff": f"""WITH base AS (SELECT std, treated, degree, row_number() OVER (ORDER BY std) - 1 AS i, count(*) OVER () AS size FROM frame),
+        d AS (SELECT s.rep, b.std, b.treated, b.degree FROM (SELECT r.rep, least(floor(x.size * {uniform('x.i', 'r.rep', '41')}), x.size - 1) AS pick FROM base x CROSS JOIN {REPS} r WHERE r.rep <= 5) s JOIN base b ON b.i = s.pick),
+        link AS (SELECT affil.raw, min(f.std) AS std FROM affil JOIN frame f ON f.std = affil.std GROUP BY affil.raw),
+        naive AS (SELECT m.raw, CASE WHEN m.near THEN 1 ELSE 0 END AS treated, count(DISTINCT b.raw) AS degree FROM matches m JOIN (SELECT DISTINCT paper, raw FROM affil) a ON a.raw = m.raw JOIN (SELECT DISTINCT paper, raw FROM affil) b ON b.paper = a.paper AND b.raw <> a.raw GROUP BY m.raw, m.near),
+        t AS (SELECT rep * 2 AS scheme, treated AS arm, degree AS v FROM d UNION ALL SELECT d.rep * 2 + 1, n.treated, n.degree FROM d JOIN link ON link.std = d.std JOIN naive n ON n.raw = link.raw)"""
+    + mann_whitney_sql("t", "scheme"),
 }
