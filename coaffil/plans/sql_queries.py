@@ -23,7 +23,7 @@ def mann_whitney_sql(source: str, group: str = "") -> str:
     g, by, on = (f"{group}, ", f"PARTITION BY {group} ", f"GROUP BY {group}") if group else ("", "", "")
     return f"""
     SELECT {g}n1, n0, {R('u')} AS u, {R('2 * u / nullif(n1 * n0, 0) - 1')} AS r, {R('u / nullif(n1 * n0, 0)')} AS cles,
-      {R('(u - n1 * n0 / 2e0) / nullif(sqrt(n1 * n0 / 12e0 * ((n1 + n0 + 1) - ties / (nullif((n1 + n0) * (n1 + n0 - 1e0), 0e0))), 0e0)')} AS z
+      {R('(u - n1 * n0 / 2e0) / nullif(sqrt(n1 * n0 / 12e0 * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1e0), 0e0))), 0e0)')} AS z
     FROM (SELECT {g}CAST(sum(arm) AS BIGINT) AS n1, CAST(sum(1 - arm) AS BIGINT) AS n0,
         sum(CASE WHEN arm = 1 THEN rk ELSE 0e0 END) - CAST(sum(arm) AS DOUBLE) * (sum(arm) + 1) / 2e0 AS u,
         sum(CAST(peers AS DOUBLE) * peers - 1e0) AS ties
