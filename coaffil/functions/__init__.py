@@ -49,7 +49,7 @@ def label_fallback(labels: Column, ident: Column, langs: tuple[str, ...] = ("en"
 
 def coord_key(lat: Column, lon: Column, places: int = 4) -> Column:
     """Bucket key: both coordinates rounded half-even, joined by an underscore."""
-    return F.concat_ws("_", *[F.format_number(F.bround(x, places), f"0.{'0' * places}") for x in (lat, lon)])
+    return F.concat_ws("_", *[F.format_string(f"%.{places}f", F.bround(x, places)) for x in (lat, lon)])
 
 
 def keyword_flag(c: Column, words: list[str]) -> Column:

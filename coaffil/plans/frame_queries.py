@@ -184,8 +184,7 @@ def label_fallback(spark, d):
 
 @query("SELECT point, concat(printf('%.4f', round_even(lat, 4)), '_', printf('%.4f', round_even(lon, 4))) AS key FROM points")
 def coord_key(spark, d):
-    rounded = [F.format_string("%.4f", F.bround(F.col(c), 4)) for c in ("lat", "lon")]
-    return spark_view(spark, d, "points").select("point", F.concat_ws("_", *rounded).alias("key"))
+    return spark_view(spark, d, "points").select("point", X.coord_key(F.col("lat"), F.col("lon")).alias("key"))
 
 
 @query(None)
