@@ -155,8 +155,10 @@ def _tree_sql(x: str, start: float, trees: list) -> str:
 
 def fit(scanned: DataFrame, precision: float = 0.9) -> tuple[float, list, dict[int, float]]:
     """Start score, trees and the threshold of each kind, from counts over all base candidates."""
-    rows = scanned.select(F.expr(f"transform(_raw, x -> named_struct('f', {_features('x')}, 'y', int(exists(_base, b -> b.kind = x.kind and b.s = x.s))))").alias("c"))
-    counts = rows.select(F.explode("c").alias("c")).groupBy("c.f").agg(F.count("*").alias("n"), F.sum("c.y").alias("pos"))
+    # Exploded first: a generator keeps the optimiser from copying the scans into every feature.
+    rows = scanned.select(F.explode("_raw").alias("x"), "_base")
+    rows = rows.select(F.expr(_features("x")).alias("f"), F.expr("int(exists(_base, b -> b.kind = x.kind and b.s = x.s))").alias("y"))
+    counts = rows.groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     # At most 4 * 7 * 7 * 5 * 5 * 2 combinations, whatever the corpus.
     table = sorted((tuple(r.f), float(r.n), float(r.pos)) for r in counts.collect())
     if not table:
