@@ -10,6 +10,7 @@ first one of its local component, so dense groups cost rows in proportion to the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,16 +239,130 @@ def near_links(distinct: DataFrame, words: int, budget: int, part_bits: int | No
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined, "u long, v long")
 
 
+def common_shingles(texts: DataFrame, k: int, most: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in ``least`` or more of about ``most`` sampled texts, in order, and their counts.
+
+    They only shape the order in which ``signatures`` takes shingles; any order finds the same pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text.as_py(), k)) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+    step = -(-max(1, texts.count()) // most)
+    rows = texts.where(F.pmod("id", F.lit(step)) == 0).select("text").mapInArrow(run, "shingle long")
+    rows = rows.groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(1 << 16).collect()
+    shingles = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def signatures(texts: DataFrame, k: int, words: int, distinct: bool, similarity: float) -> DataFrame:
+    """(doc_id, id, fp, n, prefix) of rows (doc_id, id, text): n different shingles, and the first of them in one fixed order.
+
+    Two sets of Jaccard similarity ``similarity`` share at least that part of the larger one, so the
+    first n - ceil(similarity * n) + 1 of both have a shingle in common.  Common shingles come last.
+    """
+    common, counts = common_shingles(texts, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, prefixes = [], [], []
+            for text in batch.column(2):
+                h = shingle_hashes(text.as_py(), k)
+                one = np.unique(h)
+                fps.append(fingerprint(one if distinct else h, words))
+                n = len(one)
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common, one), len(common) - 1)
+                    one = one[np.lexsort((one, np.where(common[at] == one, counts[at], 0)))]
+                sizes.append(n)
+                prefixes.append(one[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "id", "fp", "n", "prefix"],
+            )
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "id", "text").mapInArrow(run, f"doc_id {kind}, id long, fp binary, n long, prefix array<long>")
+
+
+def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v) of rows (shingle, id, n, component) of equal shingle, other components and fitting sizes."""
+
+    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((n, cell))
+        cell, ids, n, component = cell[order], ids[order], n[order], component[order]
+        new = np.append(True, cell[1:] != cell[:-1])
+        starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+        mixed = (np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts))[number]
+        ids, n, component, number = ids[mixed], n[mixed], component[mixed], number[mixed]
+        key = (number << 32) + n
+        count = np.searchsorted(key, (number << 32) + np.floor(n / similarity + 1e-6).astype(np.int64), "right") - np.arange(len(key)) - 1
+        for part in _parts(count):
+            i, off = _expanded(count[part])
+            i = i + part.start
+            j = i + 1 + off
+            apart = component[i] != component[j]
+            i, j = ids[i[apart]], ids[j[apart]]
+            both = np.unique(np.column_stack([np.minimum(i, j), np.maximum(i, j)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            if held[0][0][0] == held[-1][0][-1] or sum(len(h[0]) for h in held) < 40_000:
+                continue
+            all_ = [np.concatenate(x) for x in zip(*held)]
+            whole = np.searchsorted(all_[0], all_[0][-1])  # the last cell may go on in the next batch
+            yield from pairs(*(x[:whole] for x in all_))
+            held = [[x[whole:] for x in all_]]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+    rows = cells.select("shingle", "id", "n", "component").repartition("shingle").sortWithinPartitions("shingle")
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of text ids whose k-word shingle sets have the Jaccard similarity or more; two empty sets are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                a, b = (np.unique(shingle_hashes(x.as_py(), k)) for x in (one, other))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                either = len(a) + len(b) - shared
+                keep.append(not either or shared / either >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    found = land(texts.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    # By v first: v is the root of many; the texts are then dealt by u.
+    rows = pairs.join(found.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    rows = rows.join(found.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1, budget: int = 4,
-    distinct: bool = False, part_bits: int | None = None, parts: int | None = None,
+    distinct: bool = False, part_bits: int | None = None, parts: int | None = None, similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, fp (binary), component_id (smallest id reachable through links).
 
     Rows of equal fingerprint are one vertex; a text without words has fingerprint zero and is
-    linked like any other.  A component whose ids are all null has a null component_id; null ids
-    otherwise take part as members.  Repeated rows stay.  Other columns are ignored.
+    linked like any other.  With ``similarity`` links are the pairs of that Jaccard similarity of
+    k-word shingle sets, whatever their fingerprints.  A component whose ids are all null has a null
+    component_id; null ids otherwise take part as members.  Repeated rows stay.  Other columns are
+    ignored.
     """
+    if similarity is not None:
+        return _similar(docs, id_col, text_col, k, words, budget, distinct, part_bits, parts, similarity)
     rows = land(fingerprints(docs, id_col, text_col, k, words, distinct))
     ident = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", ident)
@@ -258,10 +373,37 @@ def near_dedup(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: five-word shingles, similarity 0.8.  At that Jaccard similarity 77.5 of 512 bits differ
-#: on average (standard deviation 8.1): 90 keep 94 of 100 such pairs, and 30 parts of 12 bits meet 99.
-#: At a similarity of 0.85 nothing is lost; one pair in six at 0.7 is taken too, none at 0.6.
-NEAR_COPIES = {"k": 5, "words": 8, "budget": 90, "distinct": True, "part_bits": 12, "parts": 30}
+def _similar(
+    docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, distinct: bool, part_bits: int | None, parts: int | None, similarity: float,
+) -> DataFrame:
+    """``near_dedup`` by verified pairs only; different texts are the vertices, named by a hash.
+
+    The fingerprints' links, verified, join dense groups at few rows.  Pairs of what is still apart
+    that share a shingle of their prefixes are then verified, so no pair is missed.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    rows = land(signatures(texts, k, words, distinct, similarity))
+    one = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    same = rows.select("fp", F.col("id").alias("u")).distinct().join(one.withColumnRenamed("id", "v"), "fp").where("u != v").select("u", "v")
+    links = land(near_links(one, words, budget, part_bits, parts).unionByName(same).distinct())
+    links = land(verified(links, texts, k, similarity))
+
+    group = components(links)
+    cells = rows.select("id", "n", "prefix").dropDuplicates(["id"]).join(group, "id", "left")
+    cells = cells.select(F.explode("prefix").alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"))
+    more = land(sharing_pairs(cells, similarity))
+    links = land(links.unionByName(verified(more, texts, k, similarity)))
+
+    one = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = one.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = one.join(least, "component").select("id", "component_id")
+    return rows.join(named, "id").select("doc_id", "fp", "component_id")
+
+
+#: Near copies: five-word shingles, Jaccard similarity 0.8, verified.  At that similarity 77.5 of 512 bits
+#: differ on average (standard deviation 8.1): 90 propose 94 of 100 such pairs, and 30 parts of 12 bits
+#: meet 99; the others are found by their shingles.
+NEAR_COPIES = {"k": 5, "words": 8, "budget": 90, "distinct": True, "part_bits": 12, "parts": 30, "similarity": 0.8}
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -146,6 +146,34 @@ def test_near_copies_at_similarity_08_are_found(spark):
     assert sum(got[p + 1] == p for p in pairs) >= 57 and all(got[p] == p for p in pairs)
 
 
+def test_near_copies_equal_brute_force_below_08_and_on_short_texts(spark):
+    r = random.Random(12)
+    rows = [(900, ""), (901, None), (902, "  "), (903, "two words"), (904, "Two  words"), (905, "two other")]
+    for k in range(150):
+        w = words(r.randint(5, 20), 500 + k).split()
+        rows += [(4 * k, " ".join(w)), (4 * k + 1, " ".join([*w, "more"])), (4 * k + 2, " ".join(["changed", *w[1:]]))]
+    rows = [(i + 1000, t) for i, t in rows]
+    for k in range(20):  # similarity 0.75 to 0.78: not copies
+        w = words(100, 700 + k).split()
+        rows.append((5000 + 2 * k, " ".join(w)))
+        for at in r.sample(range(5, 95), 3):
+            w[at] = "changed"
+        rows.append((5001 + 2 * k, " ".join(w)))
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {x: min(i for (i, _), y in zip(rows, label) if y == x) for x in set(label)}
+    got = {x.doc_id: x.component_id for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.NEAR_COPIES).collect()}
+    assert got == {i: least[x] for (i, _), x in zip(rows, label)}
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 16))
