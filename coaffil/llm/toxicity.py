@@ -30,6 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 PREFIXES = (4, 5, 6)
 LEXICONS = 8  # mined voters
+LEAST = 3  # texts in which a term must stand
 VOTERS = LEXICONS + 3  # and the fixed lexicon, shouting, exclamation marks
 
 
@@ -67,17 +68,18 @@ def term_counts(labelled: DataFrame, flush: int = 1 << 18) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def mine(counts: DataFrame, n_toxic: int, n_clean: int, most: int = 4096, least: int = 3) -> list[str]:
-    """At most ``most`` terms whose smoothed precision among balanced classes is 0.95 or more, best first.
+def mine(counts: DataFrame, n_toxic: int, n_clean: int, most: int = 1 << 18, least: int = LEAST) -> dict[str, float]:
+    """At most ``most`` terms whose smoothed precision among balanced classes is 0.95 or more, best first, with its log odds.
 
     A term must stand in ``least`` toxic texts; the commonest win.
     """
     if not n_toxic:
-        return []
-    ratio = F.lit(n_toxic / max(1, n_clean))
-    precise = (F.col("toxic") + 0.1) / (F.col("toxic") + 0.2 + ratio * F.col("clean")) >= 0.95
+        return {}
+    ratio = n_toxic / max(1, n_clean)
+    precise = (F.col("toxic") + 0.1) / (F.col("toxic") + 0.2 + F.lit(ratio) * F.col("clean")) >= 0.95
     rows = counts.where((F.col("toxic") >= least) & precise & (F.col("clean") <= 0.02 * F.col("toxic") + 1))
-    return [r.term for r in rows.orderBy(F.desc("toxic"), "clean", "term").limit(most).collect()]
+    best = rows.orderBy(F.desc("toxic"), "clean", "term").limit(most).collect()
+    return {r.term: math.log((r.toxic + 0.1) / (ratio * r.clean + 0.1)) for r in best}
 
 
 def voted(docs: DataFrame, lexicon: list[str]) -> DataFrame:
@@ -174,27 +176,27 @@ def fit_linear(terms: list[list[int]], target: np.ndarray, n_terms: int, steps:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
-    most_labels: int = 1 << 17, most_sample: int = 1 << 16,
+    most_sample: int = 1 << 16,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    ``labels`` has doc_id and toxic (0/1, null: none; of several the largest).  Learning uses labels
-    of rows that are not held out, at most about ``most_labels`` of them, and posterior labels of at
-    most about ``most_sample`` texts not held out, both chosen by a hash of the id.  Null and empty
+    ``labels`` has doc_id and toxic (0/1, null: none; of several the largest).  Learning uses all
+    labels of rows that are not held out; the classifier is fitted to posterior labels of at most
+    about ``most_sample`` texts not held out, chosen by a hash of the id.  A mined term in too few of
+    these has at least the weight that its counts over all labels give it.  Null and empty
     texts get the score of a text without terms.  A null id is not held out.  Without any labels the
     fixed lexicon and the patterns decide.  Other columns are ignored.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held)
     given = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held)
-    given = land(_sampled(given, most_labels))
-    known = F.broadcast(given)  # at most about most_labels rows
-    train = docs.where(~F.col("held_out")).join(known, "doc_id").select("text", "toxic")
+    given = land(given)
+    train = docs.where(~F.col("held_out")).join(given, "doc_id").select("text", "toxic")
     sizes = {r.toxic: r["count"] for r in given.groupBy("toxic").count().collect()}
-    lexicon = mine(term_counts(train), sizes.get(1, 0), sizes.get(0, 0))
-    lexicon += [t for t in SEED_LEXICON if t not in lexicon]
+    mined = mine(term_counts(train), sizes.get(1, 0), sizes.get(0, 0))
+    lexicon = [*mined, *(t for t in SEED_LEXICON if t not in mined)]
 
-    rows = land(voted(docs, lexicon).join(known, "doc_id", "left"))
+    rows = land(voted(docs, lexicon).join(given, "doc_id", "left"))
     patterns = {r.votes: float(r["count"]) for r in rows.groupBy("votes").count().collect()}
     marked = {(r.votes, r.toxic): float(r["count"]) for r in rows.where("toxic is not null and not held_out").groupBy("votes", "toxic").count().collect()}
     if not patterns:
@@ -208,6 +210,9 @@ def toxicity(
         # A training label is one more voter, right 98 times of 100.
         odds = z / (1 - np.minimum(z, 1 - 1e-12)) * np.where(np.isnan(said), 1.0, np.where(said > 0, 49.0, 1 / 49.0))
         bias, weights = fit_linear(list(sample["terms"]), odds / (1 + odds), len(lexicon))
+        seen = np.bincount(np.concatenate([np.empty(0, np.int64), *sample["terms"]]).astype(np.int64), minlength=len(lexicon))[: len(mined)]
+        counted = np.fromiter(mined.values(), float, len(mined))
+        weights[: len(mined)] = np.where(seen < LEAST, np.maximum(weights[: len(mined)], counted), weights[: len(mined)])
     else:
         bias, weights = -4.0, np.full(len(lexicon), 3.0)
 

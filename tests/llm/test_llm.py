@@ -242,6 +242,18 @@ def test_url_rules(spark):
     assert len(got) == 8
 
 
+def test_toxicity_learns_rare_terms_from_all_labels(spark):
+    rows = [(i, words(20, i) + (" zorgle plimf" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(2000)]
+    train = [i for i in range(2001, 2100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows += [(i, words(20, i) + " quaxorb", 1) for i in train[:4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    new = spark.createDataFrame([(9000, words(20, 9000) + " quaxorb"), (9001, words(20, 9001))], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.toxicity(df.select("doc_id", "text").unionByName(new), df.select("doc_id", "toxic"), most_sample=200).collect()}
+    assert got[9000].predicted == 1 and got[9001].predicted == 0 and len(got) == len(rows) + 2
+    terms = spark.createDataFrame([(f"t{i}", 5, 0) for i in range(5000)], "term string, toxic long, clean long")
+    assert len(toxicity.mine(terms, 5000, 5000)) == 5000
+
+
 def test_toxicity_learns_and_survives_odd_rows(spark, docs, empty):
     r = random.Random(3)
     rows = []
