@@ -29,23 +29,27 @@ def passes_needed(n: int, window: int, cosine: float, missed: float) -> int:
     return max(2, math.ceil(math.log(missed) / math.log(1 - agree)))
 
 
-def near_pairs(rows: DataFrame, dim: int, cosine: float, window: int, passes: int) -> DataFrame:
-    """Distinct (u, v), u < v, of rows (id long, label, vec array<double>) of equal label linked in any pass."""
+def near_pairs(rows: DataFrame, cosine: float, window: int, passes: int) -> DataFrame:
+    """Distinct (u, v), u < v, of rows (id long, label, vec array<double>) of equal label and length linked in any pass."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [np.random.default_rng(1000 + p).standard_normal((dim, 64)) for p in range(passes)]
-        for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, dim)
-            for p in range(passes):
-                sig = np.packbits(x @ planes[p] > 0, axis=1).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), p, np.int32)), batch.column(1), pa.array(sig), batch.column(0), batch.column(2)],
-                    ["pass", "label", "sig", "id", "vec"],
-                )
+        planes: dict[int, list[np.ndarray]] = {}
+        for mixed in batches:
+            lengths = mixed.column(2).value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                batch = mixed.filter(pa.array(lengths == dim))
+                if dim not in planes:
+                    planes = {dim: [np.random.default_rng(1000 + p).standard_normal((dim, 64)) for p in range(passes)]}
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, dim)
+                for p in range(passes):
+                    sig = np.packbits(x @ planes[dim][p] > 0, axis=1).view(">i8").ravel().astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), dim, np.int32)), pa.array(np.full(len(x), p, np.int32)), batch.column(1), pa.array(sig), batch.column(0), batch.column(2)],
+                        ["dim", "pass", "label", "sig", "id", "vec"],
+                    )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.empty(0, np.int64)
-        x, key = np.empty((0, dim)), np.empty((0, 2), np.int64)
+        ids, x, key = np.empty(0, np.int64), np.empty((0, 0)), np.empty((0, 2), np.int64)
 
         def links(final: bool) -> Iterator[pa.RecordBatch]:
             """Compare blocks in order; one whose window reaches the end of what is here waits for more."""
@@ -68,18 +72,22 @@ def near_pairs(rows: DataFrame, dim: int, cosine: float, window: int, passes: in
                 a = b
             ids, x, key = ids[a:], x[a:], key[a:]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.append(ids, batch.column(3).to_numpy())
-            x = np.vstack([x, batch.column(4).flatten().to_numpy().reshape(batch.num_rows, dim)])
-            new = np.column_stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.int64)])
-            key = np.vstack([key, new])
-            yield from links(False)
+        for mixed in batches:
+            lengths = mixed.column(0).to_numpy()
+            for dim in np.unique(lengths).tolist():  # rows come ordered by length
+                batch = mixed.filter(pa.array(lengths == dim))
+                if x.shape[1] != dim:
+                    yield from links(True)
+                    ids, x, key = ids[:0], np.empty((0, dim)), key[:0]
+                ids = np.append(ids, batch.column(4).to_numpy())
+                x = np.vstack([x, batch.column(5).flatten().to_numpy().reshape(batch.num_rows, dim)])
+                new = np.column_stack([batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)])
+                key = np.vstack([key, new])
+                yield from links(False)
         yield from links(True)
 
-    dealt = rows.select("id", "label", "vec").mapInArrow(hashed, f"pass int, label {rows.schema['label'].dataType.simpleString()}, sig long, id long, vec array<double>")
-    dealt = dealt.repartitionByRange("pass", "label", "sig").sortWithinPartitions("pass", "label", "sig")
+    dealt = rows.select("id", "label", "vec").mapInArrow(hashed, f"dim int, pass int, label {rows.schema['label'].dataType.simpleString()}, sig long, id long, vec array<double>")
+    dealt = dealt.repartitionByRange("dim", "pass", "label", "sig").sortWithinPartitions("dim", "pass", "label", "sig")
     return dealt.mapInArrow(compared, "u long, v long").distinct()
 
 
@@ -90,24 +98,19 @@ def embedding_near_dedup(
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of null
-    label, link with nothing.  Vectors of another length than the longest link with nothing.  Rows
-    that repeat an id are vectors of their own and are counted as links of each other.  A null id
-    takes no part in links.  Other columns are ignored.
+    label, link with nothing.  Others link among those of their own length.  Rows that repeat an id
+    are vectors of their own and are counted as links of each other.  A null id takes no part in
+    links.  Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.expr("vec_id is not null and label is not null and vec is not null and size(vec) > 0 and forall(vec, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
     rows = rows.withColumn("norm", F.expr("sqrt(aggregate(transform(vec, c -> coalesce(c, 0D)), 0D, (a, c) -> a + c * c))"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)) & F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    dim = rows.where("good").agg(F.max(F.size("vec"))).first()[0]
-    lonely = ["vec_id", "0L as n_links", "vec_id as component_id", "true as kept"]
-    if dim is None:
-        return rows.selectExpr(*lonely)
-    rows = rows.withColumn("good", F.col("good") & (F.size("vec") == dim))
-    alone = rows.where("not good").selectExpr(*lonely)
+    alone = rows.where("not good").selectExpr("vec_id", "0L as n_links", "vec_id as component_id", "true as kept")
     unit = rows.where("good").withColumn("vec", F.expr("transform(vec, c -> c / norm)")).select("vec_id", "label", "vec")
     kinds = land(unit.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    most = kinds.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    pairs = land(near_pairs(kinds, dim, cosine, window, passes_needed(most, window, cosine, missed)))
+    most = kinds.groupBy("label", F.size("vec")).count().agg(F.max("count")).first()[0] or 1
+    pairs = land(near_pairs(kinds, cosine, window, passes_needed(most, window, cosine, missed)))
 
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     size = kinds.select(F.col("id").alias("v"), "copies")

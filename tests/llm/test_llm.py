@@ -174,6 +174,15 @@ def test_near_copies_equal_brute_force_below_08_and_on_short_texts(spark):
     assert got == {i: least[x] for (i, _), x in zip(rows, label)}
 
 
+def test_embedding_vectors_link_among_their_own_length(spark):
+    r = np.random.default_rng(2)
+    a, b = r.standard_normal(16), r.standard_normal(5)
+    rows = [(1, a), (2, a + 0.01), (3, r.standard_normal(17)), (4, b), (5, b * 2 + 0.01), (6, np.append(a, 0.0)), (7, a * 3)]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding.embedding_near_dedup(df, window=2).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 7: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 16))
