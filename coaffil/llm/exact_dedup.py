@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import land
+from .util import join_unique, land
 
 #: White space that is to become one space; a single space already is one, and matching it costs most of the time.
 SPACES = "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]"
@@ -92,9 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # A document's identity: its number of blocks and the last name.
     one = reduce(DataFrame.unionByName, [d.select("doc_id", "sha", "n", "name", "times") for d in done])
-    groups = one.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+    groups = one.groupBy("n", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("ids"))
     return (
-        one.join(groups, ["n", "name"])
+        join_unique(one, groups, ["n", "name"], "ids", one.count())
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("i"))
         .select(
             "doc_id", "keep_id", "group_size",

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, land
+from .util import components, join_unique, land
 
 NIBBLE = np.array([[(a ^ b).bit_count() for b in range(16)] for a in range(16)], dtype=np.int16)
 LEAVES = 4096  # node pairs with at most so many leaf pairs are compared leaf by leaf
@@ -39,6 +40,46 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[min(k, len(words)) - 1 :].tolist())], np.uint64)
 
 
+_BASE, _RUN = 0x9E3779B97F4A7C15, 1 << 16
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the k-word shingles, words as in ``shingle_hashes``, in order of hash.
+
+    All shingles are hashed at once: a polynomial over the bytes, taken from running sums, then mixed.
+    Long texts are handled a run of words at a time.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = []
+    for at in range(0, max(1, len(words) - k + 1), _RUN) if words else ():
+        joined = np.frombuffer(b" ".join(words[at : at + _RUN + k - 1]), np.uint8)
+        power, inverse = _powers(1 << max(16, len(joined).bit_length()))
+        gaps = np.flatnonzero(joined == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(joined))
+        total = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], out=total[1:])
+        ends = ends[min(k, len(starts)) - 1 :]
+        starts = starts[: len(ends)]
+        h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        found.append(np.unique(h ^ (h >> np.uint64(33))))
+    if not found:
+        return np.empty(0, np.uint64)
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
 def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     """64 * words bits, big-endian: a bit is set if set in over half the hashes; none: zero.
 
@@ -195,8 +236,7 @@ def near_links(distinct: DataFrame, words: int, budget: int, part_bits: int | No
     """Edges (u, v) whose components are those of all pairs of ``fp`` that differ in at most ``budget`` bits.
 
     Without ``part_bits`` every pair is found: of budget + 1 parts two such fingerprints share one.
-    With it, pairs are found that share one of ``parts`` parts.  Ids are the fingerprints' first 64
-    bits for one word, else a hash of all.
+    With it, pairs are found that share one of ``parts`` parts.  ``distinct`` has one (fp, id) for each fingerprint.
     """
     spec = parts_of(64 * words, budget, part_bits, parts)
 
@@ -247,19 +287,19 @@ def common_shingles(texts: DataFrame, k: int, most: int = 20_000, least: int = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(text.as_py(), k)) for text in batch.column(0)]
+            found = [shingle_set(text.as_py(), k) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
 
     step = -(-max(1, texts.count()) // most)
-    rows = texts.where(F.pmod("id", F.lit(step)) == 0).select("text").mapInArrow(run, "shingle long")
+    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(run, "shingle long")
     rows = rows.groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(1 << 16).collect()
     shingles = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def signatures(texts: DataFrame, k: int, words: int, distinct: bool, similarity: float) -> DataFrame:
-    """(doc_id, id, fp, n, prefix) of rows (doc_id, id, text): n different shingles, and the first of them in one fixed order.
+def signatures(texts: DataFrame, k: int, words: int, similarity: float) -> DataFrame:
+    """(doc_id, sha, fp, n, prefix) of rows (doc_id, sha, text): n different shingles, and the first of them in one fixed order.
 
     Two sets of Jaccard similarity ``similarity`` share at least that part of the larger one, so the
     first n - ceil(similarity * n) + 1 of both have a shingle in common.  Common shingles come last.
@@ -270,22 +310,23 @@ def signatures(texts: DataFrame, k: int, words: int, distinct: bool, similarity:
         for batch in batches:
             fps, sizes, prefixes = [], [], []
             for text in batch.column(2):
-                h = shingle_hashes(text.as_py(), k)
-                one = np.unique(h)
-                fps.append(fingerprint(one if distinct else h, words))
+                one = shingle_set(text.as_py(), k)
+                fps.append(fingerprint(one, words))
                 n = len(one)
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, one), len(common) - 1)
-                    one = one[np.lexsort((one, np.where(common[at] == one, counts[at], 0)))]
+                    rank = np.where(common[at] == one, counts[at], 0)
+                    if rank.any():
+                        one = one[np.lexsort((one, rank))]
                 sizes.append(n)
                 prefixes.append(one[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "id", "fp", "n", "prefix"],
+                ["doc_id", "sha", "fp", "n", "prefix"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "id", "text").mapInArrow(run, f"doc_id {kind}, id long, fp binary, n long, prefix array<long>")
+    return texts.select("doc_id", "sha", "text").mapInArrow(run, f"doc_id {kind}, sha binary, fp binary, n long, prefix array<long>")
 
 
 def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
@@ -328,22 +369,23 @@ def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of text ids whose k-word shingle sets have the Jaccard similarity or more; two empty sets are equal."""
+def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids of ``one`` (id, sha) whose texts' k-word shingle sets have the Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                a, b = (np.unique(shingle_hashes(x.as_py(), k)) for x in (one, other))
+            keep, last, a = [], None, np.empty(0, np.uint64)
+            for u, this, other in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if u != last:  # pairs come in runs of u
+                    last, a = u, shingle_set(this.as_py(), k)
+                b = shingle_set(other.as_py(), k)
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 either = len(a) + len(b) - shared
                 keep.append(not either or shared / either >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    found = land(texts.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    # By v first: v is the root of many; the texts are then dealt by u.
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(one.select("id", "sha"), "id")
+    found = land(texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["id"]).select("id", "text"))
     rows = pairs.join(found.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     rows = rows.join(found.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
     return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -357,47 +399,50 @@ def near_dedup(
 
     Rows of equal fingerprint are one vertex; a text without words has fingerprint zero and is
     linked like any other.  With ``similarity`` links are the pairs of that Jaccard similarity of
-    k-word shingle sets, whatever their fingerprints.  A component whose ids are all null has a null
+    k-word shingle sets, whatever their fingerprints (of distinct shingles, by another hash).  A component whose ids are all null has a null
     component_id; null ids otherwise take part as members.  Repeated rows stay.  Other columns are
     ignored.
     """
     if similarity is not None:
-        return _similar(docs, id_col, text_col, k, words, budget, distinct, part_bits, parts, similarity)
+        return _similar(docs, id_col, text_col, k, words, budget, part_bits, parts, similarity)
     rows = land(fingerprints(docs, id_col, text_col, k, words, distinct))
-    ident = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
-    one = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", ident)
-    groups = components(near_links(one, words, budget, part_bits, parts))
-    one = one.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = one.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = one.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    one = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    one = one.withColumn("id", F.conv(F.hex("fp"), 16, -10).cast("long")) if words == 1 else land(one.withColumn("id", F.monotonically_increasing_id()))
+    named = _named(one, near_links(one, words, budget, part_bits, parts))
+    return join_unique(rows, named.select("fp", "component_id", "times"), ["fp"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
-def _similar(
-    docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, distinct: bool, part_bits: int | None, parts: int | None, similarity: float,
-) -> DataFrame:
-    """``near_dedup`` by verified pairs only; different texts are the vertices, named by a hash.
+def _named(one: DataFrame, links: DataFrame) -> DataFrame:
+    """Vertices ``one`` (id, least, times, ...) with ``component_id``, the smallest ``least`` of their component."""
+    one = one.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    one = land(one)
+    least = one.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    return land(join_unique(one, least, ["component"], "size", one.count()))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, part_bits: int | None, parts: int | None, similarity: float) -> DataFrame:
+    """``near_dedup`` by verified pairs only; different texts are the vertices, with numbers of their own.
 
     The fingerprints' links, verified, join dense groups at few rows.  Pairs of what is still apart
     that share a shingle of their prefixes are then verified, so no pair is missed.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
-    rows = land(signatures(texts, k, words, distinct, similarity))
-    one = rows.groupBy("fp").agg(F.min("id").alias("id"))
-    same = rows.select("fp", F.col("id").alias("u")).distinct().join(one.withColumnRenamed("id", "v"), "fp").where("u != v").select("u", "v")
-    links = land(near_links(one, words, budget, part_bits, parts).unionByName(same).distinct())
-    links = land(verified(links, texts, k, similarity))
-
-    group = components(links)
-    cells = rows.select("id", "n", "prefix").dropDuplicates(["id"]).join(group, "id", "left")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rows = land(signatures(texts, k, words, similarity))
+    first = [F.first(c).alias(c) for c in ("fp", "n", "prefix")]
+    one = land(rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *first).withColumn("id", F.monotonically_increasing_id()))
+    root = one.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    same = join_unique(one.select("fp", F.col("id").alias("u")), root.withColumnRenamed("id", "v"), ["fp"], "n", one.count()).where("u != v").select("u", "v")
+    links = land(near_links(root, words, budget, part_bits, parts).unionByName(same).distinct())
+    links = land(verified(links, one, texts, k, similarity))
+
+    cells = one.select("id", "n", "prefix").join(components(links), "id", "left")
     cells = cells.select(F.explode("prefix").alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"))
     more = land(sharing_pairs(cells, similarity))
-    links = land(links.unionByName(verified(more, texts, k, similarity)))
+    links = land(links.unionByName(verified(more, one, texts, k, similarity)))
 
-    one = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = one.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = one.join(least, "component").select("id", "component_id")
-    return rows.join(named, "id").select("doc_id", "fp", "component_id")
+    named = _named(one.select("id", "sha", "least", "times"), links)
+    return join_unique(rows.select("doc_id", "sha", "fp"), named.select("sha", "component_id", "times"), ["sha"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
 #: Near copies: five-word shingles, Jaccard similarity 0.8, verified.  At that similarity 77.5 of 512 bits

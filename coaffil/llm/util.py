@@ -13,11 +13,13 @@ _folders: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coaffil-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -47,6 +49,19 @@ def _remove(top: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``unique``, which has one row for each of ``keys`` and how many rows match it in ``count``.
+
+    Keys with more than one of ``share`` of all ``total`` rows, of which there are fewer than
+    ``share``, are joined by broadcast where their rows lie; the others by a shuffle.  So no task
+    gathers a hot key.  ``count`` is dropped; keys must not be null.
+    """
+    hot = F.col(count) > max(200, total // share)
+    wanted = [*rows.columns, *(c for c in unique.columns if c not in keys and c != count)]
+    warm = rows.join(F.broadcast(unique.where(hot).select(*keys)), keys, "left_anti").join(unique.where(~hot), keys).select(*wanted)
+    return warm.unionByName(rows.join(F.broadcast(unique.where(hot)), keys).select(*wanted))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (id, component).
 
@@ -65,10 +80,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = oriented(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        up = join_unique(both, low, ["u"], "n", 2 * seen[0]).where("v > u")
+        large = land(up.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = join_unique(large, low, ["u"], "n", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = oriented(down.unionByName(low.select("u", F.col("m").alias("v"))))
         e = land(small)
         now = state(e)
         if now == seen:
