@@ -1,6 +1,7 @@
 """The ten operators on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -179,27 +180,77 @@ def test_embedding_vectors_link_among_their_own_length(spark):
     a, b = r.standard_normal(16), r.standard_normal(5)
     rows = [(1, a), (2, a + 0.01), (3, r.standard_normal(17)), (4, b), (5, b * 2 + 0.01), (6, np.append(a, 0.0)), (7, a * 3)]
     df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
-    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding.embedding_near_dedup(df, window=2).collect()}
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding.embedding_near_dedup(df).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 7: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
+def brute_links(rows):
+    """(links, smallest id reachable) of rows (id, vector, label), whatever the label's type."""
+    unit = [v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for _, v, _ in rows]
+    link = np.array([[i != j and a[2] == b[2] and len(a[1]) == len(b[1]) and float(unit[i] @ unit[j]) >= 0.93 for j, b in enumerate(rows)] for i, a in enumerate(rows)])
+    group = np.arange(len(rows))
+    while True:
+        new = np.array([min(group[i], group[link[i]].min(initial=len(rows))) for i in range(len(rows))])
+        if (new == group).all():
+            return [(int(n), min(rows[j][0] for j in np.flatnonzero(group == g))) for n, g in zip(link.sum(1), group)]
+        group = new
+
+
+def as_vectors(spark, rows, kind):
+    return spark.createDataFrame([(i, [float(c) for c in v], y, "e") for i, v, y in rows], f"vec_id long, embedding array<double>, label {kind}, id string")
+
+
+def by_id(df):
+    return sorted((r.vec_id, r.n_links, r.component_id) for r in df.collect())
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 16))
-    x = np.vstack([base, base[:10] + 0.05 * r.standard_normal((10, 16)), base[:5]])
-    rows = [(i, [float(c) for c in v], i % 2 if i < 40 else (i - 40) % 10 % 2) for i, v in enumerate(x)]
-    rows += [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] + [1.0] * 15, 0), (103, [1.0] * 16, None), (104, [1.0, None] * 8, 1), (105, [], 1)]
-    df = spark.createDataFrame([(*t, "e") for t in rows], "vec_id long, embedding array<float>, label int, id string")
-    got = {g.vec_id: g for g in embedding.embedding_near_dedup(df, window=8).collect()}
-    unit = np.float32(x).astype(float)
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    labels = np.array([t[2] for t in rows[:55]])
-    link = (unit @ unit.T >= 0.93) & (labels[:, None] == labels) & ~np.eye(55, dtype=bool)
-    assert [got[i].n_links for i in range(55)] == link.sum(1).tolist()
-    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(100, 106)) and len(got) == 61
+    x = np.vstack([base, base[:10] + 0.05 * r.standard_normal((10, 16)), base[:5], base[5:8] * 1e200, base[8:10] * 1e-200])
+    # Repeated ids hold different vectors; labels are fractions, then strings.
+    for kind, name in (("double", lambda k: 1.2 + k / 2), ("string", lambda k: f"topic {k}")):
+        rows = [(i // 2 if i < 20 else i, v, name(i % 2 if i < 40 else (i - 40) % 10 % 2)) for i, v in enumerate(x)]
+        want = sorted((i, n, c) for (i, _, _), (n, c) in zip(rows, brute_links(rows)))
+        assert by_id(embedding.embedding_near_dedup(as_vectors(spark, rows, kind))) == want
+    odd = [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] + [1.0] * 15, 0), (103, [1.0] * 16, None), (104, [1.0, None] * 8, 1), (105, [], 1), (None, [1.0] * 16, 0), (106, [1.0] * 16, 0)]
+    df = spark.createDataFrame([(*t, 5, 6, 7) for t in odd], "vec_id long, embedding array<float>, label int, g int, n int, cell int")
+    got = embedding.embedding_near_dedup(df)
+    assert all(g.n_links == 0 and g.kept and g.component_id == g.vec_id for g in got.collect()) and got.count() == 8
     assert embedding.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_ties_at_the_threshold(spark):
+    rows = [(1, np.array([1.0, 0.0]), 0), (2, np.array([93.0, math.sqrt(100**2 - 93**2)]), 0), (3, np.array([0.0, 1.0]), 0), (4, np.array([92.9, math.sqrt(100**2 - 92.9**2)]), 1), (5, np.array([1.0, 0.0]), 1)]
+    assert by_id(embedding.embedding_near_dedup(as_vectors(spark, rows, "int"))) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+
+
+def test_embedding_dense_topic_in_blocks_and_passes(spark):
+    """One label of a crowded cone, with planted pairs and a group larger than a block."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal(32)
+    centre /= np.linalg.norm(centre)
+
+    def off(v, c):
+        w = r.standard_normal(32)
+        w -= v * (w @ v)
+        return c * v + math.sqrt(1 - c * c) * w / np.linalg.norm(w)
+
+    x = [off(centre, 0.85) for _ in range(1200)]
+    x += [off(v, 0.96) for v in x[:150]] + [off(x[1199], 0.999) for _ in range(300)]
+    rows = [(i, v, "t") for i, v in enumerate(x)]
+    want = [(i, n, c) for (i, _, _), (n, c) in zip(rows, brute_links(rows))]
+    df = as_vectors(spark, rows, "string")
+    assert by_id(embedding.embedding_near_dedup(df)) == want
+    assert by_id(embedding.embedding_near_dedup(df, block=200)) == want
+    old, embedding.MOVE = embedding.MOVE, 20  # moving is cheap: many passes of short windows
+    try:
+        got = by_id(embedding.embedding_near_dedup(df, block=200))
+    finally:
+        embedding.MOVE = old
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+
+
 def test_bpe_round_trip_is_the_librarys(docs, empty):
     t = Tokenizer.from_file(BYTE)
     for size in (1 << 18, 4):
