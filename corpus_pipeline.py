@@ -19,31 +19,45 @@ from coaffil.llm.toxicity import toxicity
 from coaffil.llm.util import land
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id, null included, is among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _apart(docs: DataFrame) -> str:
+    """A prefix that no column name of ``docs`` starts with."""
+    return "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "k"
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written once with a number of its own for each row, and that column's name: ids may repeat or be null."""
+    name = _apart(docs)
+    return land(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; all rows of an id go if one of them is rejected.  Null ids are judged by their score too."""
+    k = _apart(docs)
     judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = judged.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_id"]), "left_anti").select(*docs.columns)
+    toxic = judged.where("predicted = 1").select(F.col("doc_id").alias(k)).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic[k]), "left_anti").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays, once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    """Of equal texts the smallest id stays, once; of rows that repeat both, null ids included, one."""
+    k = _apart(docs)
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(k + "id"), F.col("text_sha256").alias(k + "sha"))
+    keyed = docs.withColumn(k, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    same = keyed["doc_id"].eqNullSafe(kept[k + "id"]) & (keyed[k] == kept[k + "sha"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", k]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
-    found = near_dedup(docs, **NEAR_COPIES)
-    return _with_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row of the smallest id stays.
+
+    Rows are told apart by numbers of their own, in order of id where ids differ, so a repeated id
+    saves no near copy; a null id is larger than any other.
+    """
+    rows, k = _numbered(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(k).alias("c"))
+    found = near_dedup(rows.select(order.alias(k + "id"), "text"), id_col=k + "id", **NEAR_COPIES)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.c").alias(k))
+    return rows.join(kept, k, "left_semi").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,6 +292,52 @@ def test_pii_base_spans_and_redaction(spark, docs, empty):
     assert pii.redacted(docs).columns == docs.columns and pii.redacted(empty).count() == 0
 
 
+def base_spans(text):
+    """The contract's base spans by Python's re: (kind, start, end), by kind."""
+    import re
+
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m, d: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m, d: all(int(p) <= 255 for p in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m, d: 16 <= len(d) <= 19 and luhn(d)),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m, d: 8 <= len(d) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0], re.sub("[^0-9]", "", m[0]))]
+
+
+def test_pii_base_spans_equal_brute_force(spark):
+    r = random.Random(8)
+    bits = ["a@b.c", "x.y+z@h-h.org.", "@", ".", "10.0.0.1", "300.1.2.3", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 555 123 4567", "+12", "é", "🎉", " ", "  ", "-", "(", "9", "word ", "call "]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 30))) for _ in range(400)] + ["9." * 30000, "a@" * 3000, "+1 " * 4000, None, ""]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in enumerate(texts)], "doc_id int, text string, pii_scan int, _raw int, PII_SCAN_ string")
+    got = pii.pii_spans(df)
+    assert got.columns == [*df.columns, "pii_base", "pii_spans"]
+    for x in got.collect():
+        base = [(s.kind, s.s, s.e) for s in x.pii_base]
+        assert base == base_spans(texts[x.doc_id] or "")
+        more = {(s.kind, s.s, s.e) for s in x.pii_spans} - set(base)
+        assert set(base) <= {(s.kind, s.s, s.e) for s in x.pii_spans}
+        apart = [(s, e) for _, s, e in [*more, *base]]
+        assert all(e <= s2 or e2 <= s for _, s, e in more for s2, e2 in apart if (s, e) != (s2, e2))
+
+
+def test_pii_learns_forms_that_the_base_patterns_miss(spark):
+    r = random.Random(9)
+    n = lambda k: "".join(r.choices("0123456789", k=k))
+    rows = []
+    for i in range(600):
+        rows.append((i, f"call +1 555 {n(3)} {n(4)} or mail joe{i}@site{i}.org, room {n(3)} {n(3)} 9, on 20{n(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}"))
+    rows += [(1000, "call 212 555 0123 now"), (1001, "mail joe77 [at] site [dot] org please"), (1002, "on 2024-01-02 here"), (1003, "host 10[.]0[.]0[.]7 down"), (1004, "joe at home. Then we met at noon")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {x.doc_id: [(pii.KINDS[s.kind], s.s, s.e) for s in x.pii_spans] for x in pii.pii_spans(df).where("doc_id >= 1000").collect()}
+    assert got[1000] == [("phone", 5, 17)] and [k for k, _, _ in got[1001]] == ["email"] and got[1002] == [] and got[1004] == []
+    limits = pii.fit(pii.Scan(df, "text"))[2]
+    assert limits[0] < float("inf") and limits[3] < float("inf")
+    names = spark.createDataFrame([("mail a@b.org", "p", "q", "o")], "text string, pii_base string, pii_spans string, _order string")
+    assert [tuple(x) for x in pii.redacted(names).collect()] == [("mail [EMAIL]", "p", "q", "o")]
+
+
 def test_url_rules(spark):
     urls = [(1, "https://A.Example.ORG/en/12"), (2, "http://x.example.org/es/1?q"), (3, "http://example.com/fr/"), (4, "http://a.com/de/1"), (5, "nothing"), (6, None), (7, "http://notorg/en/1"), (8, "http://x.net#f")]
     got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame([(*u, "h", "t") for u in urls], "page_id long, url string, host string, template string")).collect()}
