@@ -1,20 +1,24 @@
-"""URL filters: fixed host and path rules, then a path-template tree per host.
-
-The tree: each path is cut into segments; a segment that varies (digits, long hex, or one of many
-siblings under its parent) becomes a wildcard, so a host keeps few templates.  A template's branch
-is the profile of what the rules say about its urls.  Branches of different hosts with the same
-template shape are merged when their labelled purities don't differ statistically.  A template is
-rejected when its smoothed labelled purity (share of urls that the rules block) reaches one half.
-
-Labels are the rules' own verdicts.  Each url takes the verdict of the longest rule that fits it,
-else of its merged template, else of the template's prior.
+"""URL filters: fixed host and path rules, then a path-template tree.
+
+A url is a path in a tree: its host, then the segments of its path, digit runs and long hex runs
+folded into wildcards.  The tree is grown a level at a time from the rules' own verdicts on the urls
+(their labels).  At each node the branches whose labelled purity (share of urls that the rules
+block) doesn't differ statistically from the node's, unlabelled ones among them, are merged into one
+wildcard branch; the others keep their name.  So variable segments end up in wildcards, hosts that
+behave alike share a tree, and a node's purity is smoothed towards its parent's: a template without
+labels takes that of its nearest labelled ancestor.  What all urls of a node have in common is
+passed at once.  A template is rejected when its smoothed purity reaches one half.
+
+Each url takes the verdict of the longest rule that fits it, else that of its template.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import join_unique, land
+
 #: Fixed values: (verdict, host, path prefix).
 RULES = [
     ("allow", "org", "/"),
@@ -50,51 +54,65 @@ def fitting_rule(rules: list[tuple[str, str, str]]) -> Column:
     return F.coalesce(*fits)
 
 
-def _segments(path: Column) -> Column:
-    """Path segments with digit runs and long hex runs as wildcards already."""
-    folded = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "*"), "[0-9]+", "*")
-    return F.slice(F.split(folded, "/"), 1, 6)
+def _folded(path: Column) -> Column:
+    """The path with long hex runs and digit runs as wildcards."""
+    return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "*"), "[0-9]+", "*")
+
+
+def templates(leaves: DataFrame, prior_strength: float, z: float) -> DataFrame:
+    """(host, folded, template, purity) of leaves (host, folded, labelled, blocked), one for each host and folded path."""
+    n = leaves.count()
+    total = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
+    state = leaves.withColumns({
+        "node": F.lit(""), "rem": F.concat(F.array("host"), F.split("folded", "/")), "p": F.lit(total.b / total.l if total.l else 0.0),
+    })
+    done = None
+    while True:
+        # What the urls of a node have in common is what its first and last remainder have in common.
+        ends = state.groupBy("node").agg(F.min("rem").alias("lo"), F.max("rem").alias("hi"), F.count("*").alias("n"))
+        skip = (
+            "if(least(size(lo), size(hi)) = 0, 0, coalesce(array_min(filter(sequence(0, least(size(lo), size(hi)) - 1), i -> lo[i] <> hi[i])), least(size(lo), size(hi))))"
+        )
+        state = join_unique(state, ends.select("node", "n", F.expr(skip).alias("skip")), ["node"], "n", n)
+        state = state.withColumn("node", F.expr("concat(node, array_join(transform(slice(rem, 1, skip), x -> concat('/', x)), ''))"))
+        state = land(state.withColumn("rem", F.expr("slice(rem, skip + 1, size(rem))")).drop("skip"))
+        ended = state.where("size(rem) = 0").select("host", "folded", F.col("node").alias("template"), F.col("p").alias("purity"))
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where("size(rem) > 0").withColumn("child", F.expr("rem[0]"))
+        if state.isEmpty():
+            return done
+        child = state.groupBy("node", "child").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("p").alias("p"), F.count("*").alias("n"))
+        alike = (F.col("l") == 0) | (F.abs(F.col("b") - F.col("l") * F.col("p")) <= z * F.sqrt(F.col("l") * F.col("p") * (1 - F.col("p"))))
+        child = land(child.withColumn("name", F.when(alike, F.lit("*")).otherwise(F.col("child"))))
+        branch = child.groupBy("node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("p").alias("p"), F.count("*").alias("n"))
+        branch = branch.select("node", "name", "n", ((F.col("b") + prior_strength * F.col("p")) / (F.col("l") + prior_strength)).alias("q"))
+        named = join_unique(child.select("node", "child", "name", F.col("n").alias("rows")), branch, ["node", "name"], "n", n)
+        state = join_unique(state, named, ["node", "child"], "rows", n)
+        state = land(state.select("host", "folded", "labelled", "blocked", F.concat("node", F.lit("/"), "name").alias("node"), F.expr("slice(rem, 2, size(rem))").alias("rem"), F.col("q").alias("p")))
 
 
 def url_filter(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-    wide: int = 64, prior_strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96,
+    prior_strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    Null urls and urls without ``://`` have empty host and path and take the verdict of the empty
-    template.  Paths deeper than six segments share the template of their first six.  ``wide`` is
-    the number of different siblings from which a first segment counts as variable;
-    ``prior_strength`` the number of pseudo-urls at the overall block rate added to a template;
-    ``z`` the critical value below which two purities count as alike.  Other columns are ignored.
+    Null urls and urls without ``://`` have empty host and path and are a template of their own.
+    ``prior_strength`` is the number of pseudo-urls at its parent's purity added to a node; ``z`` the
+    critical value up to which a branch's purity counts as its node's.  Paths of any depth count
+    whole.  Ids may be null or repeat; other columns are ignored.  Without rules that fit, all is allowed.
     """
     urls = with_host_and_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
-    urls = urls.withColumn("fit", fitting_rule(rules)).withColumn("seg", _segments(F.col("path")))
-    urls = urls.select("page_id", "host", "path", "fit", F.coalesce(F.try_element_at("seg", F.lit(2)), F.lit("")).alias("first"), F.array_join(F.slice("seg", 3, 4), "/").alias("rest"))
-
+    urls = urls.withColumn("fit", fitting_rule(rules)).withColumn("folded", _folded(F.col("path"))).select("page_id", "host", "path", "fit", "folded")
     # One row for each host and folded path; a hot host shrinks to its templates before any shuffle.
-    leaf = urls.groupBy("host", "first", "rest").agg(
-        F.count("fit").alias("labelled"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("blocked")
-    )
-    # A host with very many different first segments has a variable there.
-    spread = leaf.select("host", "first").distinct().groupBy("host").agg(F.count("*").alias("width")).where(F.col("width") >= wide).select("host", F.lit(True).alias("varies"))
-    leaf = leaf.join(spread, "host", "left").withColumn(
-        "template", F.concat_ws("/", F.when(F.col("varies"), F.lit("*")).otherwise(F.col("first")), F.col("rest"))
+    leaves = urls.groupBy("host", "folded").agg(
+        F.count("fit").alias("labelled"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("blocked"), F.count("*").alias("times")
     )
-    branch = leaf.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-
-    # Merging: a branch joins the pool of its template unless its purity differs from the pool's.
-    pool = branch.groupBy("template").agg(F.sum("labelled").alias("p_labelled"), F.sum("blocked").alias("p_blocked"))
-    total = branch.agg(F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"))
-    both = branch.join(pool, "template").crossJoin(F.broadcast(total))  # one row
-    rate = F.when(F.col("t_labelled") > 0, F.col("t_blocked") / F.col("t_labelled")).otherwise(0.0)
-    pooled = (F.col("p_blocked") + prior_strength * rate) / (F.col("p_labelled") + prior_strength)
-    apart = F.abs(F.col("blocked") - F.col("labelled") * pooled) > z * F.sqrt(F.col("labelled") * pooled * (1 - pooled))
-    own = (F.col("blocked") + prior_strength * rate) / (F.col("labelled") + prior_strength)
-    judged = both.select("host", "template", F.when(F.when(apart, own).otherwise(pooled) >= reject_at, "block").otherwise("allow").alias("method"))
-    judged = leaf.select("host", "first", "rest", "template").join(judged, ["host", "template"]).select("host", "first", "rest", "method")
-
-    return urls.join(judged, ["host", "first", "rest"]).select(
+    leaves = land(leaves)
+    judged = templates(leaves.drop("times"), prior_strength, z)
+    judged = judged.select("host", "folded", F.when(F.col("purity") >= reject_at, "block").otherwise("allow").alias("method"))
+    judged = land(judged.join(leaves.select("host", "folded", "times"), ["host", "folded"]))
+    return join_unique(urls, judged, ["host", "folded"], "times", urls.count()).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "method").alias("verdict")
     )
 
@@ -109,38 +127,36 @@ def _sql() -> str:
     rule = " ".join(f"WHEN {test.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in ordered)
     said = " ".join(f"WHEN {test.format(h=h, p=p)} THEN '{v}'" for v, h, p in ordered)
     return rf"""
-WITH a AS (
+WITH RECURSIVE a AS (
   SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS r FROM pages
 ), b AS (
   SELECT page_id,
     translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a
-), c AS (
-  SELECT *, CASE {rule} END AS rule, CASE {said} END AS said,
-    string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '*', 'g'), '[0-9]+', '*', 'g'), '/') AS seg FROM b
 ), u AS (
-  SELECT page_id, host, path, rule, said, coalesce(seg[2], '') AS first, coalesce(array_to_string(seg[3:6], '/'), '') AS rest FROM c
+  SELECT *, CASE {rule} END AS rule, CASE {said} END AS said,
+    regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '*', 'g'), '[0-9]+', '*', 'g') AS folded FROM b
 ), leaf AS (
-  SELECT host, first, rest, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked FROM u GROUP BY ALL
-), w AS (
-  SELECT host, count(DISTINCT first) >= 64 AS varies FROM leaf GROUP BY host
-), l AS (
-  SELECT leaf.*, concat_ws('/', CASE WHEN varies THEN '*' ELSE first END, rest) AS template FROM leaf JOIN w USING (host)
-), br AS (
-  SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM l GROUP BY ALL
-), po AS (
-  SELECT template, sum(labelled) AS pl, sum(blocked) AS pb FROM br GROUP BY ALL
-), rt AS (
-  SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0.0 END AS rate FROM br
-), j AS (
-  SELECT host, template, labelled, blocked, (pb + 4.0 * rate) / (pl + 4.0) AS pooled, (blocked + 4.0 * rate) / (labelled + 4.0) AS own
-  FROM br JOIN po USING (template), rt
+  SELECT host, folded, count(said) AS l, count(*) FILTER (said = 'block') AS b FROM u GROUP BY ALL
+), t AS (
+  SELECT host, folded, l, b, '' AS node, list_prepend(host, string_split(folded, '/')) AS rem,
+    (SELECT CASE WHEN sum(l) > 0 THEN CAST(sum(b) AS DOUBLE) / sum(l) ELSE 0e0 END FROM leaf) AS p, false AS fin FROM leaf
+  UNION ALL
+  SELECT host, folded, l, b, CASE WHEN len(rem) = 0 THEN node ELSE concat(node, '/', name) END, rem[2:],
+    CASE WHEN len(rem) = 0 THEN p ELSE (CAST(sum(b) OVER (PARTITION BY node, name) AS DOUBLE) + 4e0 * p) / (sum(l) OVER (PARTITION BY node, name) + 4e0) END, len(rem) = 0
+  FROM (
+    SELECT *, CASE WHEN cl = 0 OR abs(cb - cl * p) <= 1.96e0 * sqrt(cl * p * (1 - p)) THEN '*' ELSE rem[1] END AS name
+    FROM (
+      SELECT *, CAST(sum(l) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cl, CAST(sum(b) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cb
+      FROM (
+        SELECT host, folded, l, b, p, concat(node, array_to_string(list_transform(rem[1:skip], lambda x: '/' || x), '')) AS node, rem[skip + 1:] AS rem
+        FROM (
+          SELECT *, coalesce(list_min(list_filter(range(0, least(len(lo), len(hi))), lambda i: lo[i + 1] <> hi[i + 1])), least(len(lo), len(hi))) AS skip
+          FROM (SELECT *, min(rem) OVER (PARTITION BY node) AS lo, max(rem) OVER (PARTITION BY node) AS hi FROM t WHERE NOT fin) w1) w2) w3) w4) w5
 ), m AS (
-  SELECT host, template, CASE WHEN (CASE WHEN abs(blocked - labelled * pooled) > 1.96 * sqrt(labelled * pooled * (1 - pooled)) THEN own ELSE pooled END) >= 0.5
-    THEN 'block' ELSE 'allow' END AS method FROM j
+  SELECT host, folded, CASE WHEN p >= 0.5 THEN 'block' ELSE 'allow' END AS method FROM t WHERE fin
 )
-SELECT page_id, u.host, path, rule, coalesce(said, method) AS verdict
-FROM u JOIN l ON u.host = l.host AND u.first = l.first AND u.rest = l.rest JOIN m ON m.host = l.host AND m.template = l.template
+SELECT page_id, u.host, path, rule, coalesce(said, method) AS verdict FROM u JOIN m ON u.host = m.host AND u.folded = m.folded
 """
 
 

@@ -348,6 +348,25 @@ def test_url_rules(spark):
     assert len(got) == 8
 
 
+def test_url_tree_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(4)
+    hosts = ["a.example.org", "b.example.org", "c.com", "d.com", "e.net", "f.net", "g.io"]
+    urls = ["http://%s/%s" % (r.choice(hosts), "/".join([r.choice(["en", "es", "de", "fr"]), *r.choices(["x", "y", "1", "22", "long-slug", "*"], k=r.randint(0, 9))])) for _ in range(600)]
+    urls += [None, "", "no scheme", "http://", "http://e.net", "http://e.net/", "http://e.net/" + "deep/" * 400, "http://e.net/" + "deep/" * 399 + "x", *urls[:50]]
+    df = spark.createDataFrame([(i // 2, u, "h", "n", "c", 3) for i, u in enumerate(urls)], "page_id long, url string, host string, node string, child string, n int")
+    got = url_filter.url_filter(df).collect()
+    df.select("page_id", "url").coalesce(1).write.parquet(str(tmp_path / "p"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/p/*.parquet'")
+    key = lambda t: tuple(map(str, t))
+    want = c.execute(f"select page_id, host, path, rule, verdict from ({url_filter.SQL})").fetchall()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and len(got) == len(urls)
+    assert {x.verdict for x in got if x.rule is None} == {"allow", "block"}
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
 def test_toxicity_learns_rare_terms_from_all_labels(spark):
     rows = [(i, words(20, i) + (" zorgle plimf" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(2000)]
     train = [i for i in range(2001, 2100) if zlib.crc32(str(i).encode()) % 4 != 2]
