@@ -9,10 +9,9 @@ be sorted on their own:
    which of them occur in more than one document.
 2. Documents meet the answers, and strings with such a minimizer are sent, as segments of text, to
    the minimizer's bucket.
-3. There the suffixes are sorted by prefix doubling to depth ``length``, ties in document order.  In
-   that order the previous smaller position of a suffix within its run of equal prefixes is the
-   run's head, so its longest previous factor reaches ``length`` if the head is another, earlier
-   document's.
+3. There the suffixes are sorted by prefix doubling to depth ``length``.  The previous and the next
+   position of a smaller document in suffix order give a suffix's longest previous factor; its
+   string goes if that factor reaches ``length``.
 4. The found places go back to the documents and are cut out.
 
 Equal texts are one document for all this; only copies with a larger id are removed whole.
@@ -87,8 +86,23 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def nearest_smaller(order: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it whose value is smaller, or -1.
+
+    Candidates jump to their own candidates: what lies between is not smaller, so nothing is passed over.
+    """
+    low = np.append(np.iinfo(np.int64).min, order)  # a sentinel in front
+    near = np.arange(-1, len(order))
+    near[0] = 0
+    todo = np.arange(1, len(low))
+    while len(todo):
+        todo = todo[low[near[todo]] >= low[todo]]
+        near[todo] = near[near[todo]]
+    return near[1:] - 1
+
+
 def repeated(data: bytes, begins: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each window start in ``begins`` whether its ``length`` bytes also start in a window of smaller ``order``."""
+    """For each window start in ``begins`` whether its longest previous factor in a window of smaller ``order`` reaches ``length``."""
     ranks = np.unique(_eights(data), return_inverse=True)[1].ravel().astype(np.uint64)
     depth = 8
     while depth < length:
@@ -99,11 +113,16 @@ def repeated(data: bytes, begins: np.ndarray, order: np.ndarray, length: int) ->
             pairs = ranks << np.uint64(32) | np.append(ranks[step:], np.zeros(step, np.uint64))
         ranks = np.unique(pairs, return_inverse=True)[1].ravel().astype(np.uint64)
         depth += step
-    suffixes = np.lexsort((order, ranks))  # suffix order, ties in document order
-    heads = _changes(ranks[suffixes])
-    sizes = np.diff(np.append(heads, len(suffixes)))
+    suffixes = np.argsort(ranks, kind="stable")
+    rank, at = ranks[suffixes], order[suffixes]
+    # Of all earlier windows the previous and the next in suffix order share the longest prefix with a
+    # window; prefixes within a run of equal ranks reach ``length``, others don't.
+    before = nearest_smaller(at)
+    after = len(at) - 1 - nearest_smaller(at[::-1])[::-1]
+    found = (before >= 0) & (rank[before] == rank)
+    found |= (after < len(at)) & (rank[np.minimum(after, len(at) - 1)] == rank)
     out = np.empty(len(begins), bool)
-    out[suffixes] = np.repeat(order[suffixes[heads]], sizes) < order[suffixes]
+    out[suffixes] = found
     return out
 
 
@@ -345,7 +364,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if ``with_text``.
 
     Matches never cross documents.  A null text is empty.  A null id counts as larger than any
-    other; documents of the same id, null included, don't remove each other's strings.  Of equal
+    other, as do ids that are no whole numbers; documents of the same id, null included, don't remove each other's strings.  Of equal
     texts the smallest id stays as it is and the others lose everything (if ``length`` bytes or
     more).  Other columns are ignored.
     """

@@ -79,6 +79,13 @@ def test_sharding_is_minimax_and_gapless(docs, empty, spark):
     assert max(load.values()) == min(c for c in range(max(sizes), sum(sizes) + 1) if need(c) <= 7) and len(load) <= 7
 
 
+def test_nearest_smaller_values():
+    r = random.Random(6)
+    for case in ([], [3], [5, 4, 3, 2, 1], [1, 1, 1], [r.randint(0, 9) for _ in range(300)], list(range(50))):
+        want = [max((j for j in range(i) if case[j] < case[i]), default=-1) for i in range(len(case))]
+        assert suffix_dedup.nearest_smaller(np.array(case, np.int64)).tolist() == want
+
+
 def test_suffix_dedup_equals_brute_force(docs, empty):
     rows = [((2**63 - 1) if i is None else i, (t or "").encode()) for i, t in rows_of(docs)]
     first = {}
