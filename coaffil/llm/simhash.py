@@ -127,6 +127,14 @@ class Trie:
         new[1:] = cells[1:] != cells[:-1]
         self.new, self.starts = new, [np.flatnonzero(new)]
         self.labels = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []  # the links that joined components
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def apart(self, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of a cell within ``budget`` differing bits whose labels differ."""
+        self.pairs = []
+        self.join(budget)
+        return self.pairs
 
     def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """First row and end of each node whose prefix has ``depth`` nibbles."""
@@ -147,7 +155,9 @@ class Trie:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            labels[np.maximum(a, b)] = np.minimum(a, b)
+            top, at = np.unique(np.maximum(a, b), return_index=True)
+            labels[top] = np.minimum(a, b)[at]
+            self.edges.append((i[at], j[at]))
             while True:
                 up = labels[labels]
                 if np.array_equal(up, labels):
@@ -206,7 +216,11 @@ class Trie:
                 d = d + np.bitwise_count(self.fps[i, w] ^ self.fps[j, w])
                 near = d <= budget
                 i, j, d = i[near], j[near], d[near]
-            self.union(i, j)
+            if self.pairs is None:
+                self.union(i, j)
+            else:
+                new = self.labels[i] != self.labels[j]
+                self.pairs.append((i[new], j[new]))
 
 
 def _parts(count: np.ndarray) -> list[slice]:
@@ -224,39 +238,53 @@ def _expanded(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def parts_of(bits: int, budget: int, part_bits: int | None, parts: int | None) -> list[tuple[int, int]]:
-    """(first bit, bits) of each part: budget + 1 parts that cover the fingerprint, or ``parts`` disjoint ones of ``part_bits``."""
-    if part_bits is None:
-        cuts = [bits * p // (budget + 1) for p in range(budget + 2)]
-        return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-    return [(p * part_bits, part_bits) for p in range(min(parts, bits // part_bits))]
+def parts_of(bits: int, budget: int) -> list[np.ndarray]:
+    """Bits of each of budget + 1 parts that cover the fingerprint: two within the budget agree in one."""
+    cuts = [bits * p // (budget + 1) for p in range(budget + 2)]
+    return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def near_links(distinct: DataFrame, words: int, budget: int, part_bits: int | None = None, parts: int | None = None) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of ``fp`` that differ in at most ``budget`` bits.
+def parts_for(bits: int, n: int, differ: float, missed: float) -> list[np.ndarray]:
+    """Parts for ``n`` fingerprints: pairs that differ in a share ``differ`` of the bits agree in none with probability ``missed``.
 
-    Without ``part_bits`` every pair is found: of budget + 1 parts two such fingerprints share one.
-    With it, pairs are found that share one of ``parts`` parts.  ``distinct`` has one (fp, id) for each fingerprint.
+    A part has so many bits that about 64 of unrelated fingerprints agree in it.
+    """
+    size = max(8, math.ceil(math.log2(max(2, n) / 64)))
+    count = math.ceil(math.log(missed) / math.log(1 - (1 - differ) ** size))
+    order = np.concatenate([np.random.default_rng(p).permutation(bits) for p in range(-(-count * size // bits))])
+    return [order[p * size : (p + 1) * size] for p in range(count)]
+
+
+def near_links(distinct: DataFrame, words: int, budget: int, parts: list[np.ndarray], loose: int | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of ``fp`` that share a part and differ in at most ``budget`` bits.
+
+    With ``loose`` also all pairs within so many bits that those links leave apart; the edges are
+    then pairs of fingerprints near each other.  ``distinct`` has one (fp, id) for each fingerprint.
     """
-    spec = parts_of(64 * words, budget, part_bits, parts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, 8 * words)
             bits = np.unpackbits(raw, axis=1)
-            for p, (at, size) in enumerate(spec):
-                value = bits[:, at : at + size] @ (np.int64(1) << np.arange(size, dtype=np.int64)[::-1])
+            for p, at in enumerate(parts):
+                value = bits[:, at] @ (np.int64(1) << np.arange(len(at), dtype=np.int64)[::-1])
                 yield pa.RecordBatch.from_arrays([pa.array(value + (np.int64(p) << 40)), batch.column(0), batch.column(1)], ["cell", "fp", "id"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(cells: np.ndarray, raw: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             fps = raw.view(">u8").reshape(len(ids), words).astype(np.uint64)
             order = np.lexsort([*fps.T[::-1], cells])
-            labels = Trie(cells[order], fps[order]).join(budget)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            ids = ids[order]
-            return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[labels[linked]])], ["u", "v"])
+            trie, ids = Trie(cells[order], fps[order]), ids[order]
+            labels = trie.join(budget)
+            if loose is None:
+                i = np.flatnonzero(labels != np.arange(len(labels)))
+                j = labels[i]
+            else:
+                none = [(np.empty(0, np.int64),) * 2]
+                i, j = (np.concatenate(x) for x in zip(*none, *trie.edges, *trie.apart(loose)))
+            both = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -279,32 +307,12 @@ def near_links(distinct: DataFrame, words: int, budget: int, part_bits: int | No
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined, "u long, v long")
 
 
-def common_shingles(texts: DataFrame, k: int, most: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in ``least`` or more of about ``most`` sampled texts, in order, and their counts.
-
-    They only shape the order in which ``signatures`` takes shingles; any order finds the same pairs.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text.as_py(), k) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
-
-    step = -(-max(1, texts.count()) // most)
-    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(run, "shingle long")
-    rows = rows.groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(1 << 16).collect()
-    shingles = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], np.array([r["count"] for r in rows], np.int64)[order]
-
-
-def signatures(texts: DataFrame, k: int, words: int, similarity: float) -> DataFrame:
-    """(doc_id, sha, fp, n, prefix) of rows (doc_id, sha, text): n different shingles, and the first of them in one fixed order.
+def signatures(texts: DataFrame, k: int, words: int, similarity: float, short: int) -> DataFrame:
+    """(doc_id, sha, fp, n, prefix) of rows (doc_id, sha, text): n different shingles and, of up to ``short``, the first by hash.
 
     Two sets of Jaccard similarity ``similarity`` share at least that part of the larger one, so the
-    first n - ceil(similarity * n) + 1 of both have a shingle in common.  Common shingles come last.
+    first n - ceil(similarity * n) + 1 of both have a shingle in common.
     """
-    common, counts = common_shingles(texts, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,13 +321,8 @@ def signatures(texts: DataFrame, k: int, words: int, similarity: float) -> DataF
                 one = shingle_set(text.as_py(), k)
                 fps.append(fingerprint(one, words))
                 n = len(one)
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, one), len(common) - 1)
-                    rank = np.where(common[at] == one, counts[at], 0)
-                    if rank.any():
-                        one = one[np.lexsort((one, rank))]
                 sizes.append(n)
-                prefixes.append(one[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
+                prefixes.append(one[: n - math.ceil(similarity * n - 1e-9) + 1 if n <= short else 0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "sha", "fp", "n", "prefix"],
@@ -385,6 +388,7 @@ def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similar
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(one.select("id", "sha"), "id")
+    wanted = land(wanted)  # of known size now: a small table is broadcast, and the texts stay where they are
     found = land(texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["id"]).select("id", "text"))
     rows = pairs.join(found.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     rows = rows.join(found.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
@@ -393,7 +397,7 @@ def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similar
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1, budget: int = 4,
-    distinct: bool = False, part_bits: int | None = None, parts: int | None = None, similarity: float | None = None,
+    distinct: bool = False, similarity: float | None = None, loose: int = 0, short: int = 40, missed: float = 0.003,
 ) -> DataFrame:
     """One row per document: doc_id, fp (binary), component_id (smallest id reachable through links).
 
@@ -404,11 +408,11 @@ def near_dedup(
     ignored.
     """
     if similarity is not None:
-        return _similar(docs, id_col, text_col, k, words, budget, part_bits, parts, similarity)
+        return _similar(docs, id_col, text_col, k, words, budget, similarity, loose, short, missed)
     rows = land(fingerprints(docs, id_col, text_col, k, words, distinct))
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
     one = one.withColumn("id", F.conv(F.hex("fp"), 16, -10).cast("long")) if words == 1 else land(one.withColumn("id", F.monotonically_increasing_id()))
-    named = _named(one, near_links(one, words, budget, part_bits, parts))
+    named = _named(one, near_links(one, words, budget, parts_of(64 * words, budget)))
     return join_unique(rows, named.select("fp", "component_id", "times"), ["fp"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
@@ -420,23 +424,27 @@ def _named(one: DataFrame, links: DataFrame) -> DataFrame:
     return land(join_unique(one, least, ["component"], "size", one.count()))
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, part_bits: int | None, parts: int | None, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, similarity: float, loose: int, short: int, missed: float) -> DataFrame:
     """``near_dedup`` by verified pairs only; different texts are the vertices, with numbers of their own.
 
-    The fingerprints' links, verified, join dense groups at few rows.  Pairs of what is still apart
-    that share a shingle of their prefixes are then verified, so no pair is missed.
+    Pairs of fingerprints within ``loose`` bits are candidates; those within ``budget`` bits stand for
+    their group, so that a dense group costs rows in proportion to its members.  Fingerprints of
+    few shingles are coarse: texts of up to ``short`` are also joined on shingles, which misses none.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    rows = land(signatures(texts, k, words, similarity))
+    rows = land(signatures(texts, k, words, similarity, short))
     first = [F.first(c).alias(c) for c in ("fp", "n", "prefix")]
     one = land(rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), *first).withColumn("id", F.monotonically_increasing_id()))
+    count = one.count()
     root = one.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    same = join_unique(one.select("fp", F.col("id").alias("u")), root.withColumnRenamed("id", "v"), ["fp"], "n", one.count()).where("u != v").select("u", "v")
-    links = land(near_links(root, words, budget, part_bits, parts).unionByName(same).distinct())
+    same = join_unique(one.select("fp", F.col("id").alias("u")), root.withColumnRenamed("id", "v"), ["fp"], "n", count).where("u != v").select("u", "v")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    near = near_links(root, words, budget, parts_for(64 * words, count, differ, missed), loose)
+    links = land(near.unionByName(same).distinct())
     links = land(verified(links, one, texts, k, similarity))
 
-    cells = one.select("id", "n", "prefix").join(components(links), "id", "left")
+    cells = one.where("size(prefix) > 0").select("id", "n", "prefix").join(components(links), "id", "left")
     cells = cells.select(F.explode("prefix").alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"))
     more = land(sharing_pairs(cells, similarity))
     links = land(links.unionByName(verified(more, one, texts, k, similarity)))
@@ -445,10 +453,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, bu
     return join_unique(rows.select("doc_id", "sha", "fp"), named.select("sha", "component_id", "times"), ["sha"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
-#: Near copies: five-word shingles, Jaccard similarity 0.8, verified.  At that similarity 77.5 of 512 bits
-#: differ on average (standard deviation 8.1): 90 propose 94 of 100 such pairs, and 30 parts of 12 bits
-#: meet 99; the others are found by their shingles.
-NEAR_COPIES = {"k": 5, "words": 8, "budget": 90, "distinct": True, "part_bits": 12, "parts": 30, "similarity": 0.8}
+#: Near copies: five-word shingles, Jaccard similarity 0.8, verified.  At that similarity 77.5 of 512 bits differ on
+#: average (standard deviation 8.1), at 0.75 88 do: 125 propose all such pairs, and the parts miss 3 of 1,000.
+NEAR_COPIES = {"k": 5, "words": 8, "budget": 70, "loose": 125, "distinct": True, "similarity": 0.8}
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
