@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EARTH_M, haversine
+from .network import checkpointed
 
 #: Metres of one degree on the sphere.
 DEGREE_M = 111_195.0
 
 
-def nearest_anchor(points: DataFrame, anchors: DataFrame, key: str, radius_m: float, max_broadcast_rows: int = 100_000) -> DataFrame:
+def nearest_anchor(points: DataFrame, anchors: DataFrame, key: str, radius_m: float, max_broadcast_rows: int = 1000) -> DataFrame:
     """Adds anchor, distance and near to points (key, lat, lon); the lowest anchor wins ties.
 
     Rows without coordinates are left out.  Anchors up to ``max_broadcast_rows``, which are counted,
-    are broadcast and reduced in the same stage by a map-side minimum; beyond that the candidates
-    come from the radius join, and points with none within ``radius_m`` have null anchor.
+    are broadcast and reduced in the same stage by a map-side minimum.  Beyond that a grid join finds
+    the nearest within ``radius_m``; points with none are tried again with twice the radius, until the
+    circle covers the sphere, so the result is the same.
     """
     located = points.where("lat is not null and lon is not null")
-    a = anchors.select("anchor", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    if anchors.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
-        pairs = within_radius(located, anchors, key, "anchor", radius_m)
-        best = pairs.groupBy(key).agg(F.min(F.struct("distance", "anchor")).alias("b"))
-        return located.join(best, key, "left").select(key, "lat", "lon", "b.anchor", "b.distance", F.coalesce(F.col("b.distance") <= radius_m, F.lit(False)).alias("near"))
-    pairs = located.crossJoin(F.broadcast(a)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon")))
-    best = pairs.groupBy(key, "lat", "lon").agg(F.min(F.struct("distance", "anchor")).alias("b"))
-    return best.select(key, "lat", "lon", "b.anchor", "b.distance", (F.col("b.distance") <= radius_m).alias("near"))
+    a = anchors.where("lat is not null and lon is not null").select("anchor", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    if a.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        pairs = located.crossJoin(F.broadcast(a)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon")))
+        best = pairs.groupBy(key, "lat", "lon").agg(F.min(F.struct("distance", "anchor")).alias("b"))
+        return best.select(key, "lat", "lon", "b.anchor", "b.distance", (F.col("b.distance") <= radius_m).alias("near"))
+    todo, radius, found = checkpointed(located.select(key, "lat", "lon")), radius_m, None
+    while True:
+        best = within_radius(todo, anchors, key, "anchor", radius).groupBy(key).agg(F.min(F.struct("distance", "anchor")).alias("b"))
+        tried = checkpointed(todo.join(best, key, "left"))
+        hit = tried.where("b is not null").select(key, "lat", "lon", "b.anchor", "b.distance", (F.col("b.distance") <= radius_m).alias("near"))
+        found = hit if found is None else found.unionByName(hit)
+        todo = tried.where("b is null").select(key, "lat", "lon")
+        if radius > math.pi * EARTH_M or todo.isEmpty():
+            return found
+        radius *= 2
 
 
 def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_m: float) -> DataFrame:
@@ -36,7 +47,7 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     Each right point has one cell; a left point visits the cells that its circle touches, wrapping
     at the date line and taking whole bands near the poles.  Null coordinates match nothing.
     """
-    step = radius_m / DEGREE_M
+    step = min(180.0, radius_m / DEGREE_M)
     columns = max(1, int(360 // step))
     width = 360.0 / columns
     lon = F.pmod(F.col("lon") + 180, F.lit(360.0))
@@ -44,7 +55,7 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         F.col(right_key).alias("_r"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"),
         F.floor(F.col("lat") / step).alias("row"), F.least(F.floor(lon / width), F.lit(columns - 1)).alias("col"),
     )
-    reach = F.when(F.abs("lat") + step >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_m / EARTH_M)) / F.cos(F.radians("lat"))))))
+    reach = F.when(F.abs("lat") + step >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(radius_m / EARTH_M, math.pi / 2))) / F.cos(F.radians("lat"))))))
     cols = F.when(reach * 2 + width >= 360, F.sequence(F.lit(0), F.lit(columns - 1))).otherwise(
         F.sequence(F.floor((lon - reach - 1e-9) / width).cast("int"), F.floor((lon + reach + 1e-9) / width).cast("int"))
     )
@@ -70,6 +81,20 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, key: str) -> DataFrame
     return rings.groupBy(key).agg(F.bool_or(F.when(F.col("ring").isNotNull(), F.col("odd"))).alias("inside"))
 
 
+def polygon_tag(points: DataFrame, edges: DataFrame, key: str, cell: float = 5.0) -> DataFrame:
+    """(key, inside) of points (key, lat, lon): whether any polygon of ``edges`` (as in ``point_in_polygon``) holds the point.
+
+    A polygon is joined only with the points in the grid cells of its bounding box.
+    """
+    box = edges.groupBy("anchor").agg(*[f(x).alias(n) for n, f, x in (("x0", F.min, F.least("x1", "x2")), ("xn", F.max, F.greatest("x1", "x2")), ("y0", F.min, F.least("y1", "y2")), ("yn", F.max, F.greatest("y1", "y2")))])
+    at = lambda c: F.floor(F.col(c) / cell)
+    cells = box.select("anchor", F.explode(F.sequence(at("x0"), at("xn"))).alias("cx"), F.sequence(at("y0"), at("yn")).alias("ys")).select("anchor", "cx", F.explode("ys").alias("cy"))
+    near = points.where("lat is not null and lon is not null").withColumn("cx", at("lon")).withColumn("cy", at("lat")).join(cells, ["cx", "cy"])
+    pair = near.select(F.struct(key, "anchor").alias("pair"), "anchor", "lat", "lon")
+    hits = point_in_polygon(pair, edges, "pair").where("inside").select(F.col("pair")[key].alias(key)).distinct().withColumn("hit", F.lit(True))
+    return points.select(key).join(hits, key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("inside"))
+
+
 def assemble_rings(members: DataFrame) -> DataFrame:
     """(relation, ring, points) from ways (relation, way, role, points array<struct<x,y>>).
 

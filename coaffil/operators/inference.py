@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+Z95 = 1.959963984540054
+
+
 def _p_value(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -71,13 +74,13 @@ def nb_fit(frame: DataFrame, xs: list[str], y: str = "degree", alpha: float = 1.
 
 
 def coefficients(spark, fits: dict, terms: list[str], spec: str) -> DataFrame:
-    """Long table (spec, grp, term, coef, se, ratio, p) of fits."""
+    """Long table (spec, grp, term, coef, se, ratio, its 95 % interval, p) of fits."""
     rows = []
     for g, (b, inverse) in sorted(fits.items()):
         for t, c, v in zip(["const", *terms], b.tolist(), np.diag(inverse).tolist()):
             se = math.sqrt(max(v, 0.0))
-            rows.append((spec, g, t, c, se, math.exp(min(c, 700.0)), _p_value(c / se) if se else None))
-    return spark.createDataFrame(rows, "spec string, grp string, term string, coef double, se double, ratio double, p double")
+            rows.append((spec, g, t, c, se, math.exp(min(c, 700.0)), math.exp(min(c - Z95 * se, 700.0)), math.exp(min(c + Z95 * se, 700.0)), _p_value(c / se) if se else None))
+    return spark.createDataFrame(rows, "spec string, grp string, term string, coef double, se double, ratio double, ci95_low double, ci95_high double, p double")
 
 
 def nb_dispersion(frame: DataFrame, xs: list[str], y: str = "degree", tolerance: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
@@ -107,17 +110,24 @@ def nb_dispersion(frame: DataFrame, xs: list[str], y: str = "degree", tolerance:
     return alpha, b, inverse
 
 
-def sandwich(frame: DataFrame, xs: list[str], b: np.ndarray, inverse: np.ndarray, alpha: float, y: str = "degree", cluster: str | None = None) -> np.ndarray:
-    """Standard errors HC0, or cluster-robust where ``cluster`` names a column."""
+def sandwich(frame: DataFrame, xs: list[str], b: np.ndarray, inverse: np.ndarray, alpha: float, y: str = "degree", cluster: str | None = None, leverage: bool = False) -> np.ndarray:
+    """Standard errors HC0, HC3 with ``leverage``, or cluster-robust where ``cluster`` names a column.
+
+    HC3 divides a row's score by one minus its leverage w x' (X'WX)^-1 x.
+    """
     names = ["_one", *xs]
+    p = len(names)
     d = frame.withColumn("_one", F.lit(1.0))
-    mu = F.exp(sum((float(c) * F.col(x).cast("double") for c, x in zip(b, names)), F.lit(0.0)))
+    x = [F.col(n).cast("double") for n in names]
+    mu = F.exp(sum((float(c) * v for c, v in zip(b, x)), F.lit(0.0)))
     score = (F.col(y) - mu) / (1 + alpha * mu)
-    d = d.select(*([cluster] if cluster else []), *[(F.col(x).cast("double") * score).alias(f"s{i}") for i, x in enumerate(names)])
+    if leverage:
+        score = score / (1 - mu / (1 + alpha * mu) * sum((float(inverse[i, j]) * x[i] * x[j] for i in range(p) for j in range(p)), F.lit(0.0)))
+    d = d.select(*([cluster] if cluster else []), *[(v * score).alias(f"s{i}") for i, v in enumerate(x)])
     if cluster:
-        d = d.groupBy(cluster).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))])
-    cells = d.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(len(names)) for j in range(len(names))]).first()
-    meat = np.array(cells, float).reshape(len(names), -1)
+        d = d.groupBy(cluster).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
+    cells = d.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(p) for j in range(p)]).first()
+    meat = np.array(cells, float).reshape(p, -1)
     return np.sqrt(np.diag(inverse @ meat @ inverse))
 
 
@@ -133,7 +143,15 @@ def log_likelihood(frame: DataFrame, xs: list[str], b: np.ndarray, alpha: float,
     return main + sum(c * (math.lgamma(v + t) - math.lgamma(t) - math.lgamma(v + 1) + t * math.log(t)) for v, c in hist)
 
 
-def tost(coef: float, se: float, low: float = 0.8, high: float = 1.25) -> float:
-    """Equivalence p-value, normal form."""
-    phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
-    return max(phi((coef - math.log(high)) / se), 1 - phi((coef - math.log(low)) / se))
+def tost(coef: float, se: float, low: float = 0.8, high: float = 1.25, df: float | None = None) -> float:
+    """Equivalence p-value: the larger of the two one-sided ones, normal or with ``df`` degrees of freedom Student's."""
+    below = (lambda z: 0.5 * math.erfc(-z / math.sqrt(2))) if df is None else (lambda z: student_cdf(z, df))
+    return max(below((coef - math.log(high)) / se), 1 - below((coef - math.log(low)) / se))
+
+
+def student_cdf(t: float, df: float) -> float:
+    """Student's distribution by quadrature of its density over the angle atan(t / sqrt(df))."""
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    half = math.atan(t / math.sqrt(df)) / 2
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return 0.5 + scale * half * float((weights * np.cos(half * (nodes + 1)) ** (df - 1)).sum())

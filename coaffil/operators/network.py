@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,33 +33,51 @@ def degree_fractional(affil: DataFrame, work: str, entity: str) -> DataFrame:
     return sets.select(F.explode("s").alias(entity), (F.size("s") >= 2).cast("long").alias("one")).groupBy(entity).agg(F.sum("one").cast("double").alias("degree"))
 
 
-def author_supported_ties(affil: DataFrame, work: str, entity: str, author: str) -> DataFrame:
-    """One row of counts: work-pairs, those that rest on one author alone, edges before and after dropping them."""
-    who = affil.groupBy(work, entity).agg(F.collect_set(author).alias("who"))
+def author_supported_edges(affil: DataFrame, work: str, entity: str, author: str) -> DataFrame:
+    """(a, b, n, duals): works that link a and b, and those of them that rest on one author alone."""
+    who = affil.where(F.col(entity).isNotNull()).groupBy(work, entity).agg(F.collect_set(author).alias("who"))
     sets = who.groupBy(work).agg(F.array_sort(F.collect_list(F.struct(F.col(entity).alias("e"), F.array_sort("who").alias("w")))).alias("s")).where("size(s) > 1")
     pairs = sets.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
     pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), ((F.size("x.w") == 1) & (F.size("y.w") == 1) & (F.col("x.w") == F.col("y.w"))).alias("dual"))
-    edges = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if("dual").alias("duals"))
-    return edges.agg(
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if("dual").alias("duals"))
+
+
+def author_supported_degree(affil: DataFrame, work: str, entity: str, author: str) -> DataFrame:
+    """(entity, degree_all, degree_supported): neighbours, and those that some work links by two distinct authors."""
+    ends = author_supported_edges(affil, work, entity, author).select(F.explode(F.array("a", "b")).alias(entity), (F.col("n") > F.col("duals")).alias("kept"))
+    d = ends.groupBy(entity).agg(F.count("*").alias("degree_all"), F.count_if("kept").alias("degree_supported"))
+    return affil.where(F.col(entity).isNotNull()).select(entity).distinct().join(d, entity, "left").na.fill(0, ["degree_all", "degree_supported"])
+
+
+def author_supported_ties(affil: DataFrame, work: str, entity: str, author: str) -> DataFrame:
+    """One row of counts: authorships, those of several entities, work-pairs, those that rest on one author alone, edges before and after dropping them."""
+    edges = author_supported_edges(affil, work, entity, author).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("work_pairs"), F.coalesce(F.sum("duals"), F.lit(0)).alias("dual_only"),
         F.count("*").alias("edges_before"), F.count_if(F.col("n") > F.col("duals")).alias("edges_after"),
     )
+    own = affil.where(F.col(entity).isNotNull()).groupBy(work, author).agg(F.count_distinct(entity).alias("k"))
+    return own.agg(F.count("*").alias("authorships"), F.count_if(F.col("k") > 1).alias("multi_authorships")).crossJoin(F.broadcast(edges))  # one row each
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by weighted label propagation; ties take the smallest label.
+def label_propagation(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(id, community) by weighted label propagation until no label changes; ties take the smallest label.
 
-    Nodes of even and odd hash are updated in turn, against two-cycles.  Each round is a join and two
-    aggregates, checkpointed.
+    Nodes of even and odd hash are updated in turn, against two-cycles.  Each half round is a join and
+    two aggregates, checkpointed.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+    both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")))
     labels = both.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id"))
-    for r in range(rounds * 2):
+    still = 0
+    for r in range(max_rounds * 2):
         votes = both.join(labels, F.col("v") == F.col("id")).groupBy("u", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        labels = labels.join(best, F.col("id") == F.col("u"), "left").select("id", F.when(turn, F.col("b.community")).otherwise(F.col("community")).alias("community"))
-        labels = checkpointed(labels)
+        new = labels.join(best, F.col("id") == F.col("u"), "left").select("id", F.when(turn, F.col("b.community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old"))
+        new = checkpointed(new)
+        still = still + 1 if new.where("community <> old").isEmpty() else 0
+        labels = new.select("id", "community")
+        if still == 2:
+            break
     return labels
 
 
@@ -117,10 +137,11 @@ def betweenness(edges: DataFrame, pivots: DataFrame, max_rounds: int = 64) -> Da
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's folder, a temporary one only where none is set (tests)."""
-    import tempfile
-
+    """Reliable checkpoint in the session's folder; a temporary one only where none is set in local mode (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coaffil-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="coaffil-"))
     return df.checkpoint()

@@ -13,7 +13,8 @@ from ..operators.network import checkpointed
 from .views import spark_view, with_views
 
 XS = ["treated", "log_univ"]
-REPS = 20
+#: Draws with a refit each.
+REPS, BOOTSTRAPS, RESIDUALS = 1000, 500, 200
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -70,15 +71,18 @@ def covariate_attenuation(spark, d):
 
 
 def tost(spark, d):
-    b, inverse = I.nb_fit(_frame(spark, d), XS)["all"]
-    return spark.createDataFrame([(float(b[1]), I.tost(b[1], math.sqrt(inverse[1, 1])))], "coef double, p double").withColumn("equivalent", F.col("p") < 0.05)
+    frame = _frame(spark, d)
+    b, inverse = I.nb_fit(frame, XS)["all"]
+    se = math.sqrt(inverse[1, 1])
+    rows = [(form, float(b[1]), I.tost(b[1], se, df=df)) for form, df in (("normal", None), ("student", frame.count() - len(b)))]
+    return spark.createDataFrame(rows, "form string, coef double, p double").withColumn("equivalent", F.col("p") < 0.05)
 
 
 def sandwich_se(spark, d):
     frame = _frame(spark, d)
     b, inverse = I.nb_fit(frame, XS)["all"]
-    se = I.sandwich(frame, XS, b, inverse, 1.0)
-    return spark.createDataFrame([(t, float(c), float(s)) for t, c, s in zip(["const", *XS], b, se)], "term string, coef double, hc0 double")
+    hc0, hc3 = (I.sandwich(frame, XS, b, inverse, 1.0, leverage=k) for k in (False, True))
+    return spark.createDataFrame([(t, *map(float, v)) for t, *v in zip(["const", *XS], b, hc0, hc3)], "term string, coef double, hc0 double, hc3 double")
 
 
 def cluster_se(spark, d):
@@ -108,23 +112,28 @@ def residual_permutation(spark, d):
     frame = _frame(spark, d)
     slope, cut = frame.agg(F.regr_slope("treated", "log_univ"), F.regr_intercept("treated", "log_univ")).first()
     resid = frame.withColumn("res", F.col("treated") - ((slope or 0.0) * F.col("log_univ") + (cut or 0.0)))
-    ranked = _replicated(resid, 5, 23)
+    resid = checkpointed(resid)
+    seen = float(I.nb_fit(resid, XS)["all"][0][1])
+    ranked = _replicated(resid, RESIDUALS, 23)
     a = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("std")))
     b = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("u", "std"))).select("rep", "i", F.col("res").alias("label"))
+    # The fitted part is linear in the covariate and a constant, which stay in the model: the residual alone gives the same coefficient.
     fits = I.nb_fit(checkpointed(a.drop("res").join(b, ["rep", "i"])), ["label", "log_univ"], group="rep")
-    return I.coefficients(spark, fits, ["label", "log_univ"], "residual").where("term = 'label'")
+    found = [float(b[1]) for b, _ in fits.values()]
+    p = (1 + sum(abs(x) >= abs(seen) for x in found)) / (len(found) + 1)
+    return spark.createDataFrame([(seen, len(found), p)], "coef double, reps long, p double")
 
 
 def bootstrap_coef(spark, d):
     frame = _frame(spark, d)
     n = frame.count()
     numbered = frame.withColumn("i", F.row_number().over(Window.orderBy("std")) - 1)
-    draws = spark.range(n).crossJoin(F.broadcast(spark.range(1, REPS + 1).withColumnRenamed("id", "rep")))
+    draws = spark.range(n).crossJoin(F.broadcast(spark.range(1, BOOTSTRAPS + 1).withColumnRenamed("id", "rep")))
     pick = F.least(F.floor(n * hash_uniform(F.col("id"), F.col("rep"), F.lit(31))), F.lit(n - 1))
     times = draws.groupBy("rep", pick.alias("i")).agg(F.count("*").alias("m"))
     fits = I.nb_fit(checkpointed(times.join(numbered, "i")), XS, group="rep", weight="m")
     c = I.coefficients(spark, fits, XS, "bootstrap").where("term = 'treated'")
-    return c.agg(F.count("*").alias("reps"), F.percentile("coef", F.lit(0.025)).alias("low"), F.percentile("coef", F.lit(0.975)).alias("high"), F.stddev_samp("coef").alias("sd"))
+    return c.agg(F.count("*").alias("reps"), F.percentile("coef", F.lit(0.025)).alias("low"), F.percentile("coef", F.lit(0.975)).alias("high"), F.percentile("coef", F.lit(0.05)).alias("low90"), F.percentile("coef", F.lit(0.95)).alias("high90"), F.stddev_samp("coef").alias("sd"))
 
 
 QUERIES = {f.__name__: f for f in (

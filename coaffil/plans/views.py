@@ -56,11 +56,16 @@ VIEWS = {
     "counts_raw": f"""SELECT m.raw, count(p.point) AS around, min(d) AS nearest FROM matches m LEFT JOIN (
         SELECT r.raw, p.point, {dist('r', 'p')} AS d FROM matches r CROSS JOIN points p) p ON p.raw = m.raw AND p.d <= 1e6 GROUP BY m.raw""",
     "first_raw": "SELECT std, min_by(affil.raw, affil.paper * 100000000 + affil.line * 10000000 + affil.raw) AS raw FROM affil JOIN matches ON affil.raw = matches.raw GROUP BY std",
+    "caps": "SELECT CAST(cap AS BIGINT) AS cap FROM (VALUES (3), (4), (6), (8), (10)) v(cap)",
     "frame": """SELECT d.std, d.degree, CASE WHEN l.treated THEN 1 ELSE 0 END AS treated, ln(1e0 + c.around) AS log_univ,
           ln(1e0 + coalesce(c.nearest, 4e6)) AS log_near, p.papers, ln(1e0 + p.papers) AS log_papers, g.country
         FROM degrees d JOIN labels_std l ON d.std = l.std JOIN first_raw f ON f.std = d.std JOIN counts_raw c ON c.raw = f.raw
         JOIN (SELECT std, count(*) AS papers FROM membership GROUP BY std) p ON p.std = d.std
         JOIN raw_country g ON g.raw = f.raw""",
+    "capped": """SELECT p.cap, f.std, f.treated, f.log_univ, f.log_papers, f.country, coalesce(d.degree, 0) AS degree
+        FROM (SELECT DISTINCT c.cap, m.std FROM caps c JOIN sizes s ON s.k < c.cap JOIN membership m ON m.paper = s.paper) p JOIN frame f ON f.std = p.std
+        LEFT JOIN (SELECT cap, v AS std, count(*) AS degree FROM (SELECT DISTINCT c.cap, p.a AS v, p.b AS w FROM caps c JOIN sizes s ON s.k < c.cap JOIN pairs p ON p.paper = s.paper
+          UNION ALL SELECT DISTINCT c.cap, p.b, p.a FROM caps c JOIN sizes s ON s.k < c.cap JOIN pairs p ON p.paper = s.paper) e GROUP BY cap, v) d ON d.cap = p.cap AND d.std = p.std""",
 }
 
 
@@ -80,13 +85,22 @@ def _marks(text: str, name: str, put) -> str:
     return text
 
 
+def replicates(n: int) -> str:
+    """Marks a table (rep) of the numbers 1 to n."""
+    return f"REPLICATES[{n}]"
+
+
 def for_spark(sql: str) -> str:
+    sql = _marks(sql, "REPLICATES", lambda n: f"(SELECT id AS rep FROM range(1, {int(n) + 1}))")
     sql = _marks(sql, "UNIFORM", lambda x: f"(CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS DOUBLE) / 4294967296e0)")
+    sql = _marks(sql, "LISTED", lambda x: f"array_join(transform(array_sort(collect_list({x})), y -> CAST(y AS STRING)), ',')")
     return _marks(sql, "PCT", lambda x: "percentile({}, {})".format(*x.rsplit("~", 1)))
 
 
 def for_duckdb(sql: str) -> str:
+    sql = _marks(sql, "REPLICATES", lambda n: f"(SELECT range AS rep FROM range(1, {int(n) + 1}))")
     sql = _marks(sql, "UNIFORM", lambda x: f"(CAST(CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0)")
+    sql = _marks(sql, "LISTED", lambda x: f"string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {x})")
     return _marks(sql, "PCT", lambda x: "quantile_cont({}, {})".format(*x.rsplit("~", 1)))
 
 

@@ -17,6 +17,9 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header that starts with a byte-order mark, as spreadsheets expect."""
+    if df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.csv(path, header=True, encoding="UTF-8", escape='"', mode="overwrite")
 
 

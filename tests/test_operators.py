@@ -26,6 +26,16 @@ def test_radius_join_finds_every_pair_near_poles_and_date_line(spark):
         assert got == {(i, j) for i, a in enumerate(spots) for j, b in enumerate(spots) if _metres(a, b) <= radius}
 
 
+def test_nearest_anchor_is_the_same_at_any_size(spark):
+    random.seed(5)
+    spots = [(i, random.uniform(-90, 90), random.uniform(-180, 180)) for i in range(60)]
+    p = spark.createDataFrame(spots, "k long, lat double, lon double")
+    a = spark.createDataFrame([(i, random.uniform(40, 60), random.uniform(-20, 20)) for i in range(7)] + [(99, None, 1.0)], "anchor long, lat double, lon double")
+    want = sorted(tuple(r) for r in geo.nearest_anchor(p, a, "k", 4e5).collect())
+    got = sorted(tuple(r) for r in geo.nearest_anchor(p, a, "k", 4e5, max_broadcast_rows=1).collect())
+    assert got == want and len(got) == 60
+
+
 def test_nearest_anchor_ties_go_to_the_lowest(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, None)], "k long, lat double, lon double")
     a = spark.createDataFrame([(7, 0.0, 1.0), (3, 0.0, -1.0)], "anchor long, lat double, lon double")
@@ -95,3 +105,53 @@ def test_stream_enriches_new_keys_once(spark, tmp_path):
         stream = spark.readStream.schema("k long").parquet(src)
         enrich_stream(stream, out, "k", lambda df: df.withColumn("v", F.col("k") * 10), cp).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_files_round_trip(spark, tmp_path):
+    import gzip
+
+    from coaffil.sources import tables
+
+    rows = [(1, 'a "quoted", comma'), (2, "two\nlines"), (3, None), (4, "é🎉")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    tables.write_csv(df.coalesce(1), str(tmp_path / "c"))
+    part = next((tmp_path / "c").glob("*.csv"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,name")
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(part.read_bytes()))
+    for path in (tmp_path / "c", tmp_path / "c.csv.gz"):
+        assert sorted(map(tuple, tables.read_csv(spark, str(path), df.schema).collect())) == rows
+    tables.write_json(df.coalesce(1), str(tmp_path / "j"))
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "j")).collect())) == rows
+    (tmp_path / "a.json").write_text('[{"id": 1, "name": "x"},\n {"id": 2}]')
+    assert sorted(map(tuple, tables.read_json(spark, str(tmp_path / "a.json"), df.schema).collect())) == [(1, "x"), (2, None)]
+    df.withColumn("corpus", F.when(F.col("id") < 3, "old").otherwise("new")).write.partitionBy("corpus").parquet(str(tmp_path / "p"))
+    assert tables.read_corpus(spark, str(tmp_path / "p"), "old").count() == 2 and tables.read_corpus(spark, str(tmp_path / "p")).count() == 4
+
+
+def test_standard_errors_and_equivalence(spark):
+    random.seed(8)
+    rows = [(random.randrange(9) + 5 * (i % 4 == 0), int(i % 4 == 0), random.random()) for i in range(80)]
+    df = spark.createDataFrame(rows, "degree long, treated int, x double")
+    b, inverse = inference.nb_fit(df, ["treated", "x"])["all"]
+    X_ = np.array([(1, r[1], r[2]) for r in rows], float)
+    mu = np.exp(X_ @ b)
+    s = X_ * ((np.array([r[0] for r in rows]) - mu) / (1 + mu))[:, None]
+    h = mu / (1 + mu) * np.einsum("ij,jk,ik->i", X_, inverse, X_)
+    for leverage, e in ((False, s), (True, s / (1 - h)[:, None])):
+        want = np.sqrt(np.diag(inverse @ (e.T @ e) @ inverse))
+        assert np.allclose(inference.sandwich(df, ["treated", "x"], b, inverse, 1.0, leverage=leverage), want, rtol=1e-9)
+    # Quantiles of Student's distribution from printed tables.
+    for df_, t, p in ((1, 6.314, 0.95), (10, 2.228, 0.975), (30, -1.697, 0.05), (120, 2.617, 0.995)):
+        assert abs(inference.student_cdf(t, df_) - p) < 1e-4
+
+
+def test_rank_test_p_value_in_log_space(spark):
+    from coaffil.plans.sql_queries import log10_p, mann_whitney_sql
+
+    for z in (0.1, 1.0, 2.5, 5.0, 8.0):
+        got = spark.sql(f"SELECT {log10_p(f'CAST({z} AS DOUBLE)')} AS p").first().p
+        assert abs(got - math.log10(math.erfc(z / math.sqrt(2)))) < 1e-6
+    assert -870 < spark.sql(f"SELECT {log10_p('63e0')} AS p").first().p < -860  # far below the smallest double
+    spark.createDataFrame([(1, 5), (1, 7), (1, 7), (0, 1), (0, 5), (0, 2)], "arm int, v int").createOrReplaceTempView("ranked_sample")
+    r = spark.sql(mann_whitney_sql("ranked_sample")).first()
+    assert (r.n1, r.n0, r.u, r.cles) == (3, 3, 8.5, round(8.5 / 9, 6))
