@@ -230,12 +230,13 @@ def embedding_near_dedup(
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.expr("vec_id is not null and label is not null and vec is not null and size(vec) > 0 and forall(vec, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = rows.withColumn("most", F.expr("if(good, array_max(transform(vec, c -> abs(c))), 0D)"))
-    alone = rows.where("most = 0").selectExpr("vec_id", "0L as n_links", "vec_id as component_id", "true as kept")
-    unit = rows.where("most > 0").withColumn("vec", F.expr("transform(vec, c -> c / most)"))
-    unit = unit.withColumn("norm", F.expr("sqrt(aggregate(vec, 0D, (a, c) -> a + c * c))"))
-    unit = unit.withColumn("vec", F.expr("transform(vec, c -> c / norm + 0D)")).select("vec_id", "label", "vec")
+    rows = rows.withColumn("good", F.coalesce(good & F.expr("exists(vec, c -> c <> 0)"), F.lit(False)))
+    alone = rows.where("not good").selectExpr("vec_id", "0L as n_links", "vec_id as component_id", "true as kept")
+    # Bound by one-element arrays: a plain column would be put into the lambda and computed for each component.
+    scaled = "transform(array(array_max(transform(vec, c -> abs(c)))), m -> transform(vec, c -> c / m))[0]"
+    length = "array(sqrt(aggregate(v, 0D, (a, c) -> a + c * c)))"
+    one = F.expr(f"transform(array({scaled}), v -> transform({length}, n -> transform(v, c -> c / n + 0D))[0])[0]")
+    unit = rows.where("good").select("vec_id", "label", one.alias("vec"))
 
     kinds = unit.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     kinds = land(kinds.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
