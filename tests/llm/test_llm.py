@@ -62,6 +62,9 @@ def test_sharding_is_minimax_and_gapless(docs, empty, spark):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert len({r.shard for r in got if r.doc_id in (1, 2)}) == 1
+    want = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows_of(docs)]
+    assert sorted(map(repr, ((r.doc_id, r["size"], r.text_crc32) for r in got))) == sorted(map(repr, want))
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
     assert sharding.shard(empty).count() == 0
     r = random.Random(5)
     sizes = [r.randint(0, 30) for _ in range(90)]
@@ -288,6 +291,45 @@ def test_packing_places_every_id_once(docs, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_cuts_every_document_gaplessly(docs):
+    t = Tokenizer.from_file(WORD)
+    rows = [(k, x) for k, (_, x) in enumerate(rows_of(docs))]
+    got = packing.pack(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), WORD, window_tokens=3000, capacity=512).collect()
+    for k, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        at = 0
+        for p in sorted((p for p in got if p.doc_id == k), key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+
+
+def test_packing_puts_whole_documents_where_the_cost_is_least():
+    r = random.Random(13)
+    lengths = np.array([r.randint(1, 90) for _ in range(200)], np.int64)
+    cap, quadratic = 64, 1 / 64
+    pieces = packing.pack_lengths(lengths, cap, 1.0, quadratic)
+    total = int(lengths.sum())
+    room = [cap] * (total // cap) + sorted((1 << b for b in range(6) if total % cap >> b & 1), reverse=True)
+    cost, left, order = [0.0] * len(room), lengths.tolist(), []
+    whole = 0
+    for doc, start, n, seq, _ in pieces:
+        if doc not in order:
+            order.append(doc)
+        want = min(left[doc], cap)
+        fits = [s for s in range(len(room)) if room[s] >= want]
+        if fits:  # never cut while a sequence can take the rest whole
+            whole += 1
+            assert n == want and cost[seq] == min(cost[s] for s in fits)
+        assert start == lengths[doc] - left[doc] and n <= room[seq]
+        room[seq] -= n
+        left[doc] -= n
+        cost[seq] += n + quadratic * n * n
+    assert not any(room) and not any(left) and whole > 100
+    assert [int(lengths[d]) for d in order] == sorted(lengths.tolist(), reverse=True)
+
+
 def test_pii_base_spans_and_redaction(spark, docs, empty):
     text = "mail a.b@c-d.org, ip 10.0.0.255 or 10.0.0.256, card 4111 1111 1111 1111, call +1 (555) 123-4567 é " + "9 " * 3000
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "1" * 20000)], "doc_id long, text string")
@@ -374,6 +416,24 @@ def test_url_tree_equals_its_sql(spark, tmp_path):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_label_model_estimates_accuracies_without_labels():
+    r = np.random.default_rng(14)
+    hit, false = r.uniform(0.4, 0.9, toxicity.VOTERS), r.uniform(0.01, 0.08, toxicity.VOTERS)
+    y = r.random(40000) < 0.2
+    x = r.random((len(y), toxicity.VOTERS)) < np.where(y[:, None], hit, false)
+    votes, counts = np.unique(x @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
+    model = toxicity.LabelModel(dict(zip(votes.tolist(), counts.astype(float).tolist())), {})
+    assert abs(model.prior - y.mean()) < 0.02
+    assert np.abs(model.rate[1] - hit).max() < 0.05 and np.abs(model.rate[0] - false).max() < 0.03
+    said = model.of(x @ (1 << np.arange(toxicity.VOTERS))) > 0.5
+    assert (said == y).mean() > 0.98
+    # A voter that repeats another's votes shares its evidence with it; the others keep nearly all of theirs.
+    x[:, 1] = x[:, 0]
+    votes, counts = np.unique(x @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
+    weight = toxicity.LabelModel(dict(zip(votes.tolist(), counts.astype(float).tolist())), {}).weight
+    assert weight[:2].max() < 0.6 and weight[2:].min() > 0.75
+
+
 def test_toxicity_learns_rare_terms_from_all_labels(spark):
     rows = [(i, words(20, i) + (" zorgle plimf" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(2000)]
     train = [i for i in range(2001, 2100) if zlib.crc32(str(i).encode()) % 4 != 2]
