@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -57,6 +58,7 @@ class Splitter:
         added = tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.hint = commonprefix([*self.special])  # a text without it holds no special token
 
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -64,7 +66,7 @@ class Splitter:
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; special tokens' strings stand for themselves."""
-        if "<|" in text and self.marks and self.marks.search(text):
+        if self.marks and self.hint in text and self.marks.search(text):
             found: list[str] = []
             for part in self.marks.split(text):
                 found += [part] if part in self.special else self._plain(part)
