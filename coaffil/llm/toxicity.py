@@ -176,14 +176,15 @@ def fit_linear(terms: list[list[int]], target: np.ndarray, n_terms: int, steps:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
-    most_sample: int = 1 << 16,
+    most_sample: int = 1 << 16, label_trust: float = 0.98,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     ``labels`` has doc_id and toxic (0/1, null: none; of several the largest).  Learning uses all
     labels of rows that are not held out; the classifier is fitted to posterior labels of at most
     about ``most_sample`` texts not held out, chosen by a hash of the id.  A mined term in too few of
-    these has at least the weight that its counts over all labels give it.  Null and empty
+    these has at least the weight that its counts over all labels give it.  A training label counts as
+    one more voter, right in a share ``label_trust`` of all cases (a given belief, not estimated).  Null and empty
     texts get the score of a text without terms.  A null id is not held out.  Without any labels the
     fixed lexicon and the patterns decide.  Other columns are ignored.
     """
@@ -207,8 +208,8 @@ def toxicity(
     if len(sample):
         z = model.of(sample["votes"].to_numpy(np.int64))
         said = sample["toxic"].to_numpy(float)
-        # A training label is one more voter, right 98 times of 100.
-        odds = z / (1 - np.minimum(z, 1 - 1e-12)) * np.where(np.isnan(said), 1.0, np.where(said > 0, 49.0, 1 / 49.0))
+        trust = label_trust / (1 - label_trust)
+        odds = z / (1 - np.minimum(z, 1 - 1e-12)) * np.where(np.isnan(said), 1.0, np.where(said > 0, trust, 1 / trust))
         bias, weights = fit_linear(list(sample["terms"]), odds / (1 + odds), len(lexicon))
         seen = np.bincount(np.concatenate([np.empty(0, np.int64), *sample["terms"]]).astype(np.int64), minlength=len(lexicon))[: len(mined)]
         counted = np.fromiter(mined.values(), float, len(mined))
