@@ -25,6 +25,7 @@ from .util import components, join_unique, land
 NIBBLE = np.array([[(a ^ b).bit_count() for b in range(16)] for a in range(16)], dtype=np.int16)
 LEAVES = 4096  # node pairs with at most so many leaf pairs are compared leaf by leaf
 CHUNK = 1 << 18  # pairs handled at once
+KNOWN = 1 << 21  # shingle hashes that a verifying task keeps
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -259,7 +260,7 @@ def near_links(distinct: DataFrame, words: int, budget: int, parts: list[np.ndar
     """Edges (u, v) whose components are those of all pairs of ``fp`` that share a part and differ in at most ``budget`` bits.
 
     With ``loose`` also all pairs within so many bits that those links leave apart; the edges are
-    then pairs of fingerprints near each other.  ``distinct`` has one (fp, id) for each fingerprint.
+    then pairs of fingerprints near each other, with the number of differing ``bits``.  ``distinct`` has one (fp, id) for each fingerprint.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +284,11 @@ def near_links(distinct: DataFrame, words: int, budget: int, parts: list[np.ndar
             else:
                 none = [(np.empty(0, np.int64),) * 2]
                 i, j = (np.concatenate(x) for x in zip(*none, *trie.edges, *trie.apart(loose)))
-            both = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+            columns = [np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]
+            if loose is not None:
+                columns.append(np.bitwise_count(trie.fps[i] ^ trie.fps[j]).sum(axis=1, dtype=np.int64))
+            both = np.unique(np.column_stack(columns), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in both.T], ["u", "v", "bits"][: len(columns)])
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -304,7 +308,7 @@ def near_links(distinct: DataFrame, words: int, budget: int, parts: list[np.ndar
             yield links(*(np.concatenate(x) for x in zip(*held)))
 
     rows = distinct.select("fp", "id").mapInArrow(dealt, "cell long, fp binary, id long")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined, "u long, v long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined, "u long, v long" + ", bits long" * (loose is not None))
 
 
 def signatures(texts: DataFrame, k: int, words: int, similarity: float, short: int) -> DataFrame:
@@ -373,20 +377,39 @@ def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids of ``one`` (id, sha) whose texts' k-word shingle sets have the Jaccard similarity or more."""
+    """The pairs (u, v) of ids of ``one`` (id, sha) whose texts' k-word shingle sets have the Jaccard similarity or more.
+
+    A task keeps the sets of the texts that it met last, as members of a dense group meet often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def shingles(of: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if of not in known:
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
+                known[of] = shingle_set(text.as_py(), k)
+                held += len(known[of])
+            return known[of]
+
         for batch in batches:
-            keep, last, a = [], None, np.empty(0, np.uint64)
-            for u, this, other in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if u != last:  # pairs come in runs of u
-                    last, a = u, shingle_set(this.as_py(), k)
-                b = shingle_set(other.as_py(), k)
+            keep = []
+            for u, v, this, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                a, b = shingles(u, this), shingles(v, other)
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+                    keep.append(False)
+                    continue
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 either = len(a) + len(b) - shared
                 keep.append(not either or shared / either >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    # The work goes with the pairs, not with their bytes, by which small tables are coalesced.
+    pairs = pairs.repartition(1 + pairs.count() // 16384, "u")
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(one.select("id", "sha"), "id")
     wanted = land(wanted)  # of known size now: a small table is broadcast, and the texts stay where they are
     found = land(texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["id"]).select("id", "text"))
@@ -412,23 +435,36 @@ def near_dedup(
     rows = land(fingerprints(docs, id_col, text_col, k, words, distinct))
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
     one = one.withColumn("id", F.conv(F.hex("fp"), 16, -10).cast("long")) if words == 1 else land(one.withColumn("id", F.monotonically_increasing_id()))
-    named = _named(one, near_links(one, words, budget, parts_of(64 * words, budget)))
+    named = _named(one, components(near_links(one, words, budget, parts_of(64 * words, budget))))
     return join_unique(rows, named.select("fp", "component_id", "times"), ["fp"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
-def _named(one: DataFrame, links: DataFrame) -> DataFrame:
-    """Vertices ``one`` (id, least, times, ...) with ``component_id``, the smallest ``least`` of their component."""
-    one = one.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _named(one: DataFrame, parts: DataFrame) -> DataFrame:
+    """Vertices ``one`` (id, least, times, ...) with ``component_id``, the smallest ``least`` of their component in ``parts``."""
+    one = one.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     one = land(one)
     least = one.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     return land(join_unique(one, least, ["component"], "size", one.count()))
 
 
+def _grown(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``parts`` (id, component) after linking the pairs ``links`` too, which is a landed table."""
+    return parts if links.isEmpty() else components(parts.toDF("u", "v").unionByName(links))
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose rows are of different components; ``parts`` has (id, component) of linked rows."""
+    of = [parts.select(F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "uv"]
+    pairs = pairs.join(of[0], "u", "left").join(of[1], "v", "left")
+    return pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, budget: int, similarity: float, loose: int, short: int, missed: float) -> DataFrame:
     """``near_dedup`` by verified pairs only; different texts are the vertices, with numbers of their own.
 
     Pairs of fingerprints within ``loose`` bits are candidates; those within ``budget`` bits stand for
-    their group, so that a dense group costs rows in proportion to its members.  Fingerprints of
+    their group, so that a dense group costs rows in proportion to its members.  Likely pairs, by
+    their bits, are verified first, then those of the others that these leave in different components.  Fingerprints of
     few shingles are coarse: texts of up to ``short`` are also joined on shingles, which misses none.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -441,15 +477,18 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, bu
     same = join_unique(one.select("fp", F.col("id").alias("u")), root.withColumnRenamed("id", "v"), ["fp"], "n", count).where("u != v").select("u", "v")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     near = near_links(root, words, budget, parts_for(64 * words, count, differ, missed), loose)
-    links = land(near.unionByName(same).distinct())
-    links = land(verified(links, one, texts, k, similarity))
+    pairs = land(near.unionByName(same.withColumn("bits", F.lit(0).cast("long"))).distinct())
+    likely = F.col("bits") <= round(64 * words * differ)
+    parts = components(land(verified(pairs.where(likely).select("u", "v"), one, texts, k, similarity)))
+    rest = land(_across(pairs.where(~likely), parts))
+    parts = _grown(parts, land(verified(rest, one, texts, k, similarity)))
 
-    cells = one.where("size(prefix) > 0").select("id", "n", "prefix").join(components(links), "id", "left")
+    cells = one.where("size(prefix) > 0").select("id", "n", "prefix").join(parts, "id", "left")
     cells = cells.select(F.explode("prefix").alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"))
     more = land(sharing_pairs(cells, similarity))
-    links = land(links.unionByName(verified(more, one, texts, k, similarity)))
+    parts = _grown(parts, land(verified(more, one, texts, k, similarity)))
 
-    named = _named(one.select("id", "sha", "least", "times"), links)
+    named = _named(one.select("id", "sha", "least", "times"), parts)
     return join_unique(rows.select("doc_id", "sha", "fp"), named.select("sha", "component_id", "times"), ["sha"], "times", rows.count()).select("doc_id", "fp", "component_id")
 
 
