@@ -48,9 +48,9 @@ def plan(text: str, doc_id: object, marks: tuple[str, str, str], seed: int, fim_
 
 def _checked(marks: tuple[str, str, str]) -> tuple[str, str, str]:
     """Marks must be found again: none may stand in another or overlap with the start of one."""
-    for a in marks:
-        for b in marks:
-            if not a or (a is not b and a in b) or any(a[k:] == b[: len(a) - k] for k in range(1, len(a))):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            if not a or (i != j and a in b) or any(a[k:] == b[: len(a) - k] for k in range(1, len(a))):
                 raise ValueError("marks must not be empty, equal, contain or overlap one another")
     return marks
 

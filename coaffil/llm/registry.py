@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, embedding, exact_dedup, fim, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, byte_bpe, embedding, exact_dedup, fim, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_bpe": bpe.op10_bpe,
+        "op11_whitening": whitening.op11_whitening,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
         "op13_fim": fim.op13_fim,
         "pipeline": corpus_pipeline.run,
