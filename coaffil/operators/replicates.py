@@ -232,8 +232,9 @@ def fit(found: Blocks, draws: Draws = Draws(), alpha: float | dict | None = None
 
     ``alpha``: a number or one for each group; None estimates it by maximum likelihood, a Newton
     step of the profile in each round (outcomes rounded for it).  Replicates that have converged are
-    left out of later rounds; those that don't converge, are singular or run off (no outcome in an
-    arm) have ``converged`` false, and their numbers are not to be used.
+    left out of later rounds; those that don't converge, whose label is not identified (one arm) or
+    that run off (no outcome in an arm) have ``converged`` false, and their numbers are not to be
+    used.  A covariate that is constant or a combination of others does no harm.
     """
     spark, names, strata = found.df.sparkSession, found.names, found.strata
     xs = found.xs
@@ -328,12 +329,16 @@ def _step(v: dict, rep: np.ndarray, s: np.ndarray, p: int, upper: list, wanted:
     scale = np.sqrt(np.maximum(np.einsum("rii->ri", info), 1e-300))
     scaled = info / scale[:, :, None] / scale[:, None, :]
     good = np.isfinite(scaled).all((1, 2))
-    good[good] = np.linalg.cond(scaled[good]) < 1e12 if good.any() else True
+    scaled[~good] = np.eye(p)
+    # Covariates that are constant or collinear get the shortest coefficients; a label that is so has none.
+    inverse = np.linalg.pinv(scaled, rcond=1e-10, hermitian=True)
+    if p > 1:
+        good &= np.abs(np.einsum("rj,rj->r", inverse[:, 1], scaled[:, :, 1]) - 1) < 1e-6
     v["on"][rep[~good]] = False
-    rep, scaled, scale, score, s = rep[good], scaled[good], scale[good], score[good], s[good]
+    rep, inverse, scale, score, s = rep[good], inverse[good], scale[good], score[good], s[good]
     if not len(rep):
         return
-    inverse = np.linalg.inv(scaled) / scale[:, :, None] / scale[:, None, :]
+    inverse = inverse / scale[:, :, None] / scale[:, None, :]
     step = np.einsum("rij,rj->ri", inverse, score)
     step *= np.minimum(1, 5 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
     v["b"][rep] += step

@@ -1,20 +1,33 @@
-"""Regression queries over the analysis frame."""
+"""Regression queries over the analysis frame.
+
+Fits are NB2 with the label and three covariates; the dispersion is estimated by maximum likelihood
+for each specification and kept in its permutations and bootstraps.  Replicates that don't converge
+are counted and left out.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hash_uniform
 from ..operators import inference as I
+from ..operators import network
+from ..operators import replicates as R
+from ..operators.fixed_effects import fixed_effects_fit
 from ..operators.network import checkpointed
-from .views import spark_view, with_views
+from ..operators.numbering import quantile_bin, with_row_numbers
+from .views import run_sql, spark_view, with_views
 
-XS = ["treated", "log_univ"]
+COVARIATES = ["log_univ", "log_station", "log_junction"]
+XS = ["treated", *COVARIATES]
 #: Draws with a refit each.
-REPS, BOOTSTRAPS, RESIDUALS = 1000, 500, 200
+PERMUTATIONS, BOOTSTRAPS, RESIDUALS, SPEC_PERMUTATIONS = 5000, 2000, 5000, 500
+EQUIVALENCE = (0.8, 1.25)
+SUMMARY = "n long, treated long, coef double, se double, irr double, ci95_low double, ci95_high double, ci90_low double, ci90_high double, p double, alpha double, converged boolean"
+Z90 = 1.6448536269514722
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -22,123 +35,355 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
     return checkpointed(spark_view(spark, d, "frame"))
 
 
+def _catchments(spark: SparkSession, d: str) -> DataFrame:
+    """(std, anchor): the nearest anchor of most of an institution's rows, the lowest of ties."""
+    return run_sql(spark, d, """SELECT std, min_by(anchor, -n * 1000000 + anchor) AS anchor FROM (
+        SELECT affil.std, m.anchor, count(*) AS n FROM affil JOIN matches m ON m.raw = affil.raw GROUP BY affil.std, m.anchor) c GROUP BY std""")
+
+
+def _start(fits: R.Fits) -> np.ndarray:
+    """Coefficients to start permuted fits from: those observed, without the label's."""
+    b = fits.coef[0].copy()
+    b[1] = 0.0
+    return b
+
+
+def _treated(found: R.Blocks) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for (g, _), (_, label) in found.strata.items():
+        out[g] = out.get(g, 0) + int(round(label))
+    return out
+
+
+def _summary(fits: R.Fits, treated: int, k: int = 0) -> tuple:
+    """One row of a fit: the label's coefficient with its intervals; nulls where the fit did not converge."""
+    n, ok = int(fits.n[k]), bool(fits.converged[k])
+    if not ok:
+        return (n, treated, *(None,) * 9, False)
+    c, se = float(fits.coef[k, 1]), float(fits.se()[k, 1])
+    bounds = [math.exp(c + z * se) for z in (-I.Z95, I.Z95, -Z90, Z90)]
+    return (n, treated, c, se, math.exp(c), *bounds, I._p_value(c / se), float(fits.alpha[k]), True)
+
+
+def _terms(spark, fits: R.Fits, xs: list[str], spec: str) -> DataFrame:
+    """Long table of one fit; no rows but a flag would be of use where it did not converge, so coefficients are null then."""
+    se, ok, rows = fits.se()[0], bool(fits.converged[0]), []
+    for t, c, s in zip(["const", *xs], fits.coef[0].tolist(), se.tolist()):
+        known = (c, s, math.exp(min(c, 700.0)), math.exp(min(c - I.Z95 * s, 700.0)), math.exp(min(c + I.Z95 * s, 700.0)), I._p_value(c / s)) if ok else (None,) * 6
+        rows.append((spec, t, *known, float(fits.alpha[0]), ok))
+    return spark.createDataFrame(rows, "spec string, term string, coef double, se double, ratio double, ci95_low double, ci95_high double, p double, alpha double, converged boolean")
+
+
+def _fitted(spark, d, xs: list[str] | None = None, alpha: float | None = None, frame: DataFrame | None = None):
+    frame = _frame(spark, d) if frame is None else frame
+    found = R.blocks(frame, "degree", xs or XS, ["std"])
+    return frame, found, R.fit(found, alpha=alpha)["all"]
+
+
 def nb_glm_binary(spark, d):
-    fits = I.nb_fit(_frame(spark, d), ["treated"])
-    return I.coefficients(spark, fits, ["treated"], "binary").where("term = 'treated'").select("term", F.round("coef", 6).alias("coef"))
+    fits = _fitted(spark, d, ["treated"], 1.0)[2]
+    return _terms(spark, fits, ["treated"], "binary").where("term = 'treated'").select("term", F.round("coef", 6).alias("coef"))
 
 
 def nb_glm(spark, d):
-    frame = _frame(spark, d)
-    alpha, b, inverse = I.nb_dispersion(frame, XS)
-    return I.coefficients(spark, {"all": (b, inverse)}, XS, "headline").withColumn("alpha", F.lit(alpha))
+    return _terms(spark, _fitted(spark, d)[2], XS, "headline")
 
 
 def nb_dispersion(spark, d):
-    alpha, b, _ = I.nb_dispersion(_frame(spark, d), XS)
-    return spark.createDataFrame([(alpha, float(b[1]))], "alpha double, coef double")
+    fits = _fitted(spark, d)[2]
+    return spark.createDataFrame([(float(fits.alpha[0]), float(fits.coef[0, 1]), bool(fits.converged[0]))], "alpha double, coef double, converged boolean")
 
 
 def nb_glm_alpha1(spark, d):
-    return I.coefficients(spark, I.nb_fit(_frame(spark, d), XS), XS, "alpha1")
+    return _terms(spark, _fitted(spark, d, alpha=1.0)[2], XS, "alpha1")
 
 
 def nb_glm_productivity(spark, d):
     xs = [*XS, "log_papers"]
-    return I.coefficients(spark, I.nb_fit(_frame(spark, d), xs), xs, "productivity")
+    return _terms(spark, _fitted(spark, d, xs)[2], xs, "productivity")
 
 
 def nb_vs_poisson(spark, d):
-    frame = _frame(spark, d)
-    alpha, b, _ = I.nb_dispersion(frame, XS)
-    poisson = I.nb_fit(frame, XS, alpha=0.0)["all"][0]
-    nb, po = I.log_likelihood(frame, XS, b, alpha), I.log_likelihood(frame, XS, poisson, 0.0)
-    return spark.createDataFrame([(nb, po, 2 * (nb - po), 2 * 4 - 2 * nb, 2 * 3 - 2 * po)], "ll_nb double, ll_poisson double, lr double, aic_nb double, aic_poisson double")
+    frame, found, fits = _fitted(spark, d)
+    poisson = R.fit(found, alpha=0.0)["all"]
+    nb, po = I.log_likelihood(frame, XS, fits.coef[0], float(fits.alpha[0])), I.log_likelihood(frame, XS, poisson.coef[0], 0.0)
+    p = len(XS) + 1
+    return spark.createDataFrame([(nb, po, 2 * (nb - po), 2 * (p + 1) - 2 * nb, 2 * p - 2 * po)], "ll_nb double, ll_poisson double, lr double, aic_nb double, aic_poisson double")
 
 
 def nb_fixed_effects(spark, d):
-    frame = _frame(spark, d)
-    groups = sorted(r[0] for r in frame.select("country").distinct().collect())[1:]  # at most the registry's countries
-    xs = ["treated", *[f"g{i}" for i in range(len(groups))]]
-    frame = frame.select("degree", "treated", *[(F.col("country") == g).cast("double").alias(f"g{i}") for i, g in enumerate(groups)])
-    return I.coefficients(spark, I.nb_fit(frame, xs), xs, "fixed_effects").where("term = 'treated'")
+    """Effects of countries beside the covariates, with the dispersion of the model without them."""
+    frame, _, fits = _fitted(spark, d)
+    got = fixed_effects_fit(frame, XS, "country", alpha=float(fits.alpha[0]))
+    c, se = float(got.coef[0]), math.sqrt(got.inverse[0, 0]) if got.converged else math.nan
+    with_treated = frame.where("treated = 1 and country is not null").select("country").distinct().count()
+    row = (got.rows, got.groups, got.groups_dropped, with_treated, c, se, math.exp(c), math.exp(c - I.Z95 * se), math.exp(c + I.Z95 * se), I._p_value(c / se), float(fits.alpha[0]), got.converged)
+    return spark.createDataFrame([row], "n long, countries long, countries_dropped long, countries_with_treated long, coef double, se double, irr double, ci95_low double, ci95_high double, p double, alpha double, converged boolean")
+
+
+# --- specifications --------------------------------------------------------------------------------
+
+
+def spec_frame(spark: SparkSession, d: str, frame: DataFrame | None = None) -> DataFrame:
+    """The frame under each specification: columns of the frame, and spec.
+
+    Caps leave out works of as many institutions or more and rebuild the degrees; the joint
+    perturbation also takes the label from institutions whose nearest anchor is in doubt.
+    """
+    frame = _frame(spark, d) if frame is None else frame
+    affil = spark_view(spark, d, "affil")
+    columns = ["std", "treated", *COVARIATES, "log_papers", "country"]
+    base = frame.select(*columns, F.col("degree").cast("double").alias("degree"))
+    out = base.withColumn("spec", F.lit("headline"))
+    capped = spark_view(spark, d, "capped").where("cap >= 4").select(*columns, F.col("degree").cast("double").alias("degree"), F.concat(F.lit("cap_"), F.col("cap").cast("string")).alias("spec"))
+    out = out.unionByName(capped)
+    doubtful = run_sql(spark, d, "SELECT f.std FROM first_raw f JOIN matches m ON m.raw = f.raw JOIN anchors a ON a.anchor = m.anchor WHERE a.name LIKE '%IA%'").select("std").distinct().withColumn("doubtful", F.lit(True))
+    joint = capped.where("spec = 'cap_10'").join(doubtful, "std", "left").withColumn("treated", F.when(F.col("doubtful"), 0).otherwise(F.col("treated"))).drop("doubtful")
+    out = out.unionByName(joint.withColumn("spec", F.lit("joint_perturbation")))
+    other = base.drop("degree")
+    whole = other.join(network.degree_fractional(affil, "paper", "std"), "std").withColumn("spec", F.lit("fractional"))
+    out = out.unionByName(whole)
+    supported = network.author_supported_degree(affil, "paper", "std", "author").select("std", F.col("degree_supported").cast("double").alias("degree"))
+    return out.unionByName(other.join(supported, "std").withColumn("spec", F.lit("author_supported")))
+
+
+def _spec_fits(spark, d):
+    found = R.blocks(spec_frame(spark, d), "degree", XS, ["std"], group="spec")
+    return found, R.fit(found)
+
+
+def _removed(fits: dict[str, R.Fits], spec: str, base: str = "headline") -> float | None:
+    """Share of the base's log effect that a specification takes away."""
+    if not (fits[spec].converged[0] and fits[base].converged[0]) or not fits[base].coef[0, 1]:
+        return None
+    return 1 - float(fits[spec].coef[0, 1] / fits[base].coef[0, 1])
+
+
+def spec_fits(spark, d):
+    """One fit a specification, each with its own dispersion, and the productivity-controlled headline."""
+    found, fits = _spec_fits(spark, d)
+    treated = _treated(found)
+    rows = [(s, *_summary(f, treated[s]), _removed(fits, s)) for s, f in sorted(fits.items())]
+    more = _fitted(spark, d, [*XS, "log_papers"])[2]
+    rows.append(("headline_productivity", *_summary(more, treated["headline"]), _removed({"headline": fits["headline"], "p": more}, "p")))
+    return spark.createDataFrame(rows, f"spec string, {SUMMARY}, log_effect_removed double")
+
+
+def spec_permutations(spark, d):
+    """Permutation p and bootstrap of each specification, with the dispersion of its own fit."""
+    found, fits = _spec_fits(spark, d)
+    kept = {s: f for s, f in fits.items() if f.converged[0]}
+    alpha, start = {s: float(f.alpha[0]) for s, f in fits.items()}, {s: _start(f) for s, f in kept.items()}
+    perm = R.fit(found, R.Draws("permute", SPEC_PERMUTATIONS, 8), alpha=alpha, start=start)
+    boot = R.fit(found, R.Draws("bootstrap", SPEC_PERMUTATIONS, 9), alpha=alpha, start={s: f.coef[0] for s, f in kept.items()})
+    rows = []
+    for s, f in sorted(kept.items()):
+        c, p, b = float(f.coef[0, 1]), perm[s], boot[s]
+        drawn = b.coef[b.converged, 1]
+        sd = float(drawn.std(ddof=1)) if len(drawn) > 1 else None
+        rows.append((s, c, _permutation_p(c, p), int((~p.converged).sum()), sd, *(float(np.exp(np.percentile(drawn, q))) if len(drawn) else None for q in (2.5, 97.5)), I.tost(c, sd, *EQUIVALENCE) if sd else None, int((~b.converged).sum())))
+    return spark.createDataFrame(rows, "spec string, coef double, permutation_p double, permutations_dropped long, bootstrap_sd double, bootstrap_low double, bootstrap_high double, tost_p_bootstrap double, bootstraps_dropped long")
 
 
 def covariate_attenuation(spark, d):
+    """Each coefficient in the headline, under a cap of 10 and counted fractionally, and the shares removed."""
+    _, fits = _spec_fits(spark, d)
+    specs = ["headline", "cap_10", "fractional"]
+    rows = []
+    for k, t in enumerate(XS):
+        h, c, f = (float(fits[s].coef[0, k + 1]) if fits[s].converged[0] else None for s in specs)
+        rows.append((t, h, c, f, *(1 - v / h if h and v is not None else None for v in (c, f))))
+    return spark.createDataFrame(rows, "term string, headline double, cap_10 double, fractional double, removed_cap_10 double, removed_fractional double")
+
+
+def threshold_fits(spark, d):
+    """The label by each match radius, fitted at dispersion 1; radii with fewer than 5 labelled institutions are left out."""
+    from .sql_queries import RADII
+
+    frame = run_sql(spark, d, f"""SELECT x.radius, f.std, f.degree, CASE WHEN 2 * x.yes > x.n THEN 1 ELSE 0 END AS treated, f.log_univ, f.log_station, f.log_junction FROM (
+        SELECT q.radius, affil.std, sum(CASE WHEN m.distance <= q.radius THEN 1 ELSE 0 END) AS yes, count(m.distance) AS n FROM affil LEFT JOIN matches m ON m.raw = affil.raw CROSS JOIN {RADII} q GROUP BY q.radius, affil.std) x
+        JOIN frame f ON f.std = x.std""").withColumn("radius", F.col("radius").cast("long"))
+    found = R.blocks(frame, "degree", XS, ["std"], group="radius")
+    treated = _treated(found)
+    rows = [(int(g), *_summary(f, treated[g])) for g, f in sorted(R.fit(found, alpha=1.0).items(), key=lambda x: int(x[0])) if treated[g] >= 5]
+    return spark.createDataFrame(rows, f"radius long, {SUMMARY}")
+
+
+def leave_one_out_fits(spark, d):
+    """The headline without each country in turn, at dispersion 1."""
     frame = _frame(spark, d)
-    base, more = I.nb_fit(frame, XS)["all"][0], I.nb_fit(frame, [*XS, "log_papers"])["all"][0]
-    rows = [(t, float(b), float(m), 1 - float(m) / float(b) if b else None) for t, b, m in zip(["const", *XS], base, more)]
-    return spark.createDataFrame(rows, "term string, base double, spec double, attenuation double")
+    counts = sorted((r.country, r.n, r.t) for r in frame.where("country is not null").groupBy("country").agg(F.count("*").alias("n"), F.sum("treated").alias("t")).collect())
+    codes = spark.createDataFrame([(c, float(k)) for k, (c, _, _) in enumerate(counts)], "country string, code double")
+    coded = frame.join(F.broadcast(codes), "country", "left").na.fill(-1.0, ["code"])  # a row a country
+    found = R.blocks(coded, "degree", XS, ["std"], extra=("code",))
+    fits = R.fit(found, R.Draws("leave", len(counts), extra="code"), alpha=1.0)["all"]
+    treated = _treated(found)["all"]
+    rows = [(c, *_summary(fits, treated - t, k)) for k, (c, _, t) in enumerate(counts)]
+    return spark.createDataFrame(rows, f"country string, {SUMMARY}")
+
+
+def vintage_fits(spark, d):
+    """Headline, cap 10 and fractional with the density counted within half the radius, and their shares of its log effect."""
+    from ..operators import geo
+
+    raw = spark_view(spark, d, "raw_geo").where("lat is not null")
+    close = geo.within_radius(raw, spark_view(spark, d, "points"), "raw", "point", 5e5).groupBy("raw").agg(F.count("*").alias("close"))
+    swap = spark_view(spark, d, "first_raw").join(close, "raw", "left").select("std", F.log1p(F.coalesce("close", F.lit(0)).cast("double")).alias("log_close"))
+    frame = spec_frame(spark, d).where("spec in ('headline', 'cap_10', 'fractional')").join(swap, "std").drop("log_univ").withColumnRenamed("log_close", "log_univ")
+    found = R.blocks(frame, "degree", XS, ["std"], group="spec")
+    fits, treated = R.fit(found), _treated(found)
+    return spark.createDataFrame([(s, *_summary(f, treated[s]), _removed(fits, s)) for s, f in sorted(fits.items())], f"spec string, {SUMMARY}, log_effect_removed double")
+
+
+def vif_model(spark, d):
+    """Variance inflation of each predictor of the productivity model: the diagonal of the inverse correlation matrix.
+
+    Null for a constant predictor; infinite for all where they are collinear.
+    """
+    xs = [*XS, "log_papers"]
+    frame = spark_view(spark, d, "frame")
+    upper = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    x = [F.col(c).cast("double") for c in xs]
+    cells = frame.agg(*[F.covar_pop(x[i], x[j]) for i, j in upper]).first()
+    v = np.zeros((len(xs), len(xs)))
+    for c, (i, j) in zip(cells, upper):
+        v[i, j] = v[j, i] = c or 0.0
+    varied = np.diag(v) > 1e-12
+    sd = np.sqrt(np.diag(v)[varied])
+    c = v[np.ix_(varied, varied)] / np.outer(sd, sd)
+    values = np.diag(np.linalg.inv(c)).tolist() if varied.any() and np.linalg.cond(c) < 1e12 else [math.inf] * int(varied.sum())
+    found = dict(zip(np.array(xs)[varied].tolist(), values))
+    return spark.createDataFrame([(t, found.get(t)) for t in xs], "term string, vif double")
+
+
+# --- tests and errors ------------------------------------------------------------------------------
 
 
 def tost(spark, d):
-    frame = _frame(spark, d)
-    b, inverse = I.nb_fit(frame, XS)["all"]
-    se = math.sqrt(inverse[1, 1])
-    rows = [(form, float(b[1]), I.tost(b[1], se, df=df)) for form, df in (("normal", None), ("student", frame.count() - len(b)))]
-    return spark.createDataFrame(rows, "form string, coef double, p double").withColumn("equivalent", F.col("p") < 0.05)
+    """Equivalence of the label's rate ratio: normal and Student's form, and with the bootstrap's standard deviation."""
+    _, found, fits = _fitted(spark, d)
+    c, se, df = float(fits.coef[0, 1]), float(fits.se()[0, 1]), int(fits.n[0]) - len(XS) - 1
+    boot = R.fit(found, R.Draws("bootstrap", SPEC_PERMUTATIONS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
+    sd = float(boot.coef[boot.converged, 1].std(ddof=1))
+    rows = [(form, c, e, I.tost(c, e, *EQUIVALENCE, df=k)) for form, e, k in (("normal", se, None), ("student", se, df), ("bootstrap", sd, None))]
+    return spark.createDataFrame(rows, "form string, coef double, se double, p double").withColumn("equivalent", F.col("p") < 0.05)
 
 
 def sandwich_se(spark, d):
-    frame = _frame(spark, d)
-    b, inverse = I.nb_fit(frame, XS)["all"]
-    hc0, hc3 = (I.sandwich(frame, XS, b, inverse, 1.0, leverage=k) for k in (False, True))
-    return spark.createDataFrame([(t, *map(float, v)) for t, *v in zip(["const", *XS], b, hc0, hc3)], "term string, coef double, hc0 double, hc3 double")
+    frame, _, fits = _fitted(spark, d)
+    hc0, hc3 = (I.sandwich(frame, XS, fits.coef[0], fits.inverse[0], float(fits.alpha[0]), leverage=k) for k in (False, True))
+    return spark.createDataFrame([(t, *map(float, v)) for t, *v in zip(["const", *XS], fits.coef[0], fits.se()[0], hc0, hc3)], "term string, coef double, model_se double, hc0 double, hc3 double")
 
 
 def cluster_se(spark, d):
-    frame = _frame(spark, d)
-    b, inverse = I.nb_fit(frame, XS)["all"]
-    se = I.sandwich(frame, XS, b, inverse, 1.0, cluster="country")
-    return spark.createDataFrame([(t, float(c), float(s)) for t, c, s in zip(["const", *XS], b, se)], "term string, coef double, cluster_se double")
+    """Standard errors clustered by country and by the catchment of the nearest anchor; rows without one are a cluster together."""
+    frame, _, fits = _fitted(spark, d)
+    frame = checkpointed(frame.join(_catchments(spark, d), "std", "left").withColumn("catchment", F.coalesce(F.col("anchor").cast("string"), F.lit(""))).na.fill("", ["country"]))
+    country, catchment = (I.sandwich(frame, XS, fits.coef[0], fits.inverse[0], float(fits.alpha[0]), cluster=c) for c in ("country", "catchment"))
+    return spark.createDataFrame([(t, *map(float, v)) for t, *v in zip(["const", *XS], fits.coef[0], country, catchment)], "term string, coef double, country_se double, catchment_se double")
+
+
+# --- permutations ----------------------------------------------------------------------------------
 
 
-def _replicated(frame: DataFrame, reps: int, seed: int) -> DataFrame:
-    spark = frame.sparkSession
-    return frame.crossJoin(F.broadcast(spark.range(1, reps + 1).withColumnRenamed("id", "rep"))).withColumn("u", hash_uniform(F.col("std"), F.col("rep"), F.lit(seed)))
+def _permutation_p(seen: float, fits: R.Fits) -> float:
+    drawn = fits.coef[fits.converged, 1]
+    return float((np.sum(np.abs(drawn) >= abs(seen)) + 1) / (len(drawn) + 1))
+
+
+def _null_row(scheme: str, strata: int, seen: float, fits: R.Fits) -> tuple:
+    """Statistics of the draws that converged; nulls where fewer than two did."""
+    c = fits.coef[fits.converged, 1]
+    if len(c) < 2 or not c.std():
+        return (scheme, strata, seen, len(c), int((~fits.converged).sum()), _permutation_p(seen, fits), *(None,) * 9)
+    sd, size = float(c.std(ddof=1)), np.abs(c)
+    off = c - c.mean()
+    p95, p99 = (float(np.percentile(size, q)) for q in (95, 99))
+    return (
+        scheme, strata, seen, len(c), int((~fits.converged).sum()), _permutation_p(seen, fits), float(c.mean()), sd, float((off**3).mean() / (off**2).mean() ** 1.5),
+        float((off**4).mean() / (off**2).mean() ** 2 - 3), p95, p99, p95 / sd, float((size > 3 * sd).mean()), abs(seen) / sd,
+    )
+
+
+NULL = "scheme string, strata long, coef double, draws long, draws_dropped long, p double, mean double, sd double, skew double, kurtosis double, p95 double, p99 double, p95_over_sd double, beyond_3sd double, observed_over_sd double"
 
 
 def label_permutation(spark, d):
-    frame = _frame(spark, d)
-    seen = float(I.nb_fit(frame, XS)["all"][0][1])
-    w = Window.partitionBy("rep").orderBy("u", "std")
-    drawn = _replicated(frame, REPS, 17).withColumn("n1", F.sum("treated").over(Window.partitionBy("rep"))).withColumn("treated", (F.row_number().over(w) <= F.col("n1")).cast("int"))
-    found = [float(b[1]) for b, _ in I.nb_fit(checkpointed(drawn), XS, group="rep").values()]
-    p = (1 + sum(abs(x) >= abs(seen) for x in found)) / (len(found) + 1)
-    return spark.createDataFrame([(seen, len(found), p)], "coef double, reps long, p double")
+    """The label dealt anew over all rows, the whole model refitted for each draw; p95 is the critical value."""
+    _, found, fits = _fitted(spark, d)
+    drawn = R.fit(found, R.Draws("permute", PERMUTATIONS, 17), alpha=float(fits.alpha[0]), start={"all": _start(fits)})["all"]
+    return spark.createDataFrame([_null_row("unrestricted", 1, float(fits.coef[0, 1]), drawn)], NULL)
+
+
+def stratified_permutation_fits(spark, d):
+    """The label dealt inside countries, density quintiles and deciles, and by catchment, with full refits."""
+    frame, _, fits = _fitted(spark, d)
+    seen, alpha, start = float(fits.coef[0, 1]), float(fits.alpha[0]), {"all": _start(fits)}
+    ranked, n = with_row_numbers(frame, "log_univ", "std")
+    ranked = ranked.join(_catchments(spark, d), "std", "left")
+    schemes = {
+        "country": F.coalesce("country", F.lit("")), "density_quintile": quantile_bin(F.col("row_number"), n, 5).cast("string"),
+        "density_decile": quantile_bin(F.col("row_number"), n, 10).cast("string"), "catchment": F.coalesce(F.col("anchor").cast("string"), F.lit("")),
+    }
+    rows = []
+    for name, column in schemes.items():
+        found = R.blocks(ranked.withColumn("stratum", column), "degree", XS, ["std"], stratum="stratum")
+        counts = tuple(sorted((s, size, int(round(t))) for (_, s), (size, t) in found.strata.items()))
+        kind = R.Draws("deal", SPEC_PERMUTATIONS, 3, counts=counts) if name == "catchment" else R.Draws("permute", SPEC_PERMUTATIONS, 14)
+        rows.append(_null_row(name, len(counts), seen, R.fit(found, kind, alpha=alpha, start=start)["all"]))
+    return spark.createDataFrame(rows, NULL)
+
+
+def hub_loading_fits(spark, d):
+    """How far the extreme null draws are those that label the institutions of highest degree."""
+    frame, _, fits = _fitted(spark, d)
+    cut = frame.agg(F.percentile("degree", F.lit(0.99))).first()[0]
+    found = R.blocks(frame.withColumn("hub", (F.col("degree") >= cut).cast("double")), "degree", XS, ["std"], extra=("hub",))
+    draws = R.Draws("permute", PERMUTATIONS, 17)
+    drawn = R.fit(found, draws, alpha=float(fits.alpha[0]), start={"all": _start(fits)})["all"]
+    hubs, size = R.label_sums(found, draws, "hub")["all"][drawn.converged], np.abs(drawn.coef[drawn.converged, 1])
+    extreme = size >= np.percentile(size, 95)
+    r = float(np.corrcoef(size, hubs)[0, 1]) if hubs.std() else None
+    return spark.createDataFrame([(len(size), r, float(hubs[extreme].mean()), float(hubs.mean()))], "draws long, correlation double, hubs_in_extreme_draws double, hubs double")
 
 
 def residual_permutation(spark, d):
-    """Residuals of the label given the covariate, permuted by hash rank, stand in for the label."""
-    frame = _frame(spark, d)
-    slope, cut = frame.agg(F.regr_slope("treated", "log_univ"), F.regr_intercept("treated", "log_univ")).first()
-    resid = frame.withColumn("res", F.col("treated") - ((slope or 0.0) * F.col("log_univ") + (cut or 0.0)))
-    resid = checkpointed(resid)
-    seen = float(I.nb_fit(resid, XS)["all"][0][1])
-    ranked = _replicated(resid, RESIDUALS, 23)
-    a = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("std")))
-    b = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("u", "std"))).select("rep", "i", F.col("res").alias("label"))
-    # The fitted part is linear in the covariate and a constant, which stay in the model: the residual alone gives the same coefficient.
-    fits = I.nb_fit(checkpointed(a.drop("res").join(b, ["rep", "i"])), ["label", "log_univ"], group="rep")
-    found = [float(b[1]) for b, _ in fits.values()]
-    p = (1 + sum(abs(x) >= abs(seen) for x in found)) / (len(found) + 1)
-    return spark.createDataFrame([(seen, len(found), p)], "coef double, reps long, p double")
+    """The part of the label that the covariates leave unexplained is permuted, their part stays; full refits."""
+    frame, _, fits = _fitted(spark, d)
+    names = ["_one", *COVARIATES]
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in COVARIATES]]
+    p = len(names)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    cells = frame.agg(*[F.sum(x[i] * x[j]) for i, j in upper], *[F.sum(v * F.col("treated")) for v in x]).first()
+    m = np.zeros((p, p))
+    for v, (i, j) in zip(cells, upper):
+        m[i, j] = m[j, i] = v
+    slope = np.linalg.lstsq(m, np.array(cells[len(upper) :], float), rcond=None)[0]
+    stay = sum((float(b) * v for b, v in zip(slope, x)), F.lit(0.0))
+    found = R.blocks(frame.withColumn("stay", stay), "degree", XS, ["std"], extra=("stay",))
+    n = found.strata["all", ""][0]
+    if n > 1 << 25:
+        raise ValueError("the remainders of more than 2^25 rows (256 MB) are not broadcast")
+    rest = np.empty(n)
+    parts = found.df.select("_leaf", F.transform(F.arrays_zip("_v1", f"_e{0}"), lambda z: z["_v1"] - z["_e0"]).alias("rest"))
+    for r in parts.toLocalIterator():
+        rest[r._leaf * R.LEAF : r._leaf * R.LEAF + len(r.rest)] = r.rest
+    draws = R.Draws("shift", RESIDUALS, 23, extra="stay", rest=spark.sparkContext.broadcast(rest))  # 8 bytes a row, checked above
+    drawn = R.fit(found, draws, alpha=float(fits.alpha[0]), start={"all": _start(fits)})["all"]
+    return spark.createDataFrame([_null_row("residual", 1, float(fits.coef[0, 1]), drawn)], NULL)
 
 
 def bootstrap_coef(spark, d):
-    frame = _frame(spark, d)
-    n = frame.count()
-    numbered = frame.withColumn("i", F.row_number().over(Window.orderBy("std")) - 1)
-    draws = spark.range(n).crossJoin(F.broadcast(spark.range(1, BOOTSTRAPS + 1).withColumnRenamed("id", "rep")))
-    pick = F.least(F.floor(n * hash_uniform(F.col("id"), F.col("rep"), F.lit(31))), F.lit(n - 1))
-    times = draws.groupBy("rep", pick.alias("i")).agg(F.count("*").alias("m"))
-    fits = I.nb_fit(checkpointed(times.join(numbered, "i")), XS, group="rep", weight="m")
-    c = I.coefficients(spark, fits, XS, "bootstrap").where("term = 'treated'")
-    return c.agg(F.count("*").alias("reps"), F.percentile("coef", F.lit(0.025)).alias("low"), F.percentile("coef", F.lit(0.975)).alias("high"), F.percentile("coef", F.lit(0.05)).alias("low90"), F.percentile("coef", F.lit(0.95)).alias("high90"), F.stddev_samp("coef").alias("sd"))
+    _, found, fits = _fitted(spark, d)
+    drawn = R.fit(found, R.Draws("bootstrap", BOOTSTRAPS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
+    c = drawn.coef[drawn.converged, 1]
+    return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(float(np.percentile(c, q)) for q in (2.5, 97.5, 5, 95)), float(c.std(ddof=1)))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
 
 
 QUERIES = {f.__name__: f for f in (
-    nb_glm_binary, nb_glm, nb_dispersion, nb_glm_alpha1, nb_glm_productivity, nb_vs_poisson, nb_fixed_effects, covariate_attenuation,
-    tost, sandwich_se, cluster_se, label_permutation, residual_permutation, bootstrap_coef,
+    nb_glm_binary, nb_glm, nb_dispersion, nb_glm_alpha1, nb_glm_productivity, nb_vs_poisson, nb_fixed_effects, covariate_attenuation, spec_fits, spec_permutations,
+    threshold_fits, leave_one_out_fits, vintage_fits, vif_model, tost, sandwich_se, cluster_se, label_permutation, stratified_permutation_fits, hub_loading_fits,
+    residual_permutation, bootstrap_coef,
 )}
 #: With a binary label alone the coefficient is the log ratio of the arms' means, whatever the dispersion.
 ORACLE = {

@@ -53,16 +53,16 @@ VIEWS = {
     "degrees": "SELECT s.std, coalesce(d.degree, 0) AS degree FROM (SELECT DISTINCT std FROM membership) s LEFT JOIN (SELECT v AS std, count(*) AS degree FROM (SELECT a AS v FROM edges UNION ALL SELECT b FROM edges) e GROUP BY v) d ON s.std = d.std",
     "labels_std": """SELECT std, coalesce(2 * sum(CASE WHEN near THEN 1 ELSE 0 END) > count(near), false) AS treated
         FROM affil LEFT JOIN matches ON affil.raw = matches.raw GROUP BY std""",
-    "counts_raw": f"""SELECT m.raw, count(p.point) AS around, min(d) AS nearest, min(CASE WHEN p.category = 'BUILDING' THEN d END) AS junction FROM matches m LEFT JOIN (
+    "counts_raw": f"""SELECT m.raw, count(p.point) AS around, min(d) AS nearest, min(CASE WHEN p.category = 'AUTOMOBILE' THEN d END) AS station, min(CASE WHEN p.category = 'BUILDING' THEN d END) AS junction FROM matches m LEFT JOIN (
         SELECT r.raw, p.point, p.category, {dist('r', 'p')} AS d FROM matches r CROSS JOIN points p) p ON p.raw = m.raw AND p.d <= 1e6 GROUP BY m.raw""",
     "first_raw": "SELECT std, min_by(affil.raw, affil.paper * 100000000 + affil.line * 10000000 + affil.raw) AS raw FROM affil JOIN matches ON affil.raw = matches.raw GROUP BY std",
     "caps": "SELECT CAST(cap AS BIGINT) AS cap FROM (VALUES (3), (4), (6), (8), (10)) v(cap)",
     "frame": """SELECT d.std, d.degree, CASE WHEN l.treated THEN 1 ELSE 0 END AS treated, ln(1e0 + c.around) AS log_univ,
-          ln(1e0 + coalesce(c.nearest, 4e6)) AS log_near, ln(1e0 + coalesce(c.junction, 4e6)) AS log_junction, p.papers, ln(1e0 + p.papers) AS log_papers, g.country
+          ln(1e0 + coalesce(c.nearest, 4e6)) AS log_near, ln(1e0 + coalesce(c.station, 4e6)) AS log_station, ln(1e0 + coalesce(c.junction, 4e6)) AS log_junction, p.papers, ln(1e0 + p.papers) AS log_papers, g.country
         FROM degrees d JOIN labels_std l ON d.std = l.std JOIN first_raw f ON f.std = d.std JOIN counts_raw c ON c.raw = f.raw
         JOIN (SELECT std, count(*) AS papers FROM membership GROUP BY std) p ON p.std = d.std
         JOIN raw_country g ON g.raw = f.raw""",
-    "capped": """SELECT p.cap, f.std, f.treated, f.log_univ, f.log_near, f.log_junction, f.log_papers, f.country, coalesce(d.degree, 0) AS degree
+    "capped": """SELECT p.cap, f.std, f.treated, f.log_univ, f.log_station, f.log_junction, f.log_papers, f.country, coalesce(d.degree, 0) AS degree
         FROM (SELECT DISTINCT c.cap, m.std FROM caps c JOIN sizes s ON s.k < c.cap JOIN membership m ON m.paper = s.paper) p JOIN frame f ON f.std = p.std
         LEFT JOIN (SELECT cap, v AS std, count(*) AS degree FROM (SELECT DISTINCT c.cap, p.a AS v, p.b AS w FROM caps c JOIN sizes s ON s.k < c.cap JOIN pairs p ON p.paper = s.paper
           UNION ALL SELECT DISTINCT c.cap, p.b, p.a FROM caps c JOIN sizes s ON s.k < c.cap JOIN pairs p ON p.paper = s.paper) e GROUP BY cap, v) d ON d.cap = p.cap AND d.std = p.std""",
@@ -136,8 +136,8 @@ def _counts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark_view(spark, sf_dir, "raw_geo").where("lat is not null")
     points = spark_view(spark, sf_dir, "points")
     near = geo_ops.within_radius(raw, points, "raw", "point", 1e6).join(points.select("point", "category"), "point")
-    junction = F.min(F.when(F.col("category") == "BUILDING", F.col("distance"))).alias("junction")
-    near = near.groupBy("raw").agg(F.count("*").alias("around"), F.min("distance").alias("nearest"), junction)
+    of = lambda kind: F.min(F.when(F.col("category") == kind, F.col("distance")))
+    near = near.groupBy("raw").agg(F.count("*").alias("around"), F.min("distance").alias("nearest"), of("AUTOMOBILE").alias("station"), of("BUILDING").alias("junction"))
     return raw.select("raw").join(near, "raw", "left").na.fill(0, ["around"])
 
 
