@@ -139,8 +139,8 @@ class Draws:
 
     "observed": nothing; "permute": the label is dealt anew inside each stratum; "bootstrap": rows
     are drawn with replacement inside each stratum; "leave": replicate r leaves out the rows whose
-    column ``extra`` is r; "without": column ``extra`` holds each row's outcome loss (unsigned
-    16-bit numbers by replicate) and a row whose loss is 65535 is left out; "deal": the strata's
+    column ``extra`` is r; "without": column ``extra`` holds each row's outcome loss (32-bit
+    integers by replicate) and a row whose loss is -1 is left out; "deal": the strata's
     label counts are dealt among the strata, then labels inside each; "shift": a row's label is its
     part ``extra`` that stays and the remainder of another row, ``rest`` being a broadcast of all
     remainders by row number (one group and stratum; whoever broadcasts them checks their size).
@@ -169,8 +169,8 @@ class Draws:
         if self.kind == "leave":
             return y, label, (block[self.extra][:, None] != chosen[None, :]).astype(float)
         if self.kind == "without":
-            loss = np.frombuffer(b"".join(block[self.extra]), "<u2").reshape(len(y), self.reps)[:, chosen]
-            return np.where(loss == 65535, 0.0, y - loss), label, (loss != 65535).astype(float)
+            loss = np.frombuffer(b"".join(block[self.extra]), "<i4").reshape(len(y), self.reps)[:, chosen]
+            return np.where(loss < 0, 0.0, y - loss), label, (loss >= 0).astype(float)
         return y, label, one
 
 

@@ -13,18 +13,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import exclusion
 from ..operators import inference as I
 from ..operators import network
 from ..operators import replicates as R
 from ..operators.fixed_effects import fixed_effects_fit
 from ..operators.network import checkpointed
 from ..operators.numbering import quantile_bin, with_row_numbers
+from .sql_queries import PLACEBO, PLACEBOS, RADII
 from .views import run_sql, spark_view, with_views
 
 COVARIATES = ["log_univ", "log_station", "log_junction"]
 XS = ["treated", *COVARIATES]
 #: Draws with a refit each.
-PERMUTATIONS, BOOTSTRAPS, RESIDUALS, SPEC_PERMUTATIONS = 5000, 2000, 5000, 500
+PERMUTATIONS, BOOTSTRAPS, RESIDUALS, SPEC_PERMUTATIONS, PLACEBO_FITS = 5000, 2000, 5000, 500, 1000
 EQUIVALENCE = (0.8, 1.25)
 SUMMARY = "n long, treated long, coef double, se double, irr double, ci95_low double, ci95_high double, ci90_low double, ci90_high double, p double, alpha double, converged boolean"
 Z90 = 1.6448536269514722
@@ -198,8 +200,6 @@ def covariate_attenuation(spark, d):
 
 def threshold_fits(spark, d):
     """The label by each match radius, fitted at dispersion 1; radii with fewer than 5 labelled institutions are left out."""
-    from .sql_queries import RADII
-
     frame = run_sql(spark, d, f"""SELECT x.radius, f.std, f.degree, CASE WHEN 2 * x.yes > x.n THEN 1 ELSE 0 END AS treated, f.log_univ, f.log_station, f.log_junction FROM (
         SELECT q.radius, affil.std, sum(CASE WHEN m.distance <= q.radius THEN 1 ELSE 0 END) AS yes, count(m.distance) AS n FROM affil LEFT JOIN matches m ON m.raw = affil.raw CROSS JOIN {RADII} q GROUP BY q.radius, affil.std) x
         JOIN frame f ON f.std = x.std""").withColumn("radius", F.col("radius").cast("long"))
@@ -380,12 +380,66 @@ def bootstrap_coef(spark, d):
     return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(float(np.percentile(c, q)) for q in (2.5, 97.5, 5, 95)), float(c.std(ddof=1)))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
 
 
+# --- placebo exclusions ------------------------------------------------------------------------------
+
+
+def _placebo(spark, d, frame: DataFrame, share: float, reps: int, seed: int, below: int | None = None):
+    """Cuts, and (std, loss) of the frame's institutions, for random exclusions up to a share of all pairs."""
+    affil = spark_view(spark, d, "affil")
+    works = spark_view(spark, d, "sizes").where("k >= 2" + (f" and k < {below}" if below else "")).select("paper", F.expr("k * (k - 1) / 2").cast("long").alias("ti"))
+    everything = spark_view(spark, d, "sizes").agg(F.sum(F.expr("k * (k - 1) / 2"))).first()[0]
+    universe = works.agg(F.sum("ti")).first()[0]
+    cut = exclusion.cuts(works, reps, share * everything / universe, seed)
+    losses = exclusion.degree_losses(affil, "paper", "std", cut, reps, seed, below=below)
+    return cut, frame.join(losses, "std")
+
+
+def placebo_exclusion(spark, d):
+    """By draw: works left out, their share of pairs, the arms' ratio of mean degrees and the log effect removed."""
+    frame = _frame(spark, d)
+    cut, rows = _placebo(spark, d, frame, 0.17, PLACEBOS, 5)
+    sums = exclusion.arm_sums(rows.withColumn("arm", F.col("treated")), PLACEBOS)
+    mean = lambda k: F.max(F.when(F.col("arm") == k, F.col("s") / F.col("n")))
+    ratio = sums.groupBy("rep").agg((mean(1) / mean(0)).alias("ratio"))
+    arm = lambda k: F.avg(F.when(F.col("treated") == k, F.col("degree").cast("double")))
+    base = frame.agg((arm(1) / arm(0)).alias("base"))  # one row
+    done = ratio.join(F.broadcast(cut.select("rep", "dropped", "share")), "rep").crossJoin(F.broadcast(base))
+    return done.select("rep", "dropped", F.round("share", 6).alias("share"), F.round("ratio", 6).alias("ratio"), F.round(1 - F.log("ratio") / F.log("base"), 6).alias("removed"))
+
+
+def placebo_fits(spark, d):
+    """Do random works take as much of the effect as the large ones do?  Full refits of each draw, against the cap of 6."""
+    frame = _frame(spark, d)
+    specs = spec_frame(spark, d, frame).where("spec in ('headline', 'cap_6')")
+    fits = R.fit(R.blocks(specs, "degree", XS, ["std"], group="spec"))
+    head, capped = float(fits["headline"].coef[0, 1]), float(fits["cap_6"].coef[0, 1])
+    share = float(spark_view(spark, d, "sizes").agg(F.sum(F.expr("CASE WHEN k >= 6 THEN k * (k - 1) / 2 ELSE 0 END")) / F.sum(F.expr("k * (k - 1) / 2"))).first()[0])
+    removed_cap = 1 - capped / head
+    rows = []
+    for universe, below, seed in (("all_works", None, 5), ("small_works_only", 6, 6)):
+        if below is not None and share >= 1 - share:  # the small works can't make up the share
+            continue
+        cut, losses = _placebo(spark, d, frame, share, PLACEBO_FITS, seed, below)
+        found = R.blocks(losses, "degree", XS, ["std"], extra=("loss",))
+        got = R.fit(found, R.Draws("without", PLACEBO_FITS, extra="loss"), start={"all": fits["headline"].coef[0]})["all"]
+        c = got.coef[got.converged, 1]
+        irr, removed = np.exp(c), 1 - c / head
+        sd = float(removed.std(ddof=1))
+        rows.append((
+            universe, len(c), int((~got.converged).sum()), share, float(cut.agg(F.avg("dropped")).first()[0]), float(got.n[got.converged].mean()), float(irr.mean()), float(irr.std(ddof=1)),
+            *(float(np.percentile(irr, q)) for q in (2.5, 5, 50, 95)), float(removed.mean()), *(float(np.percentile(removed, q)) for q in (95, 99)), float(removed.max()), removed_cap,
+            float((removed >= removed_cap).mean()), float((irr <= math.exp(capped)).mean()), float(((removed >= removed_cap).sum() + 1) / (len(c) + 1)), float((removed_cap - removed.mean()) / sd) if sd else None,
+        ))
+    return spark.createDataFrame(rows, "universe string, draws long, draws_dropped long, tie_share double, works_excluded double, n double, irr_mean double, irr_sd double, irr_p2_5 double, irr_p5 double, irr_median double, irr_p95 double, removed_mean double, removed_p95 double, removed_p99 double, removed_max double, removed_cap double, share_removed_as_cap double, share_irr_as_cap double, p_one_sided double, z_of_cap double")
+
+
 QUERIES = {f.__name__: f for f in (
     nb_glm_binary, nb_glm, nb_dispersion, nb_glm_alpha1, nb_glm_productivity, nb_vs_poisson, nb_fixed_effects, covariate_attenuation, spec_fits, spec_permutations,
     threshold_fits, leave_one_out_fits, vintage_fits, vif_model, tost, sandwich_se, cluster_se, label_permutation, stratified_permutation_fits, hub_loading_fits,
-    residual_permutation, bootstrap_coef,
+    residual_permutation, bootstrap_coef, placebo_exclusion, placebo_fits,
 )}
 #: With a binary label alone the coefficient is the log ratio of the arms' means, whatever the dispersion.
 ORACLE = {
+    "placebo_exclusion": with_views(PLACEBO),
     "nb_glm_binary": with_views("SELECT 'treated' AS term, round(ln(avg(CASE WHEN treated = 1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN treated = 0 THEN CAST(degree AS DOUBLE) END)), 6) AS coef FROM frame"),
 }

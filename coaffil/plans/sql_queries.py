@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..operators.exclusion import mixed_sql
 from .views import dist, replicates, uniform
 
 U_STD = uniform("f.std", "r.rep", "17")
 #: Draws of the resampling queries.
-PERMUTATIONS, BOOTSTRAPS, PLACEBOS = 1000, 1000, 100
+PERMUTATIONS, BOOTSTRAPS, PLACEBOS = 1000, 1000, 1000
 REPS, BOOTS = replicates(PERMUTATIONS), replicates(BOOTSTRAPS)
 CAPS = "(SELECT CAST(cap AS BIGINT) AS cap FROM (VALUES (3),(4),(6),(8),(10)) v(cap))"
 RADII = "(SELECT CAST(m AS DOUBLE) AS radius FROM (VALUES (1300000),(1400000),(1500000),(1600000),(2000000)) v(m))"
@@ -167,18 +168,6 @@ SQL: dict[str, str] = {
         SELECT country, lp AS log10_p, place, min(CASE WHEN lp < log10(5e-2 / (m - place + 1)) THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM (
         SELECT country, lp, count(*) OVER () AS m, row_number() OVER (ORDER BY lp, country) AS place FROM p) y""",
     "density_strata": "SELECT stratum, count(*) AS n, CAST(sum(treated) AS BIGINT) AS treated, min(std) AS least FROM (SELECT std, treated, ntile(5) OVER (ORDER BY log_univ, std) AS stratum FROM frame) x GROUP BY stratum",
-    "placebo_exclusion": f"""WITH run AS (SELECT r.rep, s.paper, s.k * (s.k - 1) / 2e0 AS ti, {uniform('s.paper', 'r.rep', '5')} AS u FROM sizes s CROSS JOIN {replicates(PLACEBOS)} r WHERE s.k >= 2),
-        cum AS (SELECT rep, paper, ti, coalesce(sum(ti) OVER (PARTITION BY rep ORDER BY u, paper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM run),
-        total AS (SELECT sum(k * (k - 1) / 2e0) AS ti FROM sizes WHERE k >= 2),
-        cut AS (SELECT rep, paper, cum.ti / total.ti AS share FROM cum CROSS JOIN total WHERE before / total.ti < 17e-2),
-        gone AS (SELECT g.rep, f.treated, count(*) AS n FROM (SELECT cut.rep, m.std, count(*) AS c FROM cut JOIN membership m ON m.paper = cut.paper GROUP BY cut.rep, m.std) g JOIN frame f ON f.std = g.std AND f.papers = g.c GROUP BY g.rep, f.treated),
-        lost AS (SELECT x.rep, x.a, x.b FROM (SELECT cut.rep, p.a, p.b, count(*) AS c FROM cut JOIN pairs p ON p.paper = cut.paper GROUP BY cut.rep, p.a, p.b) x JOIN edges e ON e.a = x.a AND e.b = x.b AND e.weight = x.c),
-        less AS (SELECT l.rep, f.treated, count(*) AS n FROM (SELECT rep, a AS std FROM lost UNION ALL SELECT rep, b FROM lost) l JOIN frame f ON f.std = l.std GROUP BY l.rep, f.treated),
-        arm AS (SELECT treated, count(*) AS n, sum(CAST(degree AS DOUBLE)) AS s FROM frame GROUP BY treated),
-        d AS (SELECT c.rep, c.dropped, c.share, a.treated, (a.s - coalesce(less.n, 0)) / (a.n - coalesce(gone.n, 0)) AS mean FROM (SELECT rep, count(*) AS dropped, sum(share) AS share FROM cut GROUP BY rep) c CROSS JOIN arm a
-          LEFT JOIN less ON less.rep = c.rep AND less.treated = a.treated LEFT JOIN gone ON gone.rep = c.rep AND gone.treated = a.treated)
-        SELECT d.rep, max(d.dropped) AS dropped, {R('max(d.share)')} AS share, {R('max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)')} AS ratio,
-          {R('1 - ln(max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)) / ln(max(b.m1 / b.m0))')} AS removed FROM d CROSS JOIN (SELECT {ARMS} FROM frame) b GROUP BY d.rep""",
     "subsample_works": f"""WITH x AS (SELECT rep, paper FROM (SELECT r.rep, s.paper, row_number() OVER (PARTITION BY r.rep ORDER BY {uniform('s.paper', 'r.rep', '7')}, s.paper) AS i FROM sizes s CROSS JOIN {replicates(50)} r) y WHERE i <= 500),
         e AS (SELECT DISTINCT x.rep, p.a, p.b FROM x JOIN pairs p ON p.paper = x.paper),
         d AS (SELECT rep, std, count(*) AS degree FROM (SELECT rep, a AS std FROM e UNION ALL SELECT rep, b FROM e) v GROUP BY rep, std),
@@ -246,3 +235,17 @@ SQL: dict[str, str] = {
         SELECT count(*) AS reps, round(PCT[x~0.5], 5) AS median, round(PCT[x~0.025], 5) AS ci95_low, round(PCT[x~0.975], 5) AS ci95_high, round(PCT[x~0.1], 5) AS ci80_low, round(PCT[x~0.9], 5) AS ci80_high,
           round(PCT[x~0.75] - PCT[x~0.25], 5) AS iqr, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 5) AS share_positive FROM d""",
 }
+
+#: What DuckDB runs for the placebo draws; Spark takes them from the exclusion operator.
+PLACEBO = f"""WITH run AS (SELECT r.rep, s.paper, s.k * (s.k - 1) / 2e0 AS ti, {mixed_sql('s.paper', 'r.rep', 5)} AS u FROM sizes s CROSS JOIN {replicates(PLACEBOS)} r WHERE s.k >= 2),
+        cum AS (SELECT rep, paper, ti, coalesce(sum(ti) OVER (PARTITION BY rep ORDER BY u, paper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM run),
+        total AS (SELECT sum(k * (k - 1) / 2e0) AS ti FROM sizes WHERE k >= 2),
+        cut AS (SELECT rep, paper, cum.ti / total.ti AS share FROM cum CROSS JOIN total WHERE before / total.ti < 17e-2),
+        gone AS (SELECT g.rep, f.treated, count(*) AS n FROM (SELECT cut.rep, m.std, count(*) AS c FROM cut JOIN membership m ON m.paper = cut.paper GROUP BY cut.rep, m.std) g JOIN frame f ON f.std = g.std AND f.papers = g.c GROUP BY g.rep, f.treated),
+        lost AS (SELECT x.rep, x.a, x.b FROM (SELECT cut.rep, p.a, p.b, count(*) AS c FROM cut JOIN pairs p ON p.paper = cut.paper GROUP BY cut.rep, p.a, p.b) x JOIN edges e ON e.a = x.a AND e.b = x.b AND e.weight = x.c),
+        less AS (SELECT l.rep, f.treated, count(*) AS n FROM (SELECT rep, a AS std FROM lost UNION ALL SELECT rep, b FROM lost) l JOIN frame f ON f.std = l.std GROUP BY l.rep, f.treated),
+        arm AS (SELECT treated, count(*) AS n, sum(CAST(degree AS DOUBLE)) AS s FROM frame GROUP BY treated),
+        d AS (SELECT c.rep, c.dropped, c.share, a.treated, (a.s - coalesce(less.n, 0)) / (a.n - coalesce(gone.n, 0)) AS mean FROM (SELECT rep, count(*) AS dropped, sum(share) AS share FROM cut GROUP BY rep) c CROSS JOIN arm a
+          LEFT JOIN less ON less.rep = c.rep AND less.treated = a.treated LEFT JOIN gone ON gone.rep = c.rep AND gone.treated = a.treated)
+        SELECT d.rep, max(d.dropped) AS dropped, {R('max(d.share)')} AS share, {R('max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)')} AS ratio,
+          {R('1 - ln(max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)) / ln(max(b.m1 / b.m0))')} AS removed FROM d CROSS JOIN (SELECT {ARMS} FROM frame) b GROUP BY d.rep"""

@@ -148,7 +148,7 @@ def test_strata_and_dealt_counts(spark):
 def test_bootstrap_leave_out_and_losses(spark):
     y, label, x = sample(150, 9)
     code = np.arange(150) % 3
-    loss = np.array([[min(int(v), k) if (i + k) % 11 else 65535 for k in range(4)] for i, v in enumerate(y)], "<u2")
+    loss = np.array([[min(int(v), k) if (i + k) % 11 else -1 for k in range(4)] for i, v in enumerate(y)], "<i4")
     df = as_frame(spark, y, label, x, [code.astype(float).tolist()])
     packed = spark.createDataFrame([(i, bytearray(row.tobytes())) for i, row in enumerate(loss)], "id long, loss binary")
     found = R.blocks(df.join(packed, "id"), "y", XS, ["id"], extra=("m0", "loss"), leaf=40)
@@ -161,7 +161,7 @@ def test_bootstrap_leave_out_and_losses(spark):
         assert np.allclose(left.coef[k], dense(y[code != k], m[code != k], 0.4)[0], atol=1e-7) and left.n[k] == 100
     without = R.fit(found, R.Draws("without", 4, extra="loss"), alpha=0.4, leaf=40)["all"]
     for k in range(4):
-        kept = loss[:, k] != 65535
+        kept = loss[:, k] >= 0
         assert np.allclose(without.coef[k], dense((y - loss[:, k])[kept], m[kept], 0.4)[0], atol=1e-7)
     sums = R.label_sums(found, R.Draws("permute", 30, 5), "m0", leaf=40)["all"]
     drawn = np.concatenate([R.leaf_draw("permute", 5, "", 150, int(label.sum()), 30, at, 40) for at in range(4)])
