@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .network import checkpointed
+from .network import checkpointed, row_pairs, spread
 
 #: A prime, and the multipliers of the mixing: fixed values of the draws.
 P, A1, A2, A3 = 2147483647, 48271, 69621, 40692
@@ -43,12 +43,6 @@ def mixed(key: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
     return ((x * x + r) % P) / float(P)
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Dealt to all cores: each row is about to be worked on for every draw, which its bytes don't show."""
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def cuts(works: DataFrame, reps: int, share: float, seed: int) -> DataFrame:
     """(rep, u, paper, dropped, share): the last work that each draw leaves out, and what is left out.
 
@@ -57,7 +51,7 @@ def cuts(works: DataFrame, reps: int, share: float, seed: int) -> DataFrame:
     the bucket that the cut falls in.
     """
     spark = works.sparkSession
-    works = checkpointed(_spread(works.where("paper is not null").select(F.col("paper").cast("long"), F.col("ti").cast("long")), "paper"))
+    works = checkpointed(spread(works.where("paper is not null").select(F.col("paper").cast("long"), F.col("ti").cast("long")), "paper"))
     total, rows = works.agg(F.coalesce(F.sum("ti"), F.lit(0)), F.count("*")).first()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << (rows >> 11).bit_length()))
     rep = np.arange(1, reps + 1)
@@ -173,10 +167,10 @@ def degree_losses(affil: DataFrame, work: str, entity: str, cut: DataFrame, reps
     if below is not None:
         inside = inside & (k < below)
     sets = affil.where(F.col(entity).isNotNull() & F.col(work).isNotNull()).groupBy(F.col(work).cast("long").alias("paper")).agg(F.array_sort(F.collect_set(entity)).alias("s"))
-    bits = checkpointed(work_bits(_spread(sets.select("paper", "s", inside.alias("inside")), "paper"), cut, reps, seed))
+    bits = checkpointed(work_bits(spread(sets.select("paper", "s", inside.alias("inside")), "paper"), cut, reps, seed))
     all_of = [F.bit_and(w).alias(w) for w in words]
     gone = bits.select(F.explode("s").alias("std"), *words).groupBy("std").agg(*all_of)
-    pairs = bits.select(F.posexplode("s").alias("i", "a"), "s", *words).select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"), *words)
+    pairs = row_pairs(bits.select("s", *words), tuple(words)).withColumnsRenamed({"x": "a", "y": "b"})
     some = F.lit(False)
     for w in words:
         some = some | (F.col(w) != 0)

@@ -3,20 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Entities of a work that are paired in one row; larger works are dealt out as pairs of such blocks.
+BLOCK = 512
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt to all cores by a fixed number of partitions: for rows that mean more work than their bytes show."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def row_pairs(sets: DataFrame, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(x, y, *keep): all pairs of elements of each row's array ``s``, the earlier first.
+
+    Arrays beyond ``block`` elements become one row for each pair of blocks, spread over the tasks, so
+    none forms more than ``block`` squared pairs of a row.
+    """
+    def paired(rows: DataFrame) -> DataFrame:
+        rest = F.when(F.col("_same"), F.slice("_right", F.col("_i") + 2, F.size("_right"))).otherwise(F.col("_right"))
+        return rows.select(F.posexplode("_left").alias("_i", "x"), "_right", "_same", *keep).select("x", F.explode(rest).alias("y"), *keep)
+
+    small = sets.where(F.size("s") <= block).select(F.col("s").alias("_left"), F.col("s").alias("_right"), F.lit(True).alias("_same"), *keep)
+    last = F.ceil(F.size("s") / block).cast("int") - 1
+    large = sets.where(F.size("s") > block).select(F.explode(F.sequence(F.lit(0), last)).alias("_p"), "s", *keep)
+    large = large.select("_p", F.explode(F.sequence(F.col("_p"), last)).alias("_q"), "s", *keep)
+    cut = large.select(F.slice("s", F.col("_p") * block + 1, F.lit(block)).alias("_left"), F.slice("s", F.col("_q") * block + 1, F.lit(block)).alias("_right"), (F.col("_p") == F.col("_q")).alias("_same"), *keep)
+    return paired(small).unionByName(paired(spread(cut)))
+
+
 def coaffil_edges(affil: DataFrame, work: str, entity: str, below: int | None = None) -> DataFrame:
     """(a, b, weight), a < b: works that list both entities.  ``below``: only works with fewer entities.
 
-    A work's entities are gathered once as a sorted set; its pairs are formed inside the row.
+    A work's entities are gathered once as a sorted set; its pairs are formed inside the row, or in
+    blocks where it has many.
     """
     sets = affil.where(F.col(entity).isNotNull()).groupBy(work).agg(F.array_sort(F.collect_set(entity)).alias("s")).where("size(s) > 1")
     if below is not None:
         sets = sets.where(F.size("s") < below)
-    pairs = sets.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
+    pairs = row_pairs(sets.select("s")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
@@ -37,7 +69,7 @@ def author_supported_edges(affil: DataFrame, work: str, entity: str, author: str
     """(a, b, n, duals): works that link a and b, and those of them that rest on one author alone."""
     who = affil.where(F.col(entity).isNotNull()).groupBy(work, entity).agg(F.collect_set(author).alias("who"))
     sets = who.groupBy(work).agg(F.array_sort(F.collect_list(F.struct(F.col(entity).alias("e"), F.array_sort("who").alias("w")))).alias("s")).where("size(s) > 1")
-    pairs = sets.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y"))
+    pairs = row_pairs(sets.select("s"))
     pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), ((F.size("x.w") == 1) & (F.size("y.w") == 1) & (F.col("x.w") == F.col("y.w"))).alias("dual"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if("dual").alias("duals"))
 
@@ -81,6 +113,18 @@ def label_propagation(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return labels
 
 
+def community_composition(labels: DataFrame, treated: DataFrame, top: int = 8) -> DataFrame:
+    """The ``top`` largest communities: community, n, treated, share, and the numbers of communities, and of those with treated members.
+
+    ``labels`` has id and community, ``treated`` id and treated; ids without a label are left out,
+    those without a verdict count as untreated.
+    """
+    g = labels.join(treated.select("id", "treated"), "id", "left").groupBy("community").agg(F.count("*").alias("n"), F.count_if(F.coalesce("treated", F.lit(False))).alias("treated"))
+    g = checkpointed(g)
+    totals = g.agg(F.count("*").alias("communities"), F.count_if(F.col("treated") > 0).alias("communities_with_treated"))  # one row
+    return g.withColumn("share", F.col("treated") / F.col("n")).orderBy(F.desc("n"), "community").limit(top).crossJoin(F.broadcast(totals))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(q): modularity of a labelling (id, community) of the weighted edges."""
     x, y = (labels.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in ("a", "b"))
@@ -136,6 +180,82 @@ def betweenness(edges: DataFrame, pivots: DataFrame, max_rounds: int = 64) -> Da
     return nodes.join(total, "u", "left").select(F.col("u").alias("id"), (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def betweenness_centrality(edges: DataFrame, seed: int = 1, exact_up_to: int = 3000, pivots: int = 500, max_bytes: int = 1 << 28) -> DataFrame:
+    """(id, betweenness) of the weighted graph: exact up to so many nodes, else from sampled pivots.
+
+    Costs are 1 / weight.  The adjacency is compressed to arrays, 12 bytes an edge end, and sent to
+    the tasks once if it is no larger than ``max_bytes``; a task then works on one pivot at a time.
+    A larger graph stays a table, on which ``betweenness`` relaxes all pivots together.
+    """
+    from .numbering import with_row_numbers
+
+    spark = edges.sparkSession
+    edges = checkpointed(edges.select("a", "b", F.col("weight").cast("double").alias("weight")))
+    nodes, n = with_row_numbers(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id", name="v")
+    nodes = checkpointed(nodes)
+    chosen = nodes if n <= exact_up_to else nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots)
+    k = n if n <= exact_up_to else min(pivots, n)
+    if 24 * edges.count() > max_bytes:
+        return betweenness(edges, checkpointed(chosen.select("id")))
+    at = lambda c, name: nodes.select(F.col("id").alias(c), F.col("v").cast("int").alias(name))
+    ends = edges.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v", (1 / F.col("weight")).cast("double").alias("cost")).toPandas()  # its size is checked above
+    source = np.concatenate([ends.u, ends.v]).astype(np.int32)
+    target = np.concatenate([ends.v, ends.u]).astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    shared = spark.sparkContext.broadcast((source[order], np.searchsorted(target[order], np.arange(n)).astype(np.int64), np.concatenate([ends.cost, ends.cost])[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, first, cost = shared.value
+        total = np.zeros(n)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                total += dependencies(s, source, first, cost)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["v", "b"])
+
+    found = spread(chosen.select(F.col("v").cast("long")), "v").mapInArrow(run, "v long, b double").groupBy("v").agg(F.sum("b").alias("b"))
+    scale = n / k / max(1, (n - 1) * (n - 2)) if k else 0.0
+    return nodes.join(found, "v", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def dependencies(s: int, source: np.ndarray, first: np.ndarray, cost: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """Dependency of a pivot on each node: shortest distances, path counts and their share, each by sweeps over all edges.
+
+    Edges are grouped by target; ``first`` is where each target's group begins, and none is empty.
+    A sweep extends paths by one edge, so there are as many as a shortest path has edges at most.
+    """
+    n = len(first)
+    target = np.repeat(np.arange(n), np.diff(first, append=len(source)))
+    dist = np.full(n, np.inf)
+    dist[s] = 0.0
+    while True:
+        new = np.minimum(dist, np.minimum.reduceat(dist[source] + cost, first))
+        if not (new < dist - tolerance).any():
+            break
+        dist = new
+    with np.errstate(invalid="ignore"):
+        on = np.isfinite(dist[target]) & (np.abs(dist[source] + cost - dist[target]) < tolerance)
+    u, v = source[on], target[on]
+    start = np.zeros(n)
+    start[s] = 1.0
+    paths = start
+    while True:
+        new = start + np.bincount(v, paths[u], n)
+        if np.array_equal(new, paths):
+            break
+        paths = new
+    share = paths[u] / paths[v]
+    out = np.zeros(n)
+    while True:
+        new = np.bincount(u, share * (1 + out[v]), n)
+        if np.allclose(new, out, rtol=1e-14, atol=0):
+            break
+        out = new
+    out = new
+    out[s] = 0.0
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's folder; a temporary one only where none is set in local mode (tests)."""
     sc = df.sparkSession.sparkContext

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..operators import geo, network, text
+from .sql_queries import mann_whitney_sql
 from .views import dist, spark_view, with_views
 
 SQL: dict[str, str] = {}
@@ -159,14 +160,14 @@ def split_multivalue(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("part"), F.explode(X.split_multivalue(joined)).alias("value"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS part, contains(lower(p_name), 'red') OR contains(lower(p_type), 'brass') AS hit FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS part, contains(lower(p_name), 'red') OR contains(lower(p_type), 'promo') AS hit FROM part")
 def keyword_flag(spark, d):
-    return _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("part"), (X.keyword_flag(F.col("p_name"), ["red"]) | X.keyword_flag(F.col("p_type"), ["BRASS"])).alias("hit"))
+    return _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("part"), (X.keyword_flag(F.col("p_name"), ["red"]) | X.keyword_flag(F.col("p_type"), ["Promo"])).alias("hit"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS part FROM part WHERE regexp_matches(p_type, '(?i)steel$')")
+@query("SELECT CAST(p_partkey AS BIGINT) AS part FROM part WHERE regexp_matches(p_type, '(?i)(um|ll)$')")
 def regex_filter(spark, d):
-    return _t(spark, d, "part").where(X.regex_flag(F.col("p_type"), "steel$")).select(F.col("p_partkey").cast("bigint").alias("part"))
+    return _t(spark, d, "part").where(X.regex_flag(F.col("p_type"), "(um|ll)$")).select(F.col("p_partkey").cast("bigint").alias("part"))
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o, coalesce(lower(trim(v)) IN ('true', 't', '1'), false) AS flag FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'True' WHEN 1 THEN ' t ' WHEN 2 THEN '1' WHEN 3 THEN 'False' WHEN 4 THEN 'yes' END AS v FROM orders) x")
@@ -220,36 +221,49 @@ def label_propagation(spark, d):
 
 @query(None)
 def community_composition(spark, d):
+    """The eight largest communities, with how many there are and how many have a treated member."""
     affil = spark_view(spark, d, "affil")
     found = network.label_propagation(network.coaffil_edges(affil, "paper", "std"))
-    treated = spark_view(spark, d, "labels_std")
-    g = found.join(treated, found["id"] == treated["std"]).groupBy("community").agg(F.count("*").alias("n"), F.count_if("treated").alias("treated"))
-    return g.withColumn("share", F.col("treated") / F.col("n")).orderBy(F.desc("n"), "community").limit(8)
+    return network.community_composition(found, spark_view(spark, d, "labels_std").withColumnRenamed("std", "id"))
 
 
 @query(None)
 def betweenness_pivots(spark, d):
-    edges = network.coaffil_edges(spark_view(spark, d, "affil"), "paper", "raw")
-    edges = network.checkpointed(edges)
-    order = [X.hash_uniform(F.col("id"), F.lit(1)), F.col("id")]
-    pivots = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().orderBy(*order).limit(8)
-    return network.betweenness(edges, network.checkpointed(pivots))
+    return network.betweenness_centrality(network.coaffil_edges(spark_view(spark, d, "affil"), "paper", "raw"))
 
 
 @query(None)
 def betweenness_seed_stability(spark, d):
-    """Mean centrality by arm for two pivot seeds."""
-    edges = network.checkpointed(network.coaffil_edges(spark_view(spark, d, "affil"), "paper", "raw"))
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    label = spark_view(spark, d, "matches").select(F.col("raw").alias("id"), "near")
+    """The rank contrast of the arms' betweenness for four pivot seeds."""
+    edges = network.checkpointed(network.coaffil_edges(spark_view(spark, d, "affil"), "paper", "std"))
+    label = network.checkpointed(spark_view(spark, d, "labels_std"))
     found = None
-    for seed in (1, 2):
-        pivots = network.checkpointed(nodes.orderBy(X.hash_uniform(F.col("id"), F.lit(seed)), "id").limit(4))
-        g = network.betweenness(edges, pivots).join(label, "id").groupBy("near").agg(F.avg("betweenness").alias("mean")).withColumn("seed", F.lit(seed))
+    for seed in (42, 1, 7, 2026):
+        b = network.betweenness_centrality(edges, seed, exact_up_to=0, pivots=500)
+        ranked = label.join(b, label["std"] == b["id"], "left").select(F.col("treated").cast("int").alias("arm"), F.round(F.coalesce("betweenness", F.lit(0.0)), 12).alias("v"))
+        g = spark.sql(mann_whitney_sql("{t}"), t=ranked).withColumn("seed", F.lit(seed))
         found = g if found is None else found.unionByName(g)
     return found
 
 
+_TIES_LOST = f"""WITH w AS (SELECT paper, std, string_agg(DISTINCT author, ',' ORDER BY author) AS who, count(DISTINCT author) AS n FROM affil GROUP BY paper, std),
+    e AS (SELECT x.std AS a, y.std AS b, bool_and(x.n = 1 AND y.n = 1 AND x.who = y.who) AS lost FROM w x JOIN w y ON x.paper = y.paper AND x.std < y.std GROUP BY x.std, y.std),
+    t AS (SELECT f.treated AS arm, count(v.std) AS v FROM frame f LEFT JOIN (SELECT a AS std FROM e WHERE lost UNION ALL SELECT b FROM e WHERE lost) v ON v.std = f.std GROUP BY f.std, f.treated)
+    SELECT m.*, x.removed_treated, x.removed_control FROM ({mann_whitney_sql("t")}) m
+    CROSS JOIN (SELECT round(avg(CASE WHEN arm = 1 THEN v END), 6) AS removed_treated, round(avg(CASE WHEN arm = 0 THEN v END), 6) AS removed_control FROM t) x"""
+
+
+@query(_TIES_LOST)
+def ties_lost(spark, d):
+    """Ties that rest on one author alone, by arm: their means and rank contrast."""
+    ties = network.author_supported_degree(spark_view(spark, d, "affil"), "paper", "std", "author")
+    t = spark_view(spark, d, "frame").join(ties, "std").select(F.col("treated").alias("arm"), (F.col("degree_all") - F.col("degree_supported")).alias("v"))
+    t = network.checkpointed(t)
+    mean = lambda k: F.round(F.avg(F.when(F.col("arm") == k, F.col("v"))), 6)
+    means = t.agg(mean(1).alias("removed_treated"), mean(0).alias("removed_control"))
+    return spark.sql(mann_whitney_sql("{t}"), t=t).crossJoin(F.broadcast(means))  # one row each
+
+
 @query(f"""SELECT k.raw, k.c5, k.c2 FROM (SELECT m.raw, count(*) FILTER (WHERE {dist('m', 'p')} <= 2e6) AS c5, count(*) FILTER (WHERE {dist('m', 'p')} <= 1e6) AS c2 FROM matches m CROSS JOIN points p GROUP BY m.raw) k WHERE k.c5 - k.raw % 7 >= k.c2""")
 def radius_monotonic_check(spark, d):
     raw, points = spark_view(spark, d, "raw_geo").where("lat is not null"), spark_view(spark, d, "points")

@@ -433,10 +433,86 @@ def placebo_fits(spark, d):
     return spark.createDataFrame(rows, "universe string, draws long, draws_dropped long, tie_share double, works_excluded double, n double, irr_mean double, irr_sd double, irr_p2_5 double, irr_p5 double, irr_median double, irr_p95 double, removed_mean double, removed_p95 double, removed_p99 double, removed_max double, removed_cap double, share_removed_as_cap double, share_irr_as_cap double, p_one_sided double, z_of_cap double")
 
 
+# --- subsamples of works ---------------------------------------------------------------------------
+
+
+def subsample_frames(spark, d, works: int, draws: int, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The frame rebuilt from each draw of works, and the same under a cap: columns of the frame, and rep.
+
+    Votes, first matched address, productivity, sets, edges and degrees all come from the drawn works
+    alone.  A draw takes exactly ``works`` of them without replacement, or all there are.
+    """
+    affil = spark_view(spark, d, "affil")
+    units = affil.select("paper").where("paper is not null").distinct().withColumn("ti", F.lit(1))
+    count = units.count()
+    cut = exclusion.cuts(units, draws, min(works, count) / count, seed).select("rep", F.col("u").alias("u_cut"), F.col("paper").alias("p_cut"))
+    u = F.expr(exclusion.mixed_sql("paper", "rep", seed))
+    chosen = units.select("paper").crossJoin(F.broadcast(cut)).withColumn("u", u).where("u < u_cut or (u = u_cut and paper <= p_cut)").select("rep", "paper")  # a row a draw
+    # Works and institutions of a draw are its own: keyed by draw and id.
+    rows = checkpointed(affil.join(chosen, "paper").withColumns({"work": F.struct("rep", "paper"), "inst": F.struct("rep", "std")}))
+    matched = rows.join(spark_view(spark, d, "matches").select("raw", "near"), "raw", "left")
+    labels = matched.groupBy("inst").agg((2 * F.count_if(F.coalesce("near", F.lit(False))) > F.count("near")).alias("treated"), F.count_distinct("paper").alias("papers"))
+    first = matched.where("near is not null").groupBy("inst").agg(F.min_by("raw", F.struct("paper", "line", "raw")).alias("raw"))
+    places = spark_view(spark, d, "counts_raw").join(spark_view(spark, d, "raw_country"), "raw")
+    far = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(4e6)))
+    base = labels.join(first, "inst").join(places, "raw").select(
+        "inst", F.col("treated").cast("int").alias("treated"), F.log1p(F.col("around").cast("double")).alias("log_univ"), far("station").alias("log_station"),
+        far("junction").alias("log_junction"), F.log1p(F.col("papers").cast("double")).alias("log_papers"),
+    )
+    base = checkpointed(base)
+    degree = lambda below: network.degrees(network.coaffil_edges(rows, "work", "inst", below), rows, "inst").select("inst", "degree")
+    keyed = lambda df: df.select(F.col("inst.rep").alias("rep"), F.col("inst.std").alias("std"), *[c for c in df.columns if c != "inst"])
+    present = rows.join(rows.groupBy("work").agg(F.count_distinct("std").alias("k")).where(F.col("k") < cap), "work", "left_semi").select("inst").distinct()
+    return keyed(base.join(degree(None), "inst")), keyed(base.join(present, "inst").join(degree(cap), "inst"))
+
+
+SUBSAMPLE = (
+    "rep long, n long, treated long, irr double, model_p double, permutation_p double, productivity_irr double, productivity_p double, cap_n long, cap_irr double, cap_permutation_p double, "
+    "clause1 boolean, clause2 boolean, clause3 boolean, clause4 boolean"
+)
+
+
+def subsample_rows(spark, d, works: int = 5000, draws: int = 30, permutations: int = 199, cap: int = 6, seed: int = 7) -> list[tuple]:
+    """The four clauses of the decision in each draw of works, with everything refitted; draws without a fit have null clauses."""
+    whole, capped = subsample_frames(spark, d, works, draws, cap, seed)
+    found, under = (R.blocks(checkpointed(f), "degree", XS, ["std"], group="rep") for f in (whole, capped))
+    more = R.blocks(whole, "degree", [*XS, "log_papers"], ["std"], group="rep")
+    fits, productive, small = R.fit(found), R.fit(more), R.fit(under)
+
+    def permuted(b: R.Blocks, f: dict, k: int) -> dict[str, float]:
+        ok = {g for g in f if f[g].converged[0]}
+        only = R.Blocks(b.df.where(F.col("_g").isin(sorted(ok))), b.names, b.xs, b.strata, {g: v for g, v in b.groups.items() if g in ok})
+        got = R.fit(only, R.Draws("permute", permutations, k), alpha={g: float(f[g].alpha[0]) for g in ok}, start={g: _start(f[g]) for g in ok}) if ok else {}
+        return {g: _permutation_p(float(f[g].coef[0, 1]), got[g]) for g in got}
+
+    p1, p4 = permuted(found, fits, 100), permuted(under, small, 200)
+    treated, rows = _treated(found), []
+    for g in sorted(fits, key=int):
+        one, three, four = _summary(fits[g], treated[g]), _summary(productive[g], treated[g]) if g in productive else None, _summary(small[g], 0) if g in small else None
+        known = one[-1] and three is not None and three[-1] and four is not None and four[-1]
+        clauses = (one[9] < 0.05 and one[4] > 1, p1[g] < 0.05 and one[4] > 1, three[9] < 0.05 and three[4] > 1, p4[g] < 0.05 and four[4] > 1) if known else (None,) * 4
+        rows.append((int(g), one[0], one[1], one[4], one[9], p1.get(g), three[4] if three else None, three[9] if three else None, four[0] if four else None, four[4] if four else None, p4.get(g), *clauses))
+    return rows
+
+
+def subsample_fits(spark, d):
+    return spark.createDataFrame(subsample_rows(spark, d), SUBSAMPLE)
+
+
+def subsample_summary(spark, d):
+    """Shares of draws that pass each clause, the first three, and all four."""
+    rows = subsample_rows(spark, d)
+    ok = [r for r in rows if r[-1] is not None]
+    share = lambda *k: float(np.mean([all(r[11 + i] for i in k) for r in ok])) if ok else None
+    middle = lambda k, q=50: float(np.percentile([r[k] for r in ok], q)) if ok else None
+    row = (len(rows), len(ok), middle(3), middle(3, 25), middle(3, 75), middle(2), middle(1), share(0), share(1), share(2), share(3), share(0, 1, 2), share(0, 1, 2, 3), middle(4), middle(5), middle(6))
+    return spark.createDataFrame([row], "draws long, valid long, irr_median double, irr_q1 double, irr_q3 double, treated_median double, n_median double, clause1 double, clause2 double, clause3 double, clause4 double, clauses_1_to_3 double, all_four double, model_p_median double, permutation_p_median double, productivity_irr_median double")
+
+
 QUERIES = {f.__name__: f for f in (
     nb_glm_binary, nb_glm, nb_dispersion, nb_glm_alpha1, nb_glm_productivity, nb_vs_poisson, nb_fixed_effects, covariate_attenuation, spec_fits, spec_permutations,
     threshold_fits, leave_one_out_fits, vintage_fits, vif_model, tost, sandwich_se, cluster_se, label_permutation, stratified_permutation_fits, hub_loading_fits,
-    residual_permutation, bootstrap_coef, placebo_exclusion, placebo_fits,
+    residual_permutation, bootstrap_coef, placebo_exclusion, placebo_fits, subsample_fits, subsample_summary,
 )}
 #: With a binary label alone the coefficient is the log ratio of the arms' means, whatever the dispersion.
 ORACLE = {

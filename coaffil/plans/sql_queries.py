@@ -147,7 +147,6 @@ SQL: dict[str, str] = {
     "node_reconciliation": f"""SELECT treated, count(*) AS nodes, count(*) FILTER (WHERE degree > 0) AS non_isolated, count(*) FILTER (WHERE degree = 0) AS isolated, {R('avg(CAST(degree AS DOUBLE))')} AS mean_degree,
           count(*) FILTER (WHERE p.std IS NULL) AS dropped_by_cap, {R('avg(CASE WHEN p.std IS NULL THEN CAST(degree AS DOUBLE) END)')} AS mean_degree_dropped, {R('avg(CASE WHEN p.std IS NULL THEN 1e0 ELSE 0e0 END)')} AS share_dropped,
           max(e.edges) AS edges FROM frame f LEFT JOIN (SELECT std FROM capped WHERE cap = 3) p ON p.std = f.std CROSS JOIN (SELECT count(*) AS edges FROM edges) e GROUP BY treated""",
-    "ties_lost": mann_whitney_sql("(SELECT f.treated AS arm, f.degree - d.degree AS v FROM frame f JOIN (SELECT std, degree FROM capped WHERE cap = 6) d ON d.std = f.std) t"),
     "arm_summary": f"SELECT treated, count(*) AS n, {R('avg(CAST(degree AS DOUBLE))')} AS mean_degree, {R('PCT[degree~0.5]')} AS median_degree, {R('avg(log_univ)')} AS mean_density FROM frame GROUP BY treated",
     "box_summary": f"""WITH q AS (SELECT treated, PCT[degree~0.25] AS q1, PCT[degree~0.5] AS median, PCT[degree~0.75] AS q3, avg(CAST(degree AS DOUBLE)) AS mean FROM frame GROUP BY treated)
         SELECT q.treated, CAST(min(f.degree) FILTER (WHERE f.degree >= q.q1 - 15e-1 * (q.q3 - q.q1)) AS BIGINT) AS low, {R('max(q.q1)')} AS q1, {R('max(q.median)')} AS median, {R('max(q.q3)')} AS q3,

@@ -155,3 +155,176 @@ def test_rank_test_p_value_in_log_space(spark):
     spark.createDataFrame([(1, 5), (1, 7), (1, 7), (0, 1), (0, 5), (0, 2)], "arm int, v int").createOrReplaceTempView("ranked_sample")
     r = spark.sql(mann_whitney_sql("ranked_sample")).first()
     assert (r.n1, r.n0, r.u, r.cles) == (3, 3, 8.5, round(8.5 / 9, 6))
+
+
+def test_pairs_of_a_large_work_are_dealt_in_blocks(spark):
+    big = list(range(2000))
+    rows = [(1, e) for e in big] + [(2, e) for e in big[:40]] + [(3, 5), (4, None), (3, 5)]
+    affil = spark.createDataFrame(rows, "w long, e long")
+    got = {(r.a, r.b): r.weight for r in network.coaffil_edges(affil.where("w <> 1"), "w", "e").collect()}
+    assert got == {(a, b): 1 for a in range(40) for b in range(a + 1, 40)}
+    sets = affil.where("e is not null").groupBy("w").agg(F.array_sort(F.collect_set("e")).alias("s"))
+    for block in (7, 64, 5000):
+        pairs = network.row_pairs(sets, ("w",), block)
+        assert pairs.where("x >= y").isEmpty() and pairs.count() == pairs.distinct().count() == 2000 * 1999 // 2 + 40 * 39 // 2
+    assert network.coaffil_edges(affil, "w", "e").agg(F.sum("weight")).first()[0] == 2000 * 1999 // 2 + 40 * 39 // 2
+    # 20,000 entities: 820 pairs of blocks, over many tasks.
+    wide = spark.range(1).select(F.sequence(F.lit(0), F.lit(19999)).alias("s"))
+    assert network.row_pairs(wide).rdd.getNumPartitions() >= 8
+
+
+def brute_betweenness(edges):
+    """Sum over pairs of the share of shortest paths through a node, by enumerating paths' counts."""
+    import heapq
+
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, 1 / w))
+        near.setdefault(b, []).append((a, 1 / w))
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, before, order, heap, seen = {s: 0.0}, {s: 1.0}, {}, [], [(0.0, s)], set()
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in seen:
+                continue
+            seen.add(u)
+            order.append(u)
+            for v, c in near[u]:
+                if v not in dist or d + c < dist[v] - 1e-9:
+                    dist[v], paths[v], before[v] = d + c, paths[u], [u]
+                    heapq.heappush(heap, (d + c, v))
+                elif abs(d + c - dist[v]) < 1e-9 and u not in before[v]:
+                    paths[v] += paths[u]
+                    before[v].append(u)
+        back = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in before.get(v, []):
+                back[u] += paths[u] / paths[v] * (1 + back[v])
+            if v != s:
+                total[v] += back[v]
+    n = len(near)
+    return {v: t / ((n - 1) * (n - 2)) for v, t in total.items()}
+
+
+def test_betweenness_equals_brute_force_with_ties_and_parts(spark):
+    random.seed(7)
+    edges = {(a, b): random.choice([1, 1, 2, 4]) for a in range(30) for b in range(a + 1, 30) if random.random() < 0.12}
+    edges |= {(100, 101): 1, (101, 102): 2, (200, 201): 3}  # parts of their own
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    df = spark.createDataFrame(rows, "a long, b long, weight long")
+    want = brute_betweenness(rows)
+    got = {r.id: r.betweenness for r in network.betweenness_centrality(df).collect()}
+    assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in want) < 1e-12
+    beyond = {r.id: r.betweenness for r in network.betweenness_centrality(df, max_bytes=1).collect()}
+    assert max(abs(beyond[v] - want[v]) for v in want) < 1e-9
+    # Sampled pivots scale to all nodes: with every node as a pivot the sample is the whole.
+    whole = {r.id: r.betweenness for r in network.betweenness_centrality(df, exact_up_to=0, pivots=len(want)).collect()}
+    assert max(abs(whole[v] - want[v]) for v in want) < 1e-12
+    few = network.betweenness_centrality(df, seed=3, exact_up_to=0, pivots=5)
+    assert few.count() == len(want) and [tuple(r) for r in few.orderBy("id").collect()] == [tuple(r) for r in network.betweenness_centrality(df.repartition(5), seed=3, exact_up_to=0, pivots=5).orderBy("id").collect()]
+
+
+def test_communities_of_two_cliques(spark):
+    clique = lambda lo, hi: [(a, b, 5) for a in range(lo, hi) for b in range(a + 1, hi)]
+    edges = spark.createDataFrame([*clique(0, 6), *clique(10, 15), (5, 10, 1), (20, 21, 1)], "a long, b long, weight long")
+    labels = network.label_propagation(edges)
+    by = {r.id: r.community for r in labels.collect()}
+    assert len({by[v] for v in range(6)}) == 1 and len({by[v] for v in range(10, 15)}) == 1 and by[20] == by[21]
+    assert len(set(by.values())) == 3
+    treated = spark.createDataFrame([(0, True), (1, False), (20, True), (99, True), (3, None)], "id long, treated boolean")
+    top = network.community_composition(labels, treated, top=2).collect()
+    assert [(r.n, r.treated, r.communities, r.communities_with_treated) for r in top] == [(6, 1, 3, 2), (5, 0, 3, 2)]
+    inside = sum(w for a, b, w in [*clique(0, 6), *clique(10, 15), (20, 21, 1)])
+    m = inside + 1
+    ends = {0: 2 * 75 + 1, 1: 2 * 50 + 1, 2: 2}
+    want = inside / m - sum((v / (2 * m)) ** 2 for v in ends.values())
+    assert abs(network.modularity(edges, labels).first().q - want) < 1e-12
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    from coaffil.sources import tables
+
+    (tmp_path / "a.csv").write_bytes("﻿name,extra,id\nx,1,7\n\"y, z\",2,8\n".encode())
+    got = tables.read_csv(spark, str(tmp_path / "a.csv"), "id long, name string")
+    assert got.columns == ["id", "name"] and [tuple(r) for r in got.orderBy("id").collect()] == [(7, "x"), (8, "y, z")]
+    import pytest
+
+    with pytest.raises(ValueError, match="absent"):
+        tables.read_csv(spark, str(tmp_path / "a.csv"), "id long, absent string")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "two" / "b.csv").write_text("name,id\ny,2\n")
+    with pytest.raises(Exception):
+        tables.read_csv(spark, str(tmp_path / "two"), "id long, name string").collect()
+
+
+def test_a_table_is_published_only_when_it_passes(spark, tmp_path):
+    import pytest
+
+    from coaffil.sources import tables
+
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    checks = {"known id present": F.count_if(F.col("id") == 1) > 0, "ids unique": F.count("*") == F.count_distinct("id"), "no null": F.count("id") == F.count("*")}
+    tables.publish(good, path, checks)
+    assert spark.read.parquet(path).count() == 2
+    for bad, name in (([(2, "c")], "known id present"), ([(1, "c"), (1, "d")], "ids unique"), ([(1, "c"), (None, "d")], "no null"), ([], "known id present")):
+        with pytest.raises(ValueError, match=name):
+            tables.publish(spark.createDataFrame(bad, "id long, name string"), path, checks)
+        assert sorted(r.name for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    tables.publish(spark.createDataFrame([(1, "new")], "id long, name string"), path, checks)
+    assert [r.name for r in spark.read.parquet(path).collect()] == ["new"] and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["t"]
+
+
+def test_exclusions_equal_brute_force(spark):
+    from coaffil.operators import exclusion
+
+    random.seed(9)
+    rows = [(w, random.randrange(25)) for w in range(120) for _ in range(random.randint(1, 6))] + [(500, 77), (501, 78), (501, 79), (None, 3), (7, None)]
+    affil = spark.createDataFrame(rows, "w long, e long")
+    sets = {}
+    for w, e in rows:
+        if w is not None and e is not None:
+            sets.setdefault(w, set()).add(e)
+    reps, seed, share = 70, 4, 0.3
+    works = {w: len(s) * (len(s) - 1) // 2 for w, s in sets.items() if len(s) > 1}
+    total = sum(works.values())
+    cut = exclusion.cuts(spark.createDataFrame(list(works.items()), "paper long, ti long"), reps, share, seed)
+    kept = {r.rep: r for r in cut.collect()}
+    loss = {r.std: np.frombuffer(r.loss, "<i4") for r in exclusion.degree_losses(affil, "w", "e", cut, reps, seed).collect()}
+    salted = {r.std: np.frombuffer(r.loss, "<i4") for r in exclusion.degree_losses(affil, "w", "e", cut, reps, seed, together=3).collect()}
+    assert all((salted[k] == v).all() for k, v in loss.items()) and salted.keys() == loss.keys() == {e for s in sets.values() for e in s}
+
+    def degree(some):
+        near = {}
+        for w in some:
+            for e in sets[w]:
+                near.setdefault(e, set()).update(sets[w] - {e})
+        return near
+
+    names = np.array(sorted(works))
+    u = exclusion.mixed(names, np.arange(1, reps + 1), seed)
+    whole = degree(sets)
+    for r in range(reps):
+        out, gone = 0, set()
+        for w in sorted(works, key=lambda w: (u[list(names).index(w), r], w)):
+            gone.add(w)
+            out += works[w]
+            if out / total >= share:
+                break
+        assert (kept[r + 1].dropped, round(kept[r + 1].share, 9)) == (len(gone), round(out / total, 9))
+        left = degree([w for w in sets if w not in gone])
+        for e, v in loss.items():
+            assert v[r] == (len(whole[e]) - len(left[e]) if e in left else -1)
+    spark.createDataFrame([(int(k), 1) for k in names], "paper long, rep long").selectExpr(f"max(abs({exclusion.mixed_sql('paper', 'rep', seed)})) as m").collect()
+    sql = {r.paper: r.v for r in spark.createDataFrame([(int(k),) for k in names], "paper long").selectExpr("paper", f"{exclusion.mixed_sql('paper', '3', seed)} as v").collect()}
+    assert all(sql[int(k)] == u[i, 2] for i, k in enumerate(names))
+
+
+def test_drawn_works_are_exactly_so_many(spark):
+    from coaffil.operators import exclusion
+
+    units = spark.range(1000).select(F.col("id").alias("paper"), F.lit(1).alias("ti"))
+    got = exclusion.cuts(units, 20, 137 / 1000, 3).collect()
+    assert len(got) == 20 and {r.dropped for r in got} == {137}
