@@ -43,10 +43,11 @@ def mixed(key: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
     return ((x * x + r) % P) / float(P)
 
 
-def cuts(works: DataFrame, reps: int, share: float, seed: int) -> DataFrame:
+def cuts(works: DataFrame, reps: int, share: float, seed: int, goal: int | None = None) -> DataFrame:
     """(rep, u, paper, dropped, share): the last work that each draw leaves out, and what is left out.
 
-    ``works`` has paper and ti, its pairs (1 or more); null papers are not in the universe.  Finding the
+    ``goal`` is the pairs to reach instead of a share of them; with one pair a work, each draw takes
+    exactly so many works.  ``works`` has paper and ti, its pairs (1 or more); null papers are not in the universe.  Finding the
     cuts takes two looks at every work's number in every draw; no rows are made of them but those of
     the bucket that the cut falls in.
     """
@@ -75,7 +76,7 @@ def cuts(works: DataFrame, reps: int, share: float, seed: int) -> DataFrame:
     sums = works.mapInArrow(summed, "rep long, bucket int, ti long, n long").groupBy("rep", "bucket").agg(F.sum("ti").alias("ti"), F.sum("n").alias("n"))
     order = Window.partitionBy("rep").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("ti").over(order), F.lit(0))).withColumn("n_before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    goal = F.lit(float(total) * share)
+    goal = F.lit(float(total) * share if goal is None else float(goal))
     # The last bucket that begins below the goal holds the crossing work.
     edge = sums.where(F.col("before") < goal).groupBy("rep").agg(F.max_by(F.struct("bucket", "before", "n_before"), "bucket").alias("e")).select("rep", "e.*")
     edge = checkpointed(edge)
@@ -215,3 +216,23 @@ def arm_sums(rows: DataFrame, reps: int) -> DataFrame:
 
     picked = rows.select(F.col("arm").cast("int"), F.col("degree").cast("double"), "loss")
     return picked.mapInArrow(run, "rep long, arm int, n long, s double").groupBy("rep", "arm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def picked_sums(rows: DataFrame, columns: list[str], cut: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, *columns): sums of the columns over the rows (paper, ...) that each draw picks up to its cut."""
+    found = sorted((r.rep, r.u, r.paper) for r in cut.collect())  # a row a draw
+    rep, u_cut, p_cut = (np.array(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(columns), len(rep)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                paper, *values = (c.to_numpy() for c in batch.slice(at, 1024).columns)
+                u = mixed(paper, rep, seed)
+                picked = (u < u_cut) | ((u == u_cut) & (paper[:, None] <= p_cut))
+                sums += np.stack(values) @ picked.astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int64)), *map(pa.array, sums)], ["rep", *columns])
+
+    picked = spread(rows.select(F.col("paper").cast("long"), *[F.col(c).cast("double") for c in columns]), "paper")
+    schema = "rep long" + "".join(f", {c} double" for c in columns)
+    return picked.mapInArrow(run, schema).groupBy("rep").agg(*[F.sum(c).alias(c) for c in columns])

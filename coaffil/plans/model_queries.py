@@ -20,7 +20,7 @@ from ..operators import replicates as R
 from ..operators.fixed_effects import fixed_effects_fit
 from ..operators.network import checkpointed
 from ..operators.numbering import quantile_bin, with_row_numbers
-from .sql_queries import PLACEBO, PLACEBOS, RADII
+from .sql_queries import DRAWS, PERMUTATIONS as DRAWS_PERMUTED, PLACEBO, PLACEBOS, RADII, draw_statistics
 from .views import run_sql, spark_view, with_views
 
 COVARIATES = ["log_univ", "log_station", "log_junction"]
@@ -380,6 +380,24 @@ def bootstrap_coef(spark, d):
     return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(float(np.percentile(c, q)) for q in (2.5, 97.5, 5, 95)), float(c.std(ddof=1)))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
 
 
+def _label_draws(spark, d) -> DataFrame:
+    """(rep, n1, n, s1, s, hubs) of the label permutations of the rank-free statistics: the n1 least random numbers of each draw."""
+    frame = _frame(spark, d)
+    n, n1, s, cut = frame.agg(F.count("*"), F.sum("treated"), F.sum(F.col("degree").cast("double")), F.percentile("degree", F.lit(0.99))).first()
+    rows = frame.select(F.col("std").alias("paper"), F.lit(1).alias("ti"), F.col("degree").cast("double").alias("s1"), (F.col("degree") >= cut).cast("double").alias("hubs"))
+    last = exclusion.cuts(rows.select("paper", "ti"), DRAWS_PERMUTED, 0.0, 17, goal=n1)
+    sums = exclusion.picked_sums(rows, ["s1", "hubs"], last, DRAWS_PERMUTED, 17)
+    return checkpointed(sums.withColumns({"n1": F.lit(n1).cast("long"), "n": F.lit(n), "s": F.lit(s)}))
+
+
+def _draw_query(name: str):
+    def run(spark, d):
+        return run_sql(spark, d, draw_statistics("{draws}")[name], draws=_label_draws(spark, d))
+
+    run.__name__ = name
+    return run
+
+
 # --- placebo exclusions ------------------------------------------------------------------------------
 
 
@@ -445,7 +463,7 @@ def subsample_frames(spark, d, works: int, draws: int, cap: int, seed: int) -> t
     affil = spark_view(spark, d, "affil")
     units = affil.select("paper").where("paper is not null").distinct().withColumn("ti", F.lit(1))
     count = units.count()
-    cut = exclusion.cuts(units, draws, min(works, count) / count, seed).select("rep", F.col("u").alias("u_cut"), F.col("paper").alias("p_cut"))
+    cut = exclusion.cuts(units, draws, 0.0, seed, goal=min(works, count)).select("rep", F.col("u").alias("u_cut"), F.col("paper").alias("p_cut"))
     u = F.expr(exclusion.mixed_sql("paper", "rep", seed))
     chosen = units.select("paper").crossJoin(F.broadcast(cut)).withColumn("u", u).where("u < u_cut or (u = u_cut and paper <= p_cut)").select("rep", "paper")  # a row a draw
     # Works and institutions of a draw are its own: keyed by draw and id.
@@ -472,7 +490,7 @@ SUBSAMPLE = (
 )
 
 
-def subsample_rows(spark, d, works: int = 5000, draws: int = 30, permutations: int = 199, cap: int = 6, seed: int = 7) -> list[tuple]:
+def subsample_rows(spark, d, works: int = 5000, draws: int = 20, permutations: int = 199, cap: int = 6, seed: int = 7) -> list[tuple]:
     """The four clauses of the decision in each draw of works, with everything refitted; draws without a fit have null clauses."""
     whole, capped = subsample_frames(spark, d, works, draws, cap, seed)
     found, under = (R.blocks(checkpointed(f), "degree", XS, ["std"], group="rep") for f in (whole, capped))
@@ -514,8 +532,9 @@ QUERIES = {f.__name__: f for f in (
     threshold_fits, leave_one_out_fits, vintage_fits, vif_model, tost, sandwich_se, cluster_se, label_permutation, stratified_permutation_fits, hub_loading_fits,
     residual_permutation, bootstrap_coef, placebo_exclusion, placebo_fits, subsample_fits, subsample_summary,
 )}
+QUERIES |= {name: _draw_query(name) for name in draw_statistics("")}
 #: With a binary label alone the coefficient is the log ratio of the arms' means, whatever the dispersion.
-ORACLE = {
+ORACLE = {name: with_views(sql) for name, sql in draw_statistics(DRAWS).items()} | {
     "placebo_exclusion": with_views(PLACEBO),
     "nb_glm_binary": with_views("SELECT 'treated' AS term, round(ln(avg(CASE WHEN treated = 1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN treated = 0 THEN CAST(degree AS DOUBLE) END)), 6) AS coef FROM frame"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.exclusion import mixed_sql
 from .views import dist, replicates, uniform
 
-U_STD = uniform("f.std", "r.rep", "17")
+U_STD = mixed_sql("f.std", "r.rep", 17)
 #: Draws of the resampling queries.
 PERMUTATIONS, BOOTSTRAPS, PLACEBOS = 1000, 1000, 1000
 REPS, BOOTS = replicates(PERMUTATIONS), replicates(BOOTSTRAPS)
@@ -179,9 +179,6 @@ SQL: dict[str, str] = {
         JOIN degrees d ON d.std = x.std) y GROUP BY radius HAVING sum(treated) >= 5""",
     "node_table": "SELECT d.std AS id, substr(p.p_name, 1, 80) AS name, d.degree, round(m.lat, 6) AS lat, round(m.lon, 6) AS lon, l.treated, m.anchor FROM degrees d JOIN first_raw f ON f.std = d.std JOIN matches m ON m.raw = f.raw JOIN labels_std l ON l.std = d.std JOIN part p ON p.p_partkey = d.std",
     # resampling whose draws are hashes
-    "mean_diff_permutation": f"""SELECT count(*) AS reps, {R('avg(diff)')} AS mean, {R('stddev_samp(diff)')} AS sd, {R('max(b.m1 - b.m0)')} AS observed, {R('CAST(count(*) FILTER (WHERE abs(diff) >= abs(b.m1 - b.m0)) AS DOUBLE) / count(*)')} AS p FROM (
-        SELECT rep, avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) - avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END) AS diff FROM (
-        SELECT r.rep, f.degree, row_number() OVER (PARTITION BY r.rep ORDER BY {U_STD}, f.std) AS i, sum(f.treated) OVER (PARTITION BY r.rep) AS n1 FROM frame f CROSS JOIN {REPS} r) x GROUP BY rep) y CROSS JOIN (SELECT {ARMS} FROM frame) b""",
     "stratified_permutation": f"""WITH f AS (SELECT 'country' AS strata, std, degree, treated, country AS g FROM frame UNION ALL
           SELECT 'density_quintile', std, degree, treated, CAST(ntile(5) OVER (ORDER BY log_univ, std) AS STRING) FROM frame UNION ALL
           SELECT 'density_decile', std, degree, treated, CAST(ntile(10) OVER (ORDER BY log_univ, std) AS STRING) FROM frame),
@@ -195,24 +192,11 @@ SQL: dict[str, str] = {
         w AS (SELECT t.rep, c.degree, t.n1, row_number() OVER (PARTITION BY t.rep, t.anchor ORDER BY {uniform('c.std', 't.rep', '4')}, c.std) AS i FROM t JOIN c ON c.anchor = t.anchor),
         z AS (SELECT rep, ln(avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END)) AS coef, sum(CASE WHEN i <= n1 THEN 1 ELSE 0 END) AS treated FROM w GROUP BY rep)
         SELECT count(z.coef) AS reps, {R('avg(CAST(z.treated AS DOUBLE))')} AS mean_treated, {R('stddev_samp(z.coef)')} AS sd, {R('(count(*) FILTER (WHERE abs(z.coef) >= abs(b.obs)) + 1e0) / (count(z.coef) + 1e0)')} AS p FROM z CROSS JOIN (SELECT ln(m1 / m0) AS obs FROM (SELECT {ARMS} FROM frame) a) b""",
-    "hub_loading": f"""WITH top AS (SELECT PCT[degree~0.99] AS cut FROM frame),
-        x AS (SELECT r.rep, f.degree, f.degree >= top.cut AS big, row_number() OVER (PARTITION BY r.rep ORDER BY {U_STD}, f.std) AS i, sum(f.treated) OVER (PARTITION BY r.rep) AS n1 FROM frame f CROSS JOIN top CROSS JOIN {REPS} r),
-        d AS (SELECT rep, CAST(sum(CASE WHEN i <= n1 AND big THEN 1 ELSE 0 END) AS DOUBLE) AS hubs, abs(ln(avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END))) AS coef FROM x GROUP BY rep),
-        q AS (SELECT PCT[coef~0.95] AS p95 FROM d)
-        SELECT count(*) AS reps, {R(corr('hubs', 'coef'))} AS correlation, {R('avg(hubs)')} AS hubs, {R('avg(CASE WHEN coef >= q.p95 THEN hubs END)')} AS hubs_in_extreme_draws FROM d CROSS JOIN q""",
     "bootstrap_rank_biserial": f"""WITH n AS (SELECT std, treated, degree, row_number() OVER (PARTITION BY treated ORDER BY std) - 1 AS i, count(*) OVER (PARTITION BY treated) AS size FROM frame),
         s AS (SELECT r.rep, n.treated, least(floor(n.size * {uniform('n.i', 'n.treated', 'r.rep', '9')}), n.size - 1) AS pick FROM n CROSS JOIN {BOOTS} r),
         t AS (SELECT s.rep, n.treated AS arm, n.degree AS v FROM s JOIN n ON n.treated = s.treated AND n.i = s.pick)
         SELECT count(*) AS reps, round(PCT[r~0.025], 5) AS low, round(PCT[r~0.975], 5) AS high, round(stddev_samp(r), 5) AS sd, max(o.observed) AS observed
         FROM ({mann_whitney_sql("t", "rep")}) d CROSS JOIN (SELECT r AS observed FROM ({mann_whitney_sql("(SELECT treated AS arm, degree AS v FROM frame) y")}) q) o""",
-    "null_diagnostics": f"""SELECT count(*) AS n, {R('avg(diff)')} AS mean, {R('stddev_samp(diff)')} AS sd, {R('PCT[abs(diff)~0.95]')} AS p95, {R('PCT[abs(diff)~0.99]')} AS p99,
-          {R('avg(CASE WHEN abs(diff) > 3 * s THEN 1e0 ELSE 0e0 END)')} AS beyond_3sd, {R('max(abs(b.obs)) / stddev_samp(diff)')} AS observed_over_sd,
-          {R('(count(*) FILTER (WHERE abs(diff) >= abs(b.obs)) + 1e0) / (count(*) + 1e0)')} AS p,
-          {R('avg(pow(diff - m, 3)) / pow(avg(pow(diff - m, 2)), 15e-1)')} AS skew, {R('avg(pow(diff - m, 4)) / pow(avg(pow(diff - m, 2)), 2) - 3')} AS kurtosis FROM (
-        SELECT rep, diff, avg(diff) OVER () AS m, stddev_samp(diff) OVER () AS s FROM (SELECT rep, ln(avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END)) AS diff FROM (
-        SELECT r.rep, f.degree, row_number() OVER (PARTITION BY r.rep ORDER BY {U_STD}, f.std) AS i, sum(f.treated) OVER (PARTITION BY r.rep) AS n1 FROM frame f CROSS JOIN {REPS} r) x GROUP BY rep) y) z CROSS JOIN (SELECT ln(m1 / m0) AS obs FROM (SELECT {ARMS} FROM frame) a) b""",
-    "permutation_critical": f"""SELECT {R('PCT[abs(diff)~0.95]')} AS critical, count(*) AS reps FROM (SELECT rep, ln(avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END)) AS diff FROM (
-        SELECT r.rep, f.degree, row_number() OVER (PARTITION BY r.rep ORDER BY {U_STD}, f.std) AS i, sum(f.treated) OVER (PARTITION BY r.rep) AS n1 FROM frame f CROSS JOIN {REPS} r) x GROUP BY rep) y""",
     "vintage_swap": f"""SELECT spec, {R(corr('x', 'CAST(degree AS DOUBLE)'))} AS r, {R('avg(x)')} AS mean, count(*) AS n FROM (SELECT 'far' AS spec, log_univ AS x, degree FROM frame UNION ALL
         SELECT 'close', ln(1e0 + coalesce(k.around, 0)), f.degree FROM frame f JOIN first_raw x ON x.std = f.std LEFT JOIN (SELECT m.raw, count(*) AS around FROM matches m JOIN points p ON {dist('m', 'p')} <= 5e5 GROUP BY m.raw) k ON k.raw = x.raw) v GROUP BY spec""",
     "paired_share_bootstrap": PAIRED + """ SELECT rep, round(b0, 5) AS b0, round(b1, 5) AS b1, CASE WHEN b0 > 0 THEN round(1 - b1 / b0, 4) END AS removed FROM g""",
@@ -248,3 +232,26 @@ PLACEBO = f"""WITH run AS (SELECT r.rep, s.paper, s.k * (s.k - 1) / 2e0 AS ti, {
           LEFT JOIN less ON less.rep = c.rep AND less.treated = a.treated LEFT JOIN gone ON gone.rep = c.rep AND gone.treated = a.treated)
         SELECT d.rep, max(d.dropped) AS dropped, {R('max(d.share)')} AS share, {R('max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)')} AS ratio,
           {R('1 - ln(max(CASE WHEN d.treated = 1 THEN d.mean END) / max(CASE WHEN d.treated = 0 THEN d.mean END)) / ln(max(b.m1 / b.m0))')} AS removed FROM d CROSS JOIN (SELECT {ARMS} FROM frame) b GROUP BY d.rep"""
+
+
+#: Label permutations: by draw, what the n1 rows of least random number sum to.  DuckDB ranks them; Spark takes the sums from the operator.
+DRAWS = f"""(SELECT rep, CAST(max(n1) AS BIGINT) AS n1, count(*) AS n, sum(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) ELSE 0e0 END) AS s1, sum(CAST(degree AS DOUBLE)) AS s, CAST(sum(CASE WHEN i <= n1 AND big THEN 1 ELSE 0 END) AS DOUBLE) AS hubs FROM (
+        SELECT r.rep, f.degree, f.degree >= top.cut AS big, row_number() OVER (PARTITION BY r.rep ORDER BY {U_STD}, f.std) AS i, sum(f.treated) OVER (PARTITION BY r.rep) AS n1
+        FROM frame f CROSS JOIN (SELECT PCT[degree~0.99] AS cut FROM frame) top CROSS JOIN {REPS} r) x GROUP BY rep)"""
+_RATIO = "ln((s1 / n1) / ((s - s1) / (n - n1)))"
+
+
+def draw_statistics(draws: str) -> dict[str, str]:
+    """Statistics of the draws' table (rep, n1, n, s1, s, hubs)."""
+    seen = f"(SELECT ln(m1 / m0) AS obs FROM (SELECT {ARMS} FROM frame) a)"
+    return {
+        "mean_diff_permutation": f"""SELECT count(*) AS reps, {R('avg(diff)')} AS mean, {R('stddev_samp(diff)')} AS sd, {R('max(b.m1 - b.m0)')} AS observed, {R('CAST(count(*) FILTER (WHERE abs(diff) >= abs(b.m1 - b.m0)) AS DOUBLE) / count(*)')} AS p
+            FROM (SELECT rep, s1 / n1 - (s - s1) / (n - n1) AS diff FROM {draws} q) y CROSS JOIN (SELECT {ARMS} FROM frame) b""",
+        "hub_loading": f"""WITH d AS (SELECT rep, hubs, abs({_RATIO}) AS coef FROM {draws} z), q AS (SELECT PCT[coef~0.95] AS p95 FROM d)
+            SELECT count(*) AS reps, {R(corr('hubs', 'coef'))} AS correlation, {R('avg(hubs)')} AS hubs, {R('avg(CASE WHEN coef >= q.p95 THEN hubs END)')} AS hubs_in_extreme_draws FROM d CROSS JOIN q""",
+        "null_diagnostics": f"""SELECT count(*) AS n, {R('avg(diff)')} AS mean, {R('stddev_samp(diff)')} AS sd, {R('PCT[abs(diff)~0.95]')} AS p95, {R('PCT[abs(diff)~0.99]')} AS p99,
+            {R('avg(CASE WHEN abs(diff) > 3 * s THEN 1e0 ELSE 0e0 END)')} AS beyond_3sd, {R('max(abs(b.obs)) / stddev_samp(diff)')} AS observed_over_sd, {R('(count(*) FILTER (WHERE abs(diff) >= abs(b.obs)) + 1e0) / (count(*) + 1e0)')} AS p,
+            {R('avg(pow(diff - m, 3)) / pow(avg(pow(diff - m, 2)), 15e-1)')} AS skew, {R('avg(pow(diff - m, 4)) / pow(avg(pow(diff - m, 2)), 2) - 3')} AS kurtosis
+            FROM (SELECT diff, avg(diff) OVER () AS m, stddev_samp(diff) OVER () AS s FROM (SELECT {_RATIO} AS diff FROM {draws} q) y) z CROSS JOIN {seen} b""",
+        "permutation_critical": f"SELECT {R('PCT[abs(diff)~0.95]')} AS critical, count(*) AS reps FROM (SELECT {_RATIO} AS diff FROM {draws} q) y",
+    }

@@ -149,8 +149,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM_OPERATORS = {"matches": _matches, "counts_raw": _counts_raw, "edges": _edges}
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The text on Spark: given tables by path, plain views inlined for Catalyst, the others from the operators."""
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
+    """The text on Spark: given tables by path, plain views inlined for Catalyst, others from the operators, ``more`` by ``{name}``."""
     names = needed(sql, tuple(FROM_OPERATORS))
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names if n not in FROM_OPERATORS)
     body = sql.strip()
@@ -162,7 +162,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     frames = {n: FROM_OPERATORS[n](spark, sf_dir) for n in names if n in FROM_OPERATORS}
     for n in frames:
         body = re.sub(rf"\b(FROM|JOIN) {n}\b( (?!ON\b|JOIN\b|LEFT\b|WHERE\b|GROUP\b|CROSS\b)[a-z]\w*)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ' ' + n}", body)
-    return spark.sql(body, **frames)
+    return spark.sql(body, **frames, **more)
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

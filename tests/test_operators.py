@@ -326,5 +326,7 @@ def test_drawn_works_are_exactly_so_many(spark):
     from coaffil.operators import exclusion
 
     units = spark.range(1000).select(F.col("id").alias("paper"), F.lit(1).alias("ti"))
-    got = exclusion.cuts(units, 20, 137 / 1000, 3).collect()
+    got = exclusion.cuts(units, 20, 0.0, 3, goal=137).collect()
     assert len(got) == 20 and {r.dropped for r in got} == {137}
+    sums = exclusion.picked_sums(units, ["ti"], exclusion.cuts(units, 20, 0.0, 3, goal=137), 20, 3).collect()
+    assert len(sums) == 20 and {r.ti for r in sums} == {137.0}
