@@ -1,12 +1,13 @@
 """URL filters: fixed host and path rules, then a path-template tree.
 
-A url is a path in a tree: its host, then the segments of its path, digit runs and long hex runs
-folded into wildcards.  The tree is grown a level at a time from the rules' own verdicts on the urls
-(their labels).  At each node the branches whose labelled purity (share of urls that the rules
-block) doesn't differ statistically from the node's, unlabelled ones among them, are merged into one
-wildcard branch; the others keep their name.  So variable segments end up in wildcards, hosts that
-behave alike share a tree, and a node's purity is smoothed towards its parent's: a template without
-labels takes that of its nearest labelled ancestor.  What all urls of a node have in common is
+Each host has a tree of its own; a url is a path in it, the segments of its path, in which long hex
+runs and digit runs are folded into ``#``, a character that no path holds.  A tree is grown a level
+at a time from the rules' own verdicts on the host's urls (their labels).  Among a node's branches
+those whose labelled purity (share of urls that the rules block) doesn't differ statistically from
+that of their siblings, unlabelled ones among them, are merged into one wildcard branch ``?``, which
+no path holds either; the others keep their name.  A node's purity is smoothed towards its parent's,
+a host's towards a set prior: a template without labels takes that of its nearest labelled ancestor,
+and a host without any is never judged by another's.  What all urls of a node have in common is
 passed at once.  A template is rejected when its smoothed purity reaches one half.
 
 Each url takes the verdict of the longest rule that fits it, else that of its template.
@@ -56,16 +57,22 @@ def fitting_rule(rules: list[tuple[str, str, str]]) -> Column:
 
 def _folded(path: Column) -> Column:
     """The path with long hex runs and digit runs as wildcards."""
-    return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "*"), "[0-9]+", "*")
+    return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "#"), "[0-9]+", "#")
 
+def _alike(z: float) -> Column:
+    """Whether a branch (l labelled, b blocked) differs from its siblings (the rest of L and B) by chance at most."""
+    l, b, rest, other = F.col("l"), F.col("b"), F.col("L_") - F.col("l"), F.col("B_") - F.col("b")
+    pooled = F.col("B_") / F.col("L_")
+    spread = z * F.sqrt(pooled * (1 - pooled) * (1 / l + 1 / rest))
+    return F.when((l == 0) | (rest == 0), True).otherwise(F.abs(b / l - other / rest) <= spread)
 
-def templates(leaves: DataFrame, prior_strength: float, z: float) -> DataFrame:
+
+def templates(leaves: DataFrame, prior_strength: float, prior_purity: float, z: float) -> DataFrame:
     """(host, folded, template, purity) of leaves (host, folded, labelled, blocked), one for each host and folded path."""
     n = leaves.count()
-    total = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
-    state = leaves.withColumns({
-        "node": F.lit(""), "rem": F.concat(F.array("host"), F.split("folded", "/")), "p": F.lit(total.b / total.l if total.l else 0.0),
-    })
+    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("n"))
+    hosts = hosts.select("host", "n", ((F.col("b") + prior_strength * prior_purity) / (F.col("l") + prior_strength)).alias("p"))
+    state = join_unique(leaves, hosts, ["host"], "n", n).withColumns({"node": F.concat(F.col("host"), F.lit("/")), "rem": F.split("folded", "/")})
     done = None
     while True:
         # What the urls of a node have in common is what its first and last remainder have in common.
@@ -82,8 +89,9 @@ def templates(leaves: DataFrame, prior_strength: float, z: float) -> DataFrame:
         if state.isEmpty():
             return done
         child = state.groupBy("node", "child").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("p").alias("p"), F.count("*").alias("n"))
-        alike = (F.col("l") == 0) | (F.abs(F.col("b") - F.col("l") * F.col("p")) <= z * F.sqrt(F.col("l") * F.col("p") * (1 - F.col("p"))))
-        child = land(child.withColumn("name", F.when(alike, F.lit("*")).otherwise(F.col("child"))))
+        whole = child.groupBy("node").agg(F.sum("l").alias("L_"), F.sum("b").alias("B_"), F.count("*").alias("branches"))
+        child = join_unique(child, whole, ["node"], "branches", n)
+        child = land(child.withColumn("name", F.when(_alike(z), F.lit("?")).otherwise(F.col("child"))).drop("L_", "B_"))
         branch = child.groupBy("node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("p").alias("p"), F.count("*").alias("n"))
         branch = branch.select("node", "name", "n", ((F.col("b") + prior_strength * F.col("p")) / (F.col("l") + prior_strength)).alias("q"))
         named = join_unique(child.select("node", "child", "name", F.col("n").alias("rows")), branch, ["node", "name"], "n", n)
@@ -93,14 +101,16 @@ def templates(leaves: DataFrame, prior_strength: float, z: float) -> DataFrame:
 
 def url_filter(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-    prior_strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96,
+    prior_strength: float = 4.0, prior_purity: float = 0.0, reject_at: float = 0.5, z: float = 1.96,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     Null urls and urls without ``://`` have empty host and path and are a template of their own.
-    ``prior_strength`` is the number of pseudo-urls at its parent's purity added to a node; ``z`` the
-    critical value up to which a branch's purity counts as its node's.  Paths of any depth count
-    whole.  Ids may be null or repeat; other columns are ignored.  Without rules that fit, all is allowed.
+    ``prior_strength`` is the number of pseudo-urls at its parent's purity added to a node, a host's
+    having ``prior_purity``; ``z`` the critical value up to which a branch's purity counts as its
+    siblings'.  Paths of any depth and length count whole.  Ids may be null or repeat; other columns
+    are ignored; empty input gives no rows.  A host on whose urls no rule fits is allowed, unless
+    ``prior_purity`` reaches ``reject_at``.
     """
     urls = with_host_and_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
     urls = urls.withColumn("fit", fitting_rule(rules)).withColumn("folded", _folded(F.col("path"))).select("page_id", "host", "path", "fit", "folded")
@@ -109,7 +119,7 @@ def url_filter(
         F.count("fit").alias("labelled"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("blocked"), F.count("*").alias("times")
     )
     leaves = land(leaves)
-    judged = templates(leaves.drop("times"), prior_strength, z)
+    judged = templates(leaves.drop("times"), prior_strength, prior_purity, z)
     judged = judged.select("host", "folded", F.when(F.col("purity") >= reject_at, "block").otherwise("allow").alias("method"))
     judged = land(judged.join(leaves.select("host", "folded", "times"), ["host", "folded"]))
     return join_unique(urls, judged, ["host", "folded"], "times", urls.count()).select(
@@ -135,19 +145,19 @@ WITH RECURSIVE a AS (
     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a
 ), u AS (
   SELECT *, CASE {rule} END AS rule, CASE {said} END AS said,
-    regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '*', 'g'), '[0-9]+', '*', 'g') AS folded FROM b
+    regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '#', 'g'), '[0-9]+', '#', 'g') AS folded FROM b
 ), leaf AS (
   SELECT host, folded, count(said) AS l, count(*) FILTER (said = 'block') AS b FROM u GROUP BY ALL
 ), t AS (
-  SELECT host, folded, l, b, '' AS node, list_prepend(host, string_split(folded, '/')) AS rem,
-    (SELECT CASE WHEN sum(l) > 0 THEN CAST(sum(b) AS DOUBLE) / sum(l) ELSE 0e0 END FROM leaf) AS p, false AS fin FROM leaf
+  SELECT host, folded, l, b, concat(host, '/') AS node, string_split(folded, '/') AS rem,
+    CAST(sum(b) OVER (PARTITION BY host) AS DOUBLE) / (sum(l) OVER (PARTITION BY host) + 4e0) AS p, false AS fin FROM leaf
   UNION ALL
   SELECT host, folded, l, b, CASE WHEN len(rem) = 0 THEN node ELSE concat(node, '/', name) END, rem[2:],
     CASE WHEN len(rem) = 0 THEN p ELSE (CAST(sum(b) OVER (PARTITION BY node, name) AS DOUBLE) + 4e0 * p) / (sum(l) OVER (PARTITION BY node, name) + 4e0) END, len(rem) = 0
   FROM (
-    SELECT *, CASE WHEN cl = 0 OR abs(cb - cl * p) <= 1.96e0 * sqrt(cl * p * (1 - p)) THEN '*' ELSE rem[1] END AS name
+    SELECT *, CASE WHEN cl = 0 OR nl = cl THEN '?' WHEN abs(cb / cl - (nb - cb) / (nl - cl)) <= 1.96e0 * sqrt(nb / nl * (1 - nb / nl) * (1 / cl + 1 / (nl - cl))) THEN '?' ELSE rem[1] END AS name
     FROM (
-      SELECT *, CAST(sum(l) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cl, CAST(sum(b) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cb
+      SELECT *, CAST(sum(l) OVER (PARTITION BY node) AS DOUBLE) AS nl, CAST(sum(b) OVER (PARTITION BY node) AS DOUBLE) AS nb, CAST(sum(l) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cl, CAST(sum(b) OVER (PARTITION BY node, rem[1]) AS DOUBLE) AS cb
       FROM (
         SELECT host, folded, l, b, p, concat(node, array_to_string(list_transform(rem[1:skip], lambda x: '/' || x), '')) AS node, rem[skip + 1:] AS rem
         FROM (

@@ -476,3 +476,25 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     left = {r.doc_id: r.text for r in seen.collect()}
     assert sorted(left) == [1, 4, 5, 6] and left[4] == "write to [EMAIL]"
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 6}
+
+
+def test_url_trees_are_each_hosts_own(spark):
+    """A host without labels isn't judged by another's; siblings are told apart; digits differ from the merged branch."""
+    rules = [("block", "bad.com", "/de/"), ("block", "mix.com", "/1"), ("allow", "mix.com", "/shop/"), ("block", "mix.com", "/cards/"), ("allow", "mix.com", "/a")]
+    urls = [f"http://bad.com/de/{k}" for k in range(30)] + ["http://bad.com/other/page"]
+    urls += [f"http://good.net/x{k}/y" for k in range(20)] + [f"http://other.io/{k}" for k in range(4)]
+    urls += [f"http://mix.com/shop/{w}" for w in ("a", "b", "c", "d", "e")] * 8 + [f"http://mix.com/cards/{k}" for k in range(40)] + ["http://mix.com/new/page"]
+    urls += [f"http://mix.com/{100 + k}" for k in range(40)] + ["http://mix.com/777", "http://mix.com/2", "http://mix.com/about", "http://mix.com/zoo"]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "no scheme", "http://x.y/" + "d/" * 300])), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    assert len(got) == len(urls) + 3
+    said = {u: got[i].verdict for i, u in enumerate(urls)}
+    assert all(v == "allow" for u, v in said.items() if "good.net" in u or "other.io" in u)
+    assert said["http://bad.com/other/page"] == "block"  # its own host's purity
+    assert said["http://mix.com/777"] == said["http://mix.com/2"] == "block" and got[urls.index("http://mix.com/2")].rule is None  # the digits' branch
+    assert said["http://mix.com/zoo"] == "allow" or got[urls.index("http://mix.com/zoo")].rule is None
+    assert {got[len(urls) + k].verdict for k in range(3)} == {"allow"}
+    # Whatever else is in the table, a host's verdicts are the same.
+    alone = {r.url: r for r in url_filter.url_filter(pages.where("url like 'http://mix.com/%'"), rules).join(pages, "page_id").collect()}
+    assert all(said[u] == r.verdict for u, r in alone.items())
+    assert url_filter.url_filter(pages.limit(0), rules).count() == 0
