@@ -43,6 +43,19 @@ def _catchments(spark: SparkSession, d: str) -> DataFrame:
         SELECT affil.std, m.anchor, count(*) AS n FROM affil JOIN matches m ON m.raw = affil.raw GROUP BY affil.std, m.anchor) c GROUP BY std""")
 
 
+def _quantile(values: np.ndarray, q: float) -> float | None:
+    """Percentile of the draws, null where there is none."""
+    return float(np.percentile(values, q)) if len(values) else None
+
+
+def _deviation(values: np.ndarray) -> float | None:
+    return float(values.std(ddof=1)) if len(values) > 1 else None
+
+
+def _mean(values: np.ndarray) -> float | None:
+    return float(values.mean()) if len(values) else None
+
+
 def _start(fits: R.Fits) -> np.ndarray:
     """Coefficients to start permuted fits from: those observed, without the label's."""
     b = fits.coef[0].copy()
@@ -179,11 +192,14 @@ def spec_permutations(spark, d):
     perm = R.fit(found, R.Draws("permute", SPEC_PERMUTATIONS, 8), alpha=alpha, start=start)
     boot = R.fit(found, R.Draws("bootstrap", SPEC_PERMUTATIONS, 9), alpha=alpha, start={s: f.coef[0] for s, f in kept.items()})
     rows = []
-    for s, f in sorted(kept.items()):
+    for s, f in sorted(fits.items()):
+        if s not in kept:
+            rows.append((s, *(None,) * 8))
+            continue
         c, p, b = float(f.coef[0, 1]), perm[s], boot[s]
         drawn = b.coef[b.converged, 1]
-        sd = float(drawn.std(ddof=1)) if len(drawn) > 1 else None
-        rows.append((s, c, _permutation_p(c, p), int((~p.converged).sum()), sd, *(float(np.exp(np.percentile(drawn, q))) if len(drawn) else None for q in (2.5, 97.5)), I.tost(c, sd, *EQUIVALENCE) if sd else None, int((~b.converged).sum())))
+        sd, ratios = _deviation(drawn), np.exp(drawn)
+        rows.append((s, c, _permutation_p(c, p), int((~p.converged).sum()), sd, _quantile(ratios, 2.5), _quantile(ratios, 97.5), I.tost(c, sd, *EQUIVALENCE) if sd else None, int((~b.converged).sum())))
     return spark.createDataFrame(rows, "spec string, coef double, permutation_p double, permutations_dropped long, bootstrap_sd double, bootstrap_low double, bootstrap_high double, tost_p_bootstrap double, bootstraps_dropped long")
 
 
@@ -264,8 +280,8 @@ def tost(spark, d):
     _, found, fits = _fitted(spark, d)
     c, se, df = float(fits.coef[0, 1]), float(fits.se()[0, 1]), int(fits.n[0]) - len(XS) - 1
     boot = R.fit(found, R.Draws("bootstrap", SPEC_PERMUTATIONS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
-    sd = float(boot.coef[boot.converged, 1].std(ddof=1))
-    rows = [(form, c, e, I.tost(c, e, *EQUIVALENCE, df=k)) for form, e, k in (("normal", se, None), ("student", se, df), ("bootstrap", sd, None))]
+    sd = _deviation(boot.coef[boot.converged, 1])
+    rows = [(form, c, e, I.tost(c, e, *EQUIVALENCE, df=k) if e and fits.converged[0] else None) for form, e, k in (("normal", se, None), ("student", se, df), ("bootstrap", sd, None))]
     return spark.createDataFrame(rows, "form string, coef double, se double, p double").withColumn("equivalent", F.col("p") < 0.05)
 
 
@@ -342,9 +358,9 @@ def hub_loading_fits(spark, d):
     draws = R.Draws("permute", PERMUTATIONS, 17)
     drawn = R.fit(found, draws, alpha=float(fits.alpha[0]), start={"all": _start(fits)})["all"]
     hubs, size = R.label_sums(found, draws, "hub")["all"][drawn.converged], np.abs(drawn.coef[drawn.converged, 1])
-    extreme = size >= np.percentile(size, 95)
-    r = float(np.corrcoef(size, hubs)[0, 1]) if hubs.std() else None
-    return spark.createDataFrame([(len(size), r, float(hubs[extreme].mean()), float(hubs.mean()))], "draws long, correlation double, hubs_in_extreme_draws double, hubs double")
+    extreme = size >= (_quantile(size, 95) or 0.0)
+    r = float(np.corrcoef(size, hubs)[0, 1]) if len(size) > 1 and hubs.std() and size.std() else None
+    return spark.createDataFrame([(len(size), r, _mean(hubs[extreme]), _mean(hubs))], "draws long, correlation double, hubs_in_extreme_draws double, hubs double")
 
 
 def residual_permutation(spark, d):
@@ -377,7 +393,7 @@ def bootstrap_coef(spark, d):
     _, found, fits = _fitted(spark, d)
     drawn = R.fit(found, R.Draws("bootstrap", BOOTSTRAPS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
     c = drawn.coef[drawn.converged, 1]
-    return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(float(np.percentile(c, q)) for q in (2.5, 97.5, 5, 95)), float(c.std(ddof=1)))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
+    return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(_quantile(c, q) for q in (2.5, 97.5, 5, 95)), _deviation(c))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
 
 
 def _label_draws(spark, d) -> DataFrame:
@@ -432,7 +448,8 @@ def placebo_fits(spark, d):
     fits = R.fit(R.blocks(specs, "degree", XS, ["std"], group="spec"))
     head, capped = float(fits["headline"].coef[0, 1]), float(fits["cap_6"].coef[0, 1])
     share = float(spark_view(spark, d, "sizes").agg(F.sum(F.expr("CASE WHEN k >= 6 THEN k * (k - 1) / 2 ELSE 0 END")) / F.sum(F.expr("k * (k - 1) / 2"))).first()[0])
-    removed_cap = 1 - capped / head
+    known = bool(fits["headline"].converged[0] and fits["cap_6"].converged[0] and head)
+    removed_cap = 1 - capped / head if known else math.nan
     rows = []
     for universe, below, seed in (("all_works", None, 5), ("small_works_only", 6, 6)):
         if below is not None and share >= 1 - share:  # the small works can't make up the share
@@ -440,13 +457,13 @@ def placebo_fits(spark, d):
         cut, losses = _placebo(spark, d, frame, share, PLACEBO_FITS, seed, below)
         found = R.blocks(losses, "degree", XS, ["std"], extra=("loss",))
         got = R.fit(found, R.Draws("without", PLACEBO_FITS, extra="loss"), start={"all": fits["headline"].coef[0]})["all"]
-        c = got.coef[got.converged, 1]
+        c = got.coef[got.converged, 1] if known else np.zeros(0)
         irr, removed = np.exp(c), 1 - c / head
-        sd = float(removed.std(ddof=1))
+        sd = _deviation(removed)
+        as_cap = ((removed >= removed_cap).mean(), (irr <= math.exp(capped)).mean(), ((removed >= removed_cap).sum() + 1) / (len(c) + 1)) if len(c) else (None,) * 3
         rows.append((
-            universe, len(c), int((~got.converged).sum()), share, float(cut.agg(F.avg("dropped")).first()[0]), float(got.n[got.converged].mean()), float(irr.mean()), float(irr.std(ddof=1)),
-            *(float(np.percentile(irr, q)) for q in (2.5, 5, 50, 95)), float(removed.mean()), *(float(np.percentile(removed, q)) for q in (95, 99)), float(removed.max()), removed_cap,
-            float((removed >= removed_cap).mean()), float((irr <= math.exp(capped)).mean()), float(((removed >= removed_cap).sum() + 1) / (len(c) + 1)), float((removed_cap - removed.mean()) / sd) if sd else None,
+            universe, len(c), int((~got.converged).sum()), share, float(cut.agg(F.avg("dropped")).first()[0]), _mean(got.n[got.converged]), _mean(irr), _deviation(irr), *(_quantile(irr, q) for q in (2.5, 5, 50, 95)),
+            _mean(removed), *(_quantile(removed, q) for q in (95, 99, 100)), removed_cap if known else None, *(None if v is None else float(v) for v in as_cap), float((removed_cap - removed.mean()) / sd) if sd else None,
         ))
     return spark.createDataFrame(rows, "universe string, draws long, draws_dropped long, tie_share double, works_excluded double, n double, irr_mean double, irr_sd double, irr_p2_5 double, irr_p5 double, irr_median double, irr_p95 double, removed_mean double, removed_p95 double, removed_p99 double, removed_max double, removed_cap double, share_removed_as_cap double, share_irr_as_cap double, p_one_sided double, z_of_cap double")
 
