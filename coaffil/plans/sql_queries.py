@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.exclusion import mixed_sql
-from .views import dist, replicates, uniform
+from .views import dist, replicates, tile, uniform
 
 U_STD = mixed_sql("f.std", "r.rep", 17)
 #: Draws of the resampling queries.
@@ -55,7 +55,7 @@ SE = "sqrt((1 + m1) / (treated * m1) + (1 + m0) / ((n - treated) * m0))"
 
 
 #: Label coefficients of the frame (b0) and of its part under a cap of 6 with rebuilt degrees (b1), of the same rows drawn.
-PAIRED = f"""WITH base AS (SELECT std, treated, degree, row_number() OVER (ORDER BY std) - 1 AS i, count(*) OVER () AS size FROM frame),
+PAIRED = f"""WITH base AS (SELECT std, treated, degree, i, size FROM numbered),
         draw AS (SELECT r.rep, least(floor(b.size * {uniform('b.i', 'r.rep', '21')}), b.size - 1) AS pick, count(*) AS times FROM base b CROSS JOIN {BOOTS} r GROUP BY r.rep, least(floor(b.size * {uniform('b.i', 'r.rep', '21')}), b.size - 1)),
         x AS (SELECT d.rep, d.times, b.treated, CAST(b.degree AS DOUBLE) AS y, CAST(c.degree AS DOUBLE) AS z FROM draw d JOIN base b ON b.i = d.pick LEFT JOIN (SELECT std, degree FROM capped WHERE cap = 6) c ON c.std = b.std),
         g AS (SELECT rep, ln((sum(times * y) FILTER (WHERE treated = 1) / sum(times) FILTER (WHERE treated = 1)) / (sum(times * y) FILTER (WHERE treated = 0) / sum(times) FILTER (WHERE treated = 0))) AS b0,
@@ -166,7 +166,7 @@ SQL: dict[str, str] = {
     "holm_stepdown": f"""WITH p AS (SELECT country, round({log10_p('z')}, 6) AS lp FROM (SELECT country, ln(m1 / m0) / {SE} AS z FROM (SELECT country, {ARMS} FROM frame GROUP BY country) a WHERE m1 > 0 AND m0 > 0) b)
         SELECT country, lp AS log10_p, place, min(CASE WHEN lp < log10(5e-2 / (m - place + 1)) THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM (
         SELECT country, lp, count(*) OVER () AS m, row_number() OVER (ORDER BY lp, country) AS place FROM p) y""",
-    "density_strata": "SELECT stratum, count(*) AS n, CAST(sum(treated) AS BIGINT) AS treated, min(std) AS least FROM (SELECT std, treated, ntile(5) OVER (ORDER BY log_univ, std) AS stratum FROM frame) x GROUP BY stratum",
+    "density_strata": f"SELECT stratum, count(*) AS n, CAST(sum(treated) AS BIGINT) AS treated, min(std) AS least FROM (SELECT std, treated, {tile('place', 'size', 5)} AS stratum FROM ranked) x GROUP BY stratum",
     "subsample_works": f"""WITH x AS (SELECT rep, paper FROM (SELECT r.rep, s.paper, row_number() OVER (PARTITION BY r.rep ORDER BY {uniform('s.paper', 'r.rep', '7')}, s.paper) AS i FROM sizes s CROSS JOIN {replicates(50)} r) y WHERE i <= 500),
         e AS (SELECT DISTINCT x.rep, p.a, p.b FROM x JOIN pairs p ON p.paper = x.paper),
         d AS (SELECT rep, std, count(*) AS degree FROM (SELECT rep, a AS std FROM e UNION ALL SELECT rep, b FROM e) v GROUP BY rep, std),
@@ -180,8 +180,8 @@ SQL: dict[str, str] = {
     "node_table": "SELECT d.std AS id, substr(p.p_name, 1, 80) AS name, d.degree, round(m.lat, 6) AS lat, round(m.lon, 6) AS lon, l.treated, m.anchor FROM degrees d JOIN first_raw f ON f.std = d.std JOIN matches m ON m.raw = f.raw JOIN labels_std l ON l.std = d.std JOIN part p ON p.p_partkey = d.std",
     # resampling whose draws are hashes
     "stratified_permutation": f"""WITH f AS (SELECT 'country' AS strata, std, degree, treated, country AS g FROM frame UNION ALL
-          SELECT 'density_quintile', std, degree, treated, CAST(ntile(5) OVER (ORDER BY log_univ, std) AS STRING) FROM frame UNION ALL
-          SELECT 'density_decile', std, degree, treated, CAST(ntile(10) OVER (ORDER BY log_univ, std) AS STRING) FROM frame),
+          SELECT 'density_quintile', std, degree, treated, CAST({tile('place', 'size', 5)} AS STRING) FROM ranked UNION ALL
+          SELECT 'density_decile', std, degree, treated, CAST({tile('place', 'size', 10)} AS STRING) FROM ranked),
         x AS (SELECT f.strata, r.rep, f.degree, row_number() OVER (PARTITION BY f.strata, r.rep, f.g ORDER BY {U_STD}, f.std) <= sum(f.treated) OVER (PARTITION BY f.strata, r.rep, f.g) AS yes FROM f CROSS JOIN {REPS} r),
         d AS (SELECT strata, rep, ln(avg(CASE WHEN yes THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN NOT yes THEN CAST(degree AS DOUBLE) END)) AS coef FROM x GROUP BY strata, rep)
         SELECT d.strata, count(*) AS reps, {R('stddev_samp(d.coef)')} AS sd, {R('(count(*) FILTER (WHERE abs(d.coef) >= abs(b.obs)) + 1e0) / (count(*) + 1e0)')} AS p FROM d CROSS JOIN (SELECT ln(m1 / m0) AS obs FROM (SELECT {ARMS} FROM frame) a) b GROUP BY d.strata""",
@@ -192,15 +192,15 @@ SQL: dict[str, str] = {
         w AS (SELECT t.rep, c.degree, t.n1, row_number() OVER (PARTITION BY t.rep, t.anchor ORDER BY {uniform('c.std', 't.rep', '4')}, c.std) AS i FROM t JOIN c ON c.anchor = t.anchor),
         z AS (SELECT rep, ln(avg(CASE WHEN i <= n1 THEN CAST(degree AS DOUBLE) END) / avg(CASE WHEN i > n1 THEN CAST(degree AS DOUBLE) END)) AS coef, sum(CASE WHEN i <= n1 THEN 1 ELSE 0 END) AS treated FROM w GROUP BY rep)
         SELECT count(z.coef) AS reps, {R('avg(CAST(z.treated AS DOUBLE))')} AS mean_treated, {R('stddev_samp(z.coef)')} AS sd, {R('(count(*) FILTER (WHERE abs(z.coef) >= abs(b.obs)) + 1e0) / (count(z.coef) + 1e0)')} AS p FROM z CROSS JOIN (SELECT ln(m1 / m0) AS obs FROM (SELECT {ARMS} FROM frame) a) b""",
-    "bootstrap_rank_biserial": f"""WITH n AS (SELECT std, treated, degree, row_number() OVER (PARTITION BY treated ORDER BY std) - 1 AS i, count(*) OVER (PARTITION BY treated) AS size FROM frame),
+    "bootstrap_rank_biserial": f"""WITH n AS (SELECT std, treated, degree, i, size FROM in_arms),
         s AS (SELECT r.rep, n.treated, least(floor(n.size * {uniform('n.i', 'n.treated', 'r.rep', '9')}), n.size - 1) AS pick FROM n CROSS JOIN {BOOTS} r),
         t AS (SELECT s.rep, n.treated AS arm, n.degree AS v FROM s JOIN n ON n.treated = s.treated AND n.i = s.pick)
         SELECT count(*) AS reps, round(PCT[r~0.025], 5) AS low, round(PCT[r~0.975], 5) AS high, round(stddev_samp(r), 5) AS sd, max(o.observed) AS observed
         FROM ({mann_whitney_sql("t", "rep")}) d CROSS JOIN (SELECT r AS observed FROM ({mann_whitney_sql("(SELECT treated AS arm, degree AS v FROM frame) y")}) q) o""",
     "vintage_swap": f"""SELECT spec, {R(corr('x', 'CAST(degree AS DOUBLE)'))} AS r, {R('avg(x)')} AS mean, count(*) AS n FROM (SELECT 'far' AS spec, log_univ AS x, degree FROM frame UNION ALL
-        SELECT 'close', ln(1e0 + coalesce(k.around, 0)), f.degree FROM frame f JOIN first_raw x ON x.std = f.std LEFT JOIN (SELECT m.raw, count(*) AS around FROM matches m JOIN points p ON {dist('m', 'p')} <= 5e5 GROUP BY m.raw) k ON k.raw = x.raw) v GROUP BY spec""",
+        SELECT 'close', ln(1e0 + coalesce(k.around, 0)), f.degree FROM frame f JOIN first_raw x ON x.std = f.std LEFT JOIN close_raw k ON k.raw = x.raw) v GROUP BY spec""",
     "paired_share_bootstrap": PAIRED + """ SELECT rep, round(b0, 5) AS b0, round(b1, 5) AS b1, CASE WHEN b0 > 0 THEN round(1 - b1 / b0, 4) END AS removed FROM g""",
-    "cluster_bootstrap_diff": f"""WITH base AS (SELECT std, treated, degree, row_number() OVER (ORDER BY std) - 1 AS i, count(*) OVER () AS size FROM frame),
+    "cluster_bootstrap_diff": f"""WITH base AS (SELECT std, treated, degree, i, size FROM numbered),
         reps AS (SELECT rep FROM {replicates(200)} v),
         d AS (SELECT s.rep, b.std, b.treated, b.degree FROM (SELECT r.rep, least(floor(x.size * {uniform('x.i', 'r.rep', '41')}), x.size - 1) AS pick FROM base x CROSS JOIN reps r) s JOIN base b ON b.i = s.pick),
         link AS (SELECT affil.raw, min(f.std) AS std FROM affil JOIN frame f ON f.std = affil.std GROUP BY affil.raw),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geo as geo_ops
 from ..operators import network
+from ..operators.numbering import with_row_numbers
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 
@@ -62,6 +63,10 @@ VIEWS = {
         FROM degrees d JOIN labels_std l ON d.std = l.std JOIN first_raw f ON f.std = d.std JOIN counts_raw c ON c.raw = f.raw
         JOIN (SELECT std, count(*) AS papers FROM membership GROUP BY std) p ON p.std = d.std
         JOIN raw_country g ON g.raw = f.raw""",
+    "numbered": "SELECT std, treated, degree, row_number() OVER (ORDER BY std) - 1 AS i, count(*) OVER () AS size FROM frame",
+    "ranked": "SELECT std, treated, degree, country, row_number() OVER (ORDER BY log_univ, std) - 1 AS place, count(*) OVER () AS size FROM frame",
+    "in_arms": "SELECT std, treated, degree, row_number() OVER (PARTITION BY treated ORDER BY std) - 1 AS i, count(*) OVER (PARTITION BY treated) AS size FROM frame",
+    "close_raw": f"SELECT m.raw, count(*) AS around FROM matches m JOIN points p ON {dist('m', 'p')} <= 5e5 GROUP BY m.raw",
     "capped": """SELECT p.cap, f.std, f.treated, f.log_univ, f.log_station, f.log_junction, f.log_papers, f.country, coalesce(d.degree, 0) AS degree
         FROM (SELECT DISTINCT c.cap, m.std FROM caps c JOIN sizes s ON s.k < c.cap JOIN membership m ON m.paper = s.paper) p JOIN frame f ON f.std = p.std
         LEFT JOIN (SELECT cap, v AS std, count(*) AS degree FROM (SELECT DISTINCT c.cap, p.a AS v, p.b AS w FROM caps c JOIN sizes s ON s.k < c.cap JOIN pairs p ON p.paper = s.paper
@@ -145,8 +150,37 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.coaffil_edges(spark_view(spark, sf_dir, "affil"), "paper", "std")
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = with_row_numbers(spark_view(spark, sf_dir, "frame").select("std", "treated", "degree"), "std", name="i")
+    return rows.withColumn("size", F.lit(n).cast("long"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = with_row_numbers(spark_view(spark, sf_dir, "frame").select("std", "treated", "degree", "country", "log_univ"), "log_univ", "std", name="place")
+    return rows.drop("log_univ").withColumn("size", F.lit(n).cast("long"))
+
+
+def _in_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = with_row_numbers(spark_view(spark, sf_dir, "frame").select("std", "treated", "degree"), "treated", "std", name="i")
+    control = rows.where("treated = 0").count()  # the arms follow one another
+    own = F.when(F.col("treated") == 1, F.col("i") - control).otherwise(F.col("i"))
+    return rows.withColumn("i", own).withColumn("size", F.when(F.col("treated") == 1, F.lit(n - control)).otherwise(F.lit(control)).cast("long"))
+
+
+def _close_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark_view(spark, sf_dir, "raw_geo").where("lat is not null")
+    return geo_ops.within_radius(raw, spark_view(spark, sf_dir, "points"), "raw", "point", 5e5).groupBy("raw").agg(F.count("*").alias("around"))
+
+
+def tile(place: str, size: str, bins: int) -> str:
+    """The bin from 1 of a place from 0: sizes differ by one at most, the larger bins first."""
+    small, more = f"floor({size} / {bins})", f"({size} % {bins})"
+    edge = f"({more} * ({small} + 1))"
+    return f"CAST(CASE WHEN {place} < {edge} THEN floor({place} / ({small} + 1)) + 1 ELSE floor(({place} - {edge}) / greatest({small}, 1)) + {more} + 1 END AS BIGINT)"
+
+
 #: Views that Spark takes from the operators: no brute-force pairs there, unlike in the text that DuckDB runs.
-FROM_OPERATORS = {"matches": _matches, "counts_raw": _counts_raw, "edges": _edges}
+FROM_OPERATORS = {"matches": _matches, "counts_raw": _counts_raw, "edges": _edges, "numbered": _numbered, "ranked": _ranked, "in_arms": _in_arms, "close_raw": _close_raw}
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
