@@ -113,7 +113,7 @@ def node_totals(kind: str, seed: int, key: str, size: int, total: int | tuple[in
     return first if low == a else above - first
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=24)
 def leaf_draw(kind: str, seed: int, key: str, size: int, total: int | tuple[int, ...], reps: int, at: int, leaf: int) -> np.ndarray:
     """Label (bool) or number of picks of each row of a leaf in each replicate, rows x reps."""
     rows = min((at + 1) * leaf, size) - at * leaf
@@ -121,8 +121,12 @@ def leaf_draw(kind: str, seed: int, key: str, size: int, total: int | tuple[int,
     draw = _generator(seed, key, at, at, 1)
     if kind == "bootstrap":
         return draw.multinomial(inside, np.full(rows, 1 / rows)).T.astype(np.float32)
-    rank = np.argsort(np.argsort(draw.random((rows, reps)), axis=0), axis=0)
-    return rank < inside
+    number = draw.random((reps, rows))
+    cut = np.sort(number, axis=1)[np.arange(reps), np.minimum(inside, rows - 1)]
+    label = number < np.where(inside < rows, cut, np.inf)[:, None]
+    if (label.sum(1) != inside).any():  # equal numbers at a cut
+        label = np.argsort(np.argsort(number, axis=1), axis=1) < inside[:, None]
+    return label.T
 
 
 @lru_cache(maxsize=8)
