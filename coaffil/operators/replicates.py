@@ -44,12 +44,15 @@ class Blocks:
     strata: dict[tuple[str, str], tuple[int, float]]
     #: group: rows and mean outcome.
     groups: dict[str, tuple[int, float]] = field(default_factory=dict)
+    #: Whether a block's rows are known by their places, as draws need.
+    ordered: bool = True
 
 
 def blocks(frame: DataFrame, y: str, xs: list[str], order: list[str], group: str | None = None, stratum: str | None = None, extra: tuple[str, ...] = (), leaf: int = LEAF) -> Blocks:
     """Blocks of the rows without a null in y and xs, in the given order inside each group and stratum.
 
-    ``order`` must settle the rows' order, else draws are not reproducible.  ``extra`` columns are
+    ``order`` must settle the rows' order, else draws are not reproducible; an empty one makes blocks
+    for fits without draws, with one shuffle less.  ``extra`` columns are
     numbers that a draw needs, or binary columns.  Groups and strata are few: their sizes reach the
     driver.
     """
@@ -63,12 +66,18 @@ def blocks(frame: DataFrame, y: str, xs: list[str], order: list[str], group: str
         *[F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(names)],
         *[F.col(c).alias(f"_e{k}") if c in wide else F.col(c).cast("double").alias(f"_e{k}") for k, c in enumerate(extra)],
     ).dropna(subset=[f"_v{k}" for k in range(len(names))])
-    numbered, _ = with_row_numbers(rows, "_g", "_s", *[f"_o{k}" for k in range(len(order))], name="_i")
-    numbered = numbered.persist()
-    sums = numbered.groupBy("_g", "_s").agg(F.count("*").alias("n"), F.sum("_v0").alias("y"), F.sum("_v1" if xs else F.lit(0.0)).alias("label"), F.min("_i").alias("start")).collect()
-    starts = frame.sparkSession.createDataFrame([(r._g, r._s, r.start) for r in sums], "_g string, _s string, _start long")
+    label = F.sum("_v1" if xs else F.lit(0.0)).alias("label")
+    if order:
+        numbered, _ = with_row_numbers(rows, "_g", "_s", *[f"_o{k}" for k in range(len(order))], name="_i")
+        numbered = numbered.persist()
+        sums = numbered.groupBy("_g", "_s").agg(F.count("*").alias("n"), F.sum("_v0").alias("y"), label, F.min("_i").alias("start")).collect()
+    else:
+        numbered = rows.withColumn("_i", F.monotonically_increasing_id()).persist()
+        sums = numbered.groupBy("_g", "_s").agg(F.count("*").alias("n"), F.sum("_v0").alias("y"), label, F.lit(0).cast("long").alias("start")).collect()
+    starts = frame.sparkSession.createDataFrame([(r._g, r._s, r.start, r.n) for r in sums], "_g string, _s string, _start long, _n long")
     cells = [*[f"_v{k}" for k in range(len(names))], *[f"_e{k}" for k in range(len(extra))]]
-    placed = numbered.join(F.broadcast(starts), ["_g", "_s"]).withColumn("_leaf", F.floor((F.col("_i") - F.col("_start")) / leaf).cast("int"))
+    at = F.floor((F.col("_i") - F.col("_start")) / leaf) if order else F.pmod(F.xxhash64("_i"), F.ceil(F.col("_n") / leaf))
+    placed = numbered.join(F.broadcast(starts), ["_g", "_s"]).withColumn("_leaf", at.cast("int"))
     packed = placed.groupBy("_g", "_s", "_leaf").agg(F.array_sort(F.collect_list(F.struct("_i", *cells))).alias("r"))
     packed = packed.select("_g", "_s", "_leaf", *[F.col(f"r.{c}").alias(c) for c in cells])
     count = sum(-(-r.n // leaf) for r in sums)
@@ -79,7 +88,7 @@ def blocks(frame: DataFrame, y: str, xs: list[str], order: list[str], group: str
     for r in sums:
         n, total = groups.get(r._g, (0, 0.0))
         groups[r._g] = n + r.n, total + r.y
-    return Blocks(out, [*names, *extra], xs, {(r._g, r._s): (r.n, r.label) for r in sums}, {g: (n, s / n) for g, (n, s) in groups.items()})
+    return Blocks(out, [*names, *extra], xs, {(r._g, r._s): (r.n, r.label) for r in sums}, {g: (n, s / n) for g, (n, s) in groups.items()}, bool(order))
 
 
 # --- draws ---------------------------------------------------------------------------------------
@@ -241,6 +250,8 @@ def fit(found: Blocks, draws: Draws = Draws(), alpha: float | dict | None = None
     used.  A covariate that is constant or a combination of others does no harm.
     """
     spark, names, strata = found.df.sparkSession, found.names, found.strata
+    if not found.ordered and draws.kind not in ("observed", "leave", "without"):
+        raise ValueError("these draws need blocks with an order")
     xs = found.xs
     p, wanted = 1 + len(xs), alpha is None
     upper = [(i, j) for i in range(p) for j in range(i, p)]

@@ -89,9 +89,10 @@ def _terms(spark, fits: R.Fits, xs: list[str], spec: str) -> DataFrame:
     return spark.createDataFrame(rows, "spec string, term string, coef double, se double, ratio double, ci95_low double, ci95_high double, p double, alpha double, converged boolean")
 
 
-def _fitted(spark, d, xs: list[str] | None = None, alpha: float | None = None, frame: DataFrame | None = None):
-    frame = _frame(spark, d) if frame is None else frame
-    found = R.blocks(frame, "degree", xs or XS, ["std"])
+def _fitted(spark, d, xs: list[str] | None = None, alpha: float | None = None, draws: bool = False):
+    """Frame, its blocks (in order where draws will follow) and the fit."""
+    frame = _frame(spark, d)
+    found = R.blocks(frame, "degree", xs or XS, ["std"] if draws else [])
     return frame, found, R.fit(found, alpha=alpha)["all"]
 
 
@@ -219,7 +220,7 @@ def threshold_fits(spark, d):
     frame = run_sql(spark, d, f"""SELECT x.radius, f.std, f.degree, CASE WHEN 2 * x.yes > x.n THEN 1 ELSE 0 END AS treated, f.log_univ, f.log_station, f.log_junction FROM (
         SELECT q.radius, affil.std, sum(CASE WHEN m.distance <= q.radius THEN 1 ELSE 0 END) AS yes, count(m.distance) AS n FROM affil LEFT JOIN matches m ON m.raw = affil.raw CROSS JOIN {RADII} q GROUP BY q.radius, affil.std) x
         JOIN frame f ON f.std = x.std""").withColumn("radius", F.col("radius").cast("long"))
-    found = R.blocks(frame, "degree", XS, ["std"], group="radius")
+    found = R.blocks(frame, "degree", XS, [], group="radius")
     treated = _treated(found)
     rows = [(int(g), *_summary(f, treated[g])) for g, f in sorted(R.fit(found, alpha=1.0).items(), key=lambda x: int(x[0])) if treated[g] >= 5]
     return spark.createDataFrame(rows, f"radius long, {SUMMARY}")
@@ -231,7 +232,7 @@ def leave_one_out_fits(spark, d):
     counts = sorted((r.country, r.n, r.t) for r in frame.where("country is not null").groupBy("country").agg(F.count("*").alias("n"), F.sum("treated").alias("t")).collect())
     codes = spark.createDataFrame([(c, float(k)) for k, (c, _, _) in enumerate(counts)], "country string, code double")
     coded = frame.join(F.broadcast(codes), "country", "left").na.fill(-1.0, ["code"])  # a row a country
-    found = R.blocks(coded, "degree", XS, ["std"], extra=("code",))
+    found = R.blocks(coded, "degree", XS, [], extra=("code",))
     fits = R.fit(found, R.Draws("leave", len(counts), extra="code"), alpha=1.0)["all"]
     treated = _treated(found)["all"]
     rows = [(c, *_summary(fits, treated - t, k)) for k, (c, _, t) in enumerate(counts)]
@@ -246,7 +247,7 @@ def vintage_fits(spark, d):
     close = geo.within_radius(raw, spark_view(spark, d, "points"), "raw", "point", 5e5).groupBy("raw").agg(F.count("*").alias("close"))
     swap = spark_view(spark, d, "first_raw").join(close, "raw", "left").select("std", F.log1p(F.coalesce("close", F.lit(0)).cast("double")).alias("log_close"))
     frame = spec_frame(spark, d).where("spec in ('headline', 'cap_10', 'fractional')").join(swap, "std").drop("log_univ").withColumnRenamed("log_close", "log_univ")
-    found = R.blocks(frame, "degree", XS, ["std"], group="spec")
+    found = R.blocks(frame, "degree", XS, [], group="spec")
     fits, treated = R.fit(found), _treated(found)
     return spark.createDataFrame([(s, *_summary(f, treated[s]), _removed(fits, s)) for s, f in sorted(fits.items())], f"spec string, {SUMMARY}, log_effect_removed double")
 
@@ -277,7 +278,7 @@ def vif_model(spark, d):
 
 def tost(spark, d):
     """Equivalence of the label's rate ratio: normal and Student's form, and with the bootstrap's standard deviation."""
-    _, found, fits = _fitted(spark, d)
+    _, found, fits = _fitted(spark, d, draws=True)
     c, se, df = float(fits.coef[0, 1]), float(fits.se()[0, 1]), int(fits.n[0]) - len(XS) - 1
     boot = R.fit(found, R.Draws("bootstrap", SPEC_PERMUTATIONS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
     sd = _deviation(boot.coef[boot.converged, 1])
@@ -326,7 +327,7 @@ NULL = "scheme string, strata long, coef double, draws long, draws_dropped long,
 
 def label_permutation(spark, d):
     """The label dealt anew over all rows, the whole model refitted for each draw; p95 is the critical value."""
-    _, found, fits = _fitted(spark, d)
+    _, found, fits = _fitted(spark, d, draws=True)
     drawn = R.fit(found, R.Draws("permute", PERMUTATIONS, 17), alpha=float(fits.alpha[0]), start={"all": _start(fits)})["all"]
     return spark.createDataFrame([_null_row("unrestricted", 1, float(fits.coef[0, 1]), drawn)], NULL)
 
@@ -390,7 +391,7 @@ def residual_permutation(spark, d):
 
 
 def bootstrap_coef(spark, d):
-    _, found, fits = _fitted(spark, d)
+    _, found, fits = _fitted(spark, d, draws=True)
     drawn = R.fit(found, R.Draws("bootstrap", BOOTSTRAPS, 31), alpha=float(fits.alpha[0]), start={"all": fits.coef[0]})["all"]
     c = drawn.coef[drawn.converged, 1]
     return spark.createDataFrame([(len(c), int((~drawn.converged).sum()), *(_quantile(c, q) for q in (2.5, 97.5, 5, 95)), _deviation(c))], "reps long, dropped long, low double, high double, low90 double, high90 double, sd double")
@@ -445,7 +446,7 @@ def placebo_fits(spark, d):
     """Do random works take as much of the effect as the large ones do?  Full refits of each draw, against the cap of 6."""
     frame = _frame(spark, d)
     specs = spec_frame(spark, d, frame).where("spec in ('headline', 'cap_6')")
-    fits = R.fit(R.blocks(specs, "degree", XS, ["std"], group="spec"))
+    fits = R.fit(R.blocks(specs, "degree", XS, [], group="spec"))
     head, capped = float(fits["headline"].coef[0, 1]), float(fits["cap_6"].coef[0, 1])
     share = float(spark_view(spark, d, "sizes").agg(F.sum(F.expr("CASE WHEN k >= 6 THEN k * (k - 1) / 2 ELSE 0 END")) / F.sum(F.expr("k * (k - 1) / 2"))).first()[0])
     known = bool(fits["headline"].converged[0] and fits["cap_6"].converged[0] and head)
@@ -455,7 +456,7 @@ def placebo_fits(spark, d):
         if below is not None and share >= 1 - share:  # the small works can't make up the share
             continue
         cut, losses = _placebo(spark, d, frame, share, PLACEBO_FITS, seed, below)
-        found = R.blocks(losses, "degree", XS, ["std"], extra=("loss",))
+        found = R.blocks(losses, "degree", XS, [], extra=("loss",))
         got = R.fit(found, R.Draws("without", PLACEBO_FITS, extra="loss"), start={"all": fits["headline"].coef[0]})["all"]
         c = got.coef[got.converged, 1] if known else np.zeros(0)
         irr, removed = np.exp(c), 1 - c / head
@@ -511,7 +512,7 @@ def subsample_rows(spark, d, works: int = 5000, draws: int = 20, permutations: i
     """The four clauses of the decision in each draw of works, with everything refitted; draws without a fit have null clauses."""
     whole, capped = subsample_frames(spark, d, works, draws, cap, seed)
     found, under = (R.blocks(checkpointed(f), "degree", XS, ["std"], group="rep") for f in (whole, capped))
-    more = R.blocks(whole, "degree", [*XS, "log_papers"], ["std"], group="rep")
+    more = R.blocks(whole, "degree", [*XS, "log_papers"], [], group="rep")
     fits, productive, small = R.fit(found), R.fit(more), R.fit(under)
 
     def permuted(b: R.Blocks, f: dict, k: int) -> dict[str, float]:

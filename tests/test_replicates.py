@@ -71,6 +71,16 @@ def test_given_and_estimated_dispersion(data):
         assert log_likelihood(y, m, dense(y, m, other)[0], other) < best
 
 
+def test_blocks_without_an_order_fit_alike(data):
+    y, label, x, df = data
+    loose = R.blocks(df, "y", XS, [], leaf=64)
+    assert loose.strata == {("all", ""): (700, label.sum())} and loose.df.count() <= 11
+    got = R.fit(loose, alpha=0.7, leaf=64)["all"]
+    assert np.allclose(got.coef[0], dense(y, design(label, x), 0.7)[0], atol=1e-8) and got.n[0] == 700
+    with pytest.raises(ValueError):
+        R.fit(loose, R.Draws("permute", 3), alpha=1.0)
+
+
 def test_dispersion_by_group_and_diverged_groups(spark):
     parts, want = [], {}
     for g, (n, seed) in {"a": (300, 2), "b": (200, 3)}.items():
