@@ -2,10 +2,10 @@
 
 Texts are split into words; Spark counts the distinct words of the corpus, and those above a count
 threshold form the word table, in which each word is encoded once.  The threshold is the least for
-which the table has at most ``table_rows`` words, so the table can be broadcast whatever the corpus,
-and ids are joined back to the words' positions inside the tasks.  Words below the threshold are
-encoded where they are met, once while a worker's own bounded table lasts.  Decoding joins ids to
-pieces through the vocabulary, whose size is fixed.
+which the table has at most ``table_rows`` words, so it can be sent to the tasks whatever the corpus,
+where each word's place takes its ids by lookup, not by a Spark join.  Words below the threshold are
+encoded where they are met, once while a worker's own bounded table lasts.  Decoding looks ids up in
+the list of pieces, whose size is the vocabulary's.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""The ten operators on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+"""op1 to op10 on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
 import math
