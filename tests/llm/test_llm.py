@@ -185,6 +185,41 @@ def test_near_copies_equal_brute_force_below_08_and_on_short_texts(spark):
     assert got == {i: least[x] for (i, _), x in zip(rows, label)}
 
 
+def test_near_copies_among_look_alikes_equal_brute_force(spark, monkeypatch):
+    """Groups whose members are mostly below 0.8 to one another: no link is lost, whole groups or in blocks."""
+    r = random.Random(13)
+    rows = []
+    for g in range(8):
+        base = words(130, 900 + g).split()
+        for _ in range(40):
+            w = list(base)
+            for at in r.sample(range(130), r.choice([1, 2, 3, 4, 5])):
+                w[at] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows), rows[5][1].upper()), (len(rows) + 1, rows[5][1])]
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(set(label)) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (simhash.BLOCK, 2000):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {x.doc_id: x.component_id for x in simhash.near_dedup(df, **simhash.NEAR_COPIES).collect()}
+        assert got == {i: label[i] for i in range(len(rows))}
+
+
+def test_trie_join_where_with_many_equal_fingerprints(monkeypatch):
+    """Rows of one fingerprint are compared a bounded number of pairs at once; only pairs that hold are linked."""
+    monkeypatch.setattr(simhash, "CHUNK", 1000)
+    kind = np.arange(300) % 7
+    labels = simhash.Trie(np.zeros(300, int), np.full((300, 1), 5, np.uint64)).join_where(4, lambda i, j: kind[i] == kind[j])
+    assert (labels == kind).all()
+
+
 def test_embedding_vectors_link_among_their_own_length(spark):
     r = np.random.default_rng(2)
     a, b = r.standard_normal(16), r.standard_normal(5)
