@@ -405,8 +405,9 @@ def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, lo
     verified inside the tasks, which return only the links that joined components, so look-alikes below the
     similarity cost no rows.
     """
+    count = members.count()
     size = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
-    wanted = land(join_unique(members, size.withColumn("blocks", F.greatest("blocks", F.lit(1))), ["group"], "size", members.count()))
+    wanted = land(join_unique(members, size.withColumn("blocks", F.greatest("blocks", F.lit(1))), ["group"], "size", count))
     found = texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["id"]).select("group", "blocks", "id", "fp", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,12 +432,23 @@ def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, lo
         begin, end = ends[:-1][order], ends[1:][order]
         n = end - begin
 
+        code = np.unique(value, return_inverse=True)[1]
+        marked = np.zeros(len(value), bool)
+
         def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             good = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
-            for at in np.flatnonzero(good).tolist():
-                a, b = i[at], j[at]
-                shared = len(np.intersect1d(value[begin[a] : end[a]], value[begin[b] : end[b]], assume_unique=True))
-                good[at] = not n[a] + n[b] or shared / (n[a] + n[b] - shared) >= similarity
+            at = np.flatnonzero(good)
+            at = at[np.argsort(i[at], kind="stable")]
+            for some in np.split(at, np.flatnonzero(np.diff(i[at])) + 1) if len(at) else ():
+                this, others = i[some[0]], j[some]
+                own = code[begin[this] : end[this]]
+                marked[own] = True
+                for part in _parts(n[others]):
+                    pair, off = _expanded(n[others[part]])
+                    shared = np.bincount(pair[marked[code[begin[others[part]][pair] + off]]], minlength=len(others[part]))
+                    either = n[this] + n[others[part]] - shared
+                    good[some[part]] = shared >= similarity * either - 1e-9
+                marked[own] = False
             return good
 
         trie = Trie(cells[order], fps[order])
@@ -464,7 +476,8 @@ def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, lo
         if held:
             yield links(pa.Table.from_batches(held))
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    # The work goes with the pairs, not with the bytes, by which small tables are coalesced.
+    return rows.repartition(1 + count // 256, "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
