@@ -27,7 +27,6 @@ NIBBLE = np.array([[(a ^ b).bit_count() for b in range(16)] for a in range(16)],
 LEAVES = 4096  # node pairs with at most so many leaf pairs are compared leaf by leaf
 CHUNK = 1 << 18  # pairs handled at once
 BLOCK = 1 << 21  # shingles of a group that are held as one block
-KNOWN = 1 << 21  # shingle hashes that a verifying task keeps
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -118,7 +117,46 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int
     return rows.mapInArrow(run, f"doc_id {kind}, fp binary")
 
 
-class Trie:
+class Links:
+    """Components of rows; ``labels`` has for each the first row of its component, ``edges`` the links that joined components."""
+
+    def __init__(self, labels: np.ndarray, holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        self.labels, self.holds = labels, holds
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def union(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join the components of linked rows; a label is the smallest row of its component."""
+        labels = self.labels
+        while True:
+            a, b = labels[i], labels[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            top, at = np.unique(np.maximum(a, b), return_index=True)
+            labels[top] = np.minimum(a, b)[at]
+            self.edges.append((i[at], j[at]))
+            while True:
+                up = labels[labels]
+                if np.array_equal(up, labels):
+                    break
+                labels[:] = up
+
+    def union_where(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        """Ask about the nearest pairs first, few at once and then more, as each link spares others."""
+        order = np.argsort(d, kind="stable")
+        i, j, step = i[order], j[order], 64
+        while True:
+            apart = self.labels[i] != self.labels[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            good = self.holds(i[:step], j[:step])
+            self.union(i[:step][good], j[:step][good])
+            i, j, step = i[step:], j[step:], min(2 * step, 8192)
+
+
+class Trie(Links):
     """Tries over the rows of ``fps`` (n, words; unsigned, sorted by cell and value), one for each cell."""
 
     def __init__(self, cells: np.ndarray, fps: np.ndarray):
@@ -129,9 +167,7 @@ class Trie:
         new = np.ones(n, bool)
         new[1:] = cells[1:] != cells[:-1]
         self.new, self.starts = new, [np.flatnonzero(new)]
-        self.labels = np.arange(n)
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []  # the links that joined components
-        self.holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+        super().__init__(np.arange(n))
 
     def join_where(self, budget: int, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         """Labels after linking all rows of a cell within ``budget`` bits of which ``holds(i, j)`` is true.
@@ -141,19 +177,6 @@ class Trie:
         self.holds = holds
         return self.join(budget)
 
-    def _union_where(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        """Ask about the nearest pairs first, few at once and then more, as each link spares others."""
-        order = np.argsort(d, kind="stable")
-        i, j, step = i[order], j[order], 64
-        while True:
-            apart = self.labels[i] != self.labels[j]
-            i, j = i[apart], j[apart]
-            if not len(i):
-                return
-            good = self.holds(i[:step], j[:step])
-            self.union(i[:step][good], j[:step][good])
-            i, j, step = i[step:], j[step:], min(2 * step, 8192)
-
     def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """First row and end of each node whose prefix has ``depth`` nibbles."""
         while len(self.starts) <= depth:
@@ -164,24 +187,6 @@ class Trie:
         s = self.starts[depth]
         return s, np.append(s[1:], len(self.fps))
 
-    def union(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Join the components of linked rows; a label is the smallest row of its component."""
-        labels = self.labels
-        while True:
-            a, b = labels[i], labels[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            top, at = np.unique(np.maximum(a, b), return_index=True)
-            labels[top] = np.minimum(a, b)[at]
-            self.edges.append((i[at], j[at]))
-            while True:
-                up = labels[labels]
-                if np.array_equal(up, labels):
-                    break
-                labels[:] = up
-
     def join(self, budget: int) -> np.ndarray:
         """Labels after linking all rows of a cell within ``budget`` differing bits."""
         roots = np.arange(len(self.starts[0]))
@@ -237,7 +242,7 @@ class Trie:
                 if self.holds is None:
                     self.union(i, j)
                 else:
-                    self._union_where(i, j, d)
+                    self.union_where(i, j, d)
 
 
 def _parts(count: np.ndarray) -> list[slice]:
@@ -330,12 +335,9 @@ def near_links(distinct: DataFrame, words: int, budget: int, parts: list[np.ndar
 
 
 def signatures(texts: DataFrame, k: int, words: int, similarity: float, short: int) -> DataFrame:
-    """(doc_id, sha, shingles, fp, n, prefix) of rows (doc_id, sha, text): n different shingles and, of up to ``short``, the first by hash.
+    """(doc_id, sha, shingles, fp, n, prefix) of rows (doc_id, sha, text): n different shingles and, of up to ``short``, the whole set by hash.
 
     ``shingles`` is a digest of the whole set.
-
-    Two sets of Jaccard similarity ``similarity`` share at least that part of the larger one, so the
-    first n - ceil(similarity * n) + 1 of both have a shingle in common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +349,7 @@ def signatures(texts: DataFrame, k: int, words: int, similarity: float, short: i
                 n = len(one)
                 sizes.append(n)
                 digests.append(hashlib.sha256(one.tobytes()).digest())
-                prefixes.append(one[: n - math.ceil(similarity * n - 1e-9) + 1 if n <= short else 0].view(np.int64))
+                prefixes.append(one[: n if n <= short else 0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "sha", "shingles", "fp", "n", "prefix"],
@@ -358,32 +360,39 @@ def signatures(texts: DataFrame, k: int, words: int, similarity: float, short: i
 
 
 def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v) of rows (shingle, id, n, component) of equal shingle, other components and fitting sizes."""
+    """Links (u, v) of rows (shingle, id, n, component, members) of equal shingle, other components and the similarity or more.
+
+    ``members`` is the row's whole set, so pairs are verified where they are formed, and only links that join components come back.
+    """
 
-    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((n, cell))
-        cell, ids, n, component = cell[order], ids[order], n[order], component[order]
+        cell, ids, n, component, members = cell[order], ids[order], n[order], component[order], members[order]
         new = np.append(True, cell[1:] != cell[:-1])
         starts, number = np.flatnonzero(new), np.cumsum(new) - 1
         mixed = (np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts))[number]
-        ids, n, component, number = ids[mixed], n[mixed], component[mixed], number[mixed]
+        ids, n, component, number, members = ids[mixed], n[mixed], component[mixed], number[mixed], members[mixed]
+        if not len(ids):
+            return
+        end = np.cumsum(n)
+        _, least, kind = np.unique(component, return_index=True, return_inverse=True)
+        found = Links(least[kind], similar(np.concatenate(members), end - n, end, similarity))
         key = (number << 32) + n
         count = np.searchsorted(key, (number << 32) + np.floor(n / similarity + 1e-6).astype(np.int64), "right") - np.arange(len(key)) - 1
         for part in _parts(count):
             i, off = _expanded(count[part])
             i = i + part.start
             j = i + 1 + off
-            apart = component[i] != component[j]
-            i, j = ids[i[apart]], ids[j[apart]]
-            both = np.unique(np.column_stack([np.minimum(i, j), np.maximum(i, j)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+            found.union_where(i, j, np.zeros(len(i), np.int16))
+        for i, j in found.edges:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if held[0][0][0] == held[-1][0][-1] or sum(len(h[0]) for h in held) < 40_000:
                 continue
             all_ = [np.concatenate(x) for x in zip(*held)]
@@ -393,10 +402,35 @@ def sharing_pairs(cells: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
-    rows = cells.select("shingle", "id", "n", "component").repartition("shingle").sortWithinPartitions("shingle")
+    rows = cells.select("shingle", "id", "n", "component", "members").repartition("shingle").sortWithinPartitions("shingle")
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
+def similar(value: np.ndarray, begin: np.ndarray, end: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of rows (i, j) of sets ``value[begin:end]`` have the Jaccard similarity or more."""
+    n = end - begin
+    code = np.unique(value, return_inverse=True)[1]
+    marked = np.zeros(len(value), bool)
+
+    def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+        at = np.flatnonzero(good)
+        at = at[np.argsort(i[at], kind="stable")]
+        for some in np.split(at, np.flatnonzero(np.diff(i[at])) + 1) if len(at) else ():
+            this, others = i[some[0]], j[some]
+            own = code[begin[this] : end[this]]
+            marked[own] = True
+            for part in _parts(n[others]):
+                pair, off = _expanded(n[others[part]])
+                shared = np.bincount(pair[marked[code[begin[others[part]][pair] + off]]], minlength=len(others[part]))
+                either = n[this] + n[others[part]] - shared
+                good[some[part]] = shared >= similarity * either - 1e-9
+            marked[own] = False
+        return good
+
+    return holds
+
+
 def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, loose: int, similarity: float) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of one ``group`` within ``loose`` bits and of the Jaccard similarity or more.
 
@@ -430,29 +464,8 @@ def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, lo
         flat = pa.concat_arrays(dealt.column(3).chunks)
         ends, value = flat.offsets.to_numpy(), flat.values.to_numpy()
         begin, end = ends[:-1][order], ends[1:][order]
-        n = end - begin
-
-        code = np.unique(value, return_inverse=True)[1]
-        marked = np.zeros(len(value), bool)
-
-        def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            good = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
-            at = np.flatnonzero(good)
-            at = at[np.argsort(i[at], kind="stable")]
-            for some in np.split(at, np.flatnonzero(np.diff(i[at])) + 1) if len(at) else ():
-                this, others = i[some[0]], j[some]
-                own = code[begin[this] : end[this]]
-                marked[own] = True
-                for part in _parts(n[others]):
-                    pair, off = _expanded(n[others[part]])
-                    shared = np.bincount(pair[marked[code[begin[others[part]][pair] + off]]], minlength=len(others[part]))
-                    either = n[this] + n[others[part]] - shared
-                    good[some[part]] = shared >= similarity * either - 1e-9
-                marked[own] = False
-            return good
-
         trie = Trie(cells[order], fps[order])
-        trie.join_where(loose, holds)
+        trie.join_where(loose, similar(value, begin, end, similarity))
         i, j = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *trie.edges))
         ids = ids[order]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["u", "v"])
@@ -480,48 +493,6 @@ def verified_within(members: DataFrame, texts: DataFrame, k: int, words: int, lo
     return rows.repartition(1 + count // 256, "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids of ``one`` (id, sha) whose texts' k-word shingle sets have the Jaccard similarity or more.
-
-    A task keeps the sets of the texts that it met last, as members of a dense group meet often.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
-
-        def shingles(of: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal held
-            if of not in known:
-                if held > KNOWN:
-                    known.clear()
-                    held = 0
-                known[of] = shingle_set(text.as_py(), k)
-                held += len(known[of])
-            return known[of]
-
-        for batch in batches:
-            keep = []
-            for u, v, this, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                a, b = shingles(u, this), shingles(v, other)
-                if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
-                    keep.append(False)
-                    continue
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                either = len(a) + len(b) - shared
-                keep.append(not either or shared / either >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    # The work goes with the pairs, not with their bytes, by which small tables are coalesced.
-    pairs = pairs.repartition(1 + pairs.count() // 16384, "u")
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(one.select("id", "sha"), "id")
-    wanted = land(wanted)  # of known size now: a small table is broadcast, and the texts stay where they are
-    found = land(texts.select("sha", "text").join(wanted, "sha").dropDuplicates(["id"]).select("id", "text"))
-    rows = pairs.join(found.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    rows = rows.join(found.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1, budget: int = 4,
     distinct: bool = False, similarity: float | None = None, short: int = 40, missed: float = 0.003,
@@ -579,9 +550,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, bu
     parts = components(land(verified_within(members, texts, k, words, budget, similarity).distinct()))
 
     cells = one.where("size(prefix) > 0").select("id", "n", "prefix").join(parts, "id", "left")
-    cells = cells.select(F.explode("prefix").alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"))
-    more = land(sharing_pairs(cells, similarity))
-    parts = _grown(parts, land(verified(more, one, texts, k, similarity)))
+    # Two sets of the similarity share at least that part of the larger one: the first n - ceil(similarity * n) + 1 have one in common.
+    head = F.expr(f"slice(prefix, 1, cast(n - ceil({similarity} * n - 1e-9) + 1 as int))")
+    cells = cells.select(F.explode(head).alias("shingle"), "id", "n", F.coalesce("component", "id").alias("component"), F.col("prefix").alias("members"))
+    parts = _grown(parts, land(sharing_pairs(cells, similarity)))
 
     named = _named(one.select("id", "shingles", "least", "times"), parts)
     return join_unique(rows.select("doc_id", "shingles", "fp"), named.select("shingles", "component_id", "times"), ["shingles"], "times", rows.count()).select("doc_id", "fp", "component_id")
