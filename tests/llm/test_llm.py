@@ -533,3 +533,21 @@ def test_url_trees_are_each_hosts_own(spark):
     alone = {r.url: r for r in url_filter.url_filter(pages.where("url like 'http://mix.com/%'"), rules).join(pages, "page_id").collect()}
     assert all(said[u] == r.verdict for u, r in alone.items())
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
+
+
+def test_urls_that_end_at_a_node_are_one_of_its_branches(spark, tmp_path):
+    import duckdb
+
+    # Host 1/5 = .2, first branch (1 + 4 x .2) / 5 = .36, second .488; /en/1/ goes on from there, merged with the
+    # urls that end: (1 + 4 x .488) / 5 = .5904.
+    urls = [f"http://a.com/{x}" for x in ("de/1", "en/2", "en/3.html", "es/4", "en/5/")]
+    r = random.Random(14)
+    urls += [f"http://h{h}.com/" + "/".join(r.choices(["de", "en", "fr", "1", ""], k=r.randint(1, 4))) for h in range(80) for _ in range(r.randint(2, 30))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: tuple(x) for x in url_filter.url_filter(pages).collect()}
+    assert [got[i][4] for i in range(5)] == ["block", "allow", "allow", "allow", "block"]
+    pages.write.parquet(str(tmp_path / "p"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/p/*.parquet'")
+    assert {x[0]: x for x in c.execute(f"select page_id, host, path, rule, verdict from ({url_filter.SQL})").fetchall()} == got
+    assert len(got) == len(urls)
