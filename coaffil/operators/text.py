@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .network import checkpointed
+
 #: Words that mark the institution's part of an address; fixed values.
 INSTITUTION_WORDS = ["univ", "institut", "college", "laborator", "centre", "center", "school", "hospital", "academ"]
+#: Rows of a level of a closure that are broadcast, 16 bytes each.
+SMALL_LEVEL = 1 << 16
 
 
 def flatten_nested(works: DataFrame) -> DataFrame:
@@ -55,3 +59,21 @@ def results_flat(results: DataFrame, metrics: list[str]) -> DataFrame:
 def new_keys(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``batch`` that ``done`` lacks; null keys are left out."""
     return batch.where(F.col(key).isNotNull()).select(key).distinct().join(done.select(key), key, "left_anti")
+
+
+def closure(children: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth): ``roots`` (id) at depth 0, and the rows of ``children`` (id, parent) under them, level by level until one is empty.
+
+    Rows that repeat count as often as they do in a recursive union; there is no limit of rows or
+    levels.  The parents must not form a cycle.
+    """
+    # Landed, so that Catalyst doesn't carry each level's conditions on into the next one's.
+    children = checkpointed(children.select("id", "parent"))
+    level = checkpointed(roots.select("id", F.lit(0).cast("long").alias("depth")))
+    found = level
+    while n := level.count():
+        above = level.select(F.col("id").alias("parent"), "depth")
+        above = F.broadcast(above) if n <= SMALL_LEVEL else above
+        level = checkpointed(children.join(above, "parent").select("id", (F.col("depth") + 1).alias("depth")))
+        found = found.unionByName(level)
+    return found

@@ -330,3 +330,18 @@ def test_drawn_works_are_exactly_so_many(spark):
     assert len(got) == 20 and {r.dropped for r in got} == {137}
     sums = exclusion.picked_sums(units, ["ti"], exclusion.cuts(units, 20, 0.0, 3, goal=137), 20, 3).collect()
     assert len(sums) == 20 and {r.ti for r in sums} == {137.0}
+
+
+def test_closure_has_no_limit_of_levels_or_rows(spark):
+    chain = spark.range(1, 130).select("id", (F.col("id") - 1).alias("parent"))
+    twice = spark.createDataFrame([(500, 129), (500, 129), (501, 500), (900, 800)], "id long, parent long")
+    got = sorted(tuple(r) for r in text.closure(chain.unionByName(twice), spark.createDataFrame([(0,)], "id long")).collect())
+    assert got == [(i, i) for i in range(130)] + [(500, 130), (500, 130), (501, 131), (501, 131)]
+
+
+def test_class_closure_of_more_rows_than_a_recursive_query_may_have(spark, tmp_path):
+    from coaffil.plans.frame_queries import class_closure
+
+    spark.range(1_100_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    n, deep = class_closure(spark, str(tmp_path)).agg(F.count("*"), F.max("depth")).first()
+    assert (n, deep) == (1_099_998, 19)
