@@ -345,3 +345,28 @@ def test_class_closure_of_more_rows_than_a_recursive_query_may_have(spark, tmp_p
     spark.range(1_100_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     n, deep = class_closure(spark, str(tmp_path)).agg(F.count("*"), F.max("depth")).first()
     assert (n, deep) == (1_099_998, 19)
+
+
+def test_counts_and_least_distances_equal_brute_force(spark):
+    random.seed(3)
+    spots = [(random.uniform(-90, 90), random.uniform(-180, 180)) for _ in range(120)] + [(89.5, 10.0), (89.0, -170.0), (0.0, 179.95), (0.1, -179.95), (-90.0, 0.0), (90.0, 3.0), (0.0, 180.0), (0.0, -180.0)]
+    spots += [(random.gauss(48, 1), random.gauss(2, 1)) for _ in range(300)]
+    kinds = ["a", "b", None]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(9999, None, None)], "l long, lat double, lon double")
+    right = spark.createDataFrame([(i, *p, kinds[i % 3]) for i, p in enumerate(spots)] + [(9999, 1.0, None, "a")], "r long, lat double, lon double, kind string")
+    for radius, salted in ((3e5, {}), (2e6, {"most_left": 40, "most_right": 30}), (7e6, {}), (1.2e7, {})):
+        want = {}
+        for i, a in enumerate(spots):
+            for j, b in enumerate(spots):
+                if (d := _metres(a, b)) <= radius:
+                    n, least = want.get((i, kinds[j % 3]), (0, math.inf))
+                    want[i, kinds[j % 3]] = (n + 1, min(least, d))
+        got = {(x.l, x.category): (x.n, x.nearest) for x in geo.counted_within(left, right, "l", "r", radius, "kind", **salted).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
+def test_counting_forms_no_pairs(spark):
+    p = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") / 1e3).alias("lat"), (F.col("id") / 1e3).alias("lon"))
+    found = geo.counted_within(p, p, "k", "k", 2e6, nearest=False)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.agg(F.sum("n")).first()[0] == 4000**2
