@@ -370,3 +370,24 @@ def test_counting_forms_no_pairs(spark):
     p = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") / 1e3).alias("lat"), (F.col("id") / 1e3).alias("lon"))
     found = geo.counted_within(p, p, "k", "k", 2e6, nearest=False)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.agg(F.sum("n")).first()[0] == 4000**2
+
+
+def test_counts_of_neighbours_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(network, "BLOCK", 4)
+    random.seed(8)
+    rows = [(random.choice([1, 2, 3, 4, 5, 6, 7, 8, None]), random.choice([*range(12), None]), random.choice("xyz")) for _ in range(60)]
+    rows += [(50, e, "x") for e in range(11)] + [(51, 99, None), (52, 98, "x"), (52, 98, "x")]
+    got = {r.std: r.asDict() for r in network.ego_counts(spark.createDataFrame(rows, "paper long, std long, author string"), "paper", "std", (3, 6), "author").collect()}
+    works = {}
+    for w, e, a in rows:
+        works.setdefault(w, {}).setdefault(e, set()).add(a)
+    for std in {e for _, e, _ in rows if e is not None}:
+        mine = {w: m for w, m in works.items() if std in m}
+        near = lambda test: {o for w, m in mine.items() if w is not None and test(m) for o in m if o not in (None, std)}
+        dual = lambda m, o: len(m[std] - {None}) == 1 and m[std] - {None} == m[o] - {None}
+        kept = {o for w, m in mine.items() if w is not None for o in m if o not in (None, std) and not dual(m, o)}
+        want = {
+            "std": std, "degree": len(near(lambda m: True)), "papers": len(mine), "fractional": float(sum(w is not None and len(set(m) - {None}) >= 2 for w, m in mine.items())),
+            "least_k": min((len(m) for w, m in mine.items() if w is not None), default=None), "d3": len(near(lambda m: len(m) < 3)), "d6": len(near(lambda m: len(m) < 6)), "supported": len(kept),
+        }
+        assert got[std] == want
