@@ -53,3 +53,18 @@ def test_subsample_rows_have_all_clauses(spark):
     assert [r[0] for r in rows] == [1, 2] and all(len(r) == 15 for r in rows)
     for r in rows:
         assert r[11] is None or r[11] == (r[4] < 0.05 and r[3] > 1)
+
+
+def test_specifications_come_from_one_pass_over_the_works(spark, monkeypatch):
+    """Caps, fractions and author support used to be joined from pairs of their own each; now no pairs are formed."""
+    from coaffil.operators import network
+
+    def fail(*a, **k):
+        raise AssertionError("pairs of a work are formed again")
+
+    for name in ("row_pairs", "coaffil_edges", "author_supported_edges"):
+        monkeypatch.setattr(network, name, fail)
+    specs = M.spec_frame(spark, DATA)
+    assert specs.select("spec").distinct().count() == 8
+    one = {r.spec: r.s for r in specs.groupBy("spec").agg({"degree": "sum"}).withColumnRenamed("sum(degree)", "s").collect()}
+    assert one["cap_4"] <= one["cap_6"] <= one["headline"] and one["author_supported"] <= one["headline"]
