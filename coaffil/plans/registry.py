@@ -11,7 +11,7 @@ from .views import run_sql, with_views
 
 def queries() -> dict:
     found = {name: partial(run_sql, sql=sql) for name, sql in SQL.items()}
-    return found | frame_queries.QUERIES | model_queries.QUERIES | model_queries.PAIRED_QUERIES
+    return found | frame_queries.QUERIES | model_queries.QUERIES | model_queries.DRAWN_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -391,3 +391,43 @@ def test_counts_of_neighbours_equal_brute_force(spark, monkeypatch):
             "least_k": min((len(m) for w, m in mine.items() if w is not None), default=None), "d3": len(near(lambda m: len(m) < 3)), "d6": len(near(lambda m: len(m) < 6)), "supported": len(kept),
         }
         assert got[std] == want
+
+
+def test_stratified_draws_equal_brute_force(spark):
+    from coaffil.operators import exclusion
+
+    random.seed(4)
+    rows = [(k, int(random.random() < 0.2), random.randrange(30), random.choice(["x", "y", None]), "all" if k else "one") for k in range(3000)]
+    df = spark.createDataFrame(rows, "paper long, treated int, degree int, a string, b string")
+    for window in (6.0, 0.01):  # cuts inside the window, and beyond it
+        got = {(r.strata, r.rep): (r.n1, r.s1, r.n, r.s) for r in exclusion.stratified_sums(df, ["a", "b"], 5, 17, window=window).collect()}
+        u = exclusion.mixed(np.arange(3000), np.arange(1, 6), 17)
+        for name, at in (("a", 3), ("b", 4)):
+            for rep in range(1, 6):
+                n1 = s1 = 0
+                for g in {r[at] for r in rows}:
+                    own = sorted((r for r in rows if r[at] == g), key=lambda r: (u[r[0], rep - 1], r[0]))
+                    chosen = own[: sum(r[1] for r in own)]
+                    n1, s1 = n1 + len(chosen), s1 + sum(r[2] for r in chosen)
+                assert got[name, rep] == (n1, s1, 3000, sum(r[2] for r in rows))
+
+
+def test_betweenness_packs_the_graph_outside_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def fail(*a, **k):
+        raise AssertionError("the edges are collected as a table")
+
+    random.seed(6)
+    pairs = {(i, j): random.randint(1, 3) for i in range(30) for j in range(i + 1, 30) if random.random() < 0.2 and (i < 18) == (j < 18)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a long, b long, weight long")
+    want = {r.id: r.betweenness for r in network.betweenness_centrality(edges, max_bytes=0).collect()}
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(edges), name, fail)
+        monkeypatch.setattr(DataFrame, name, fail)
+    got = {r.id: r.betweenness for r in network.betweenness_centrality(edges).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    source, weight, first = network._adjacency(edges.selectExpr("int(a) u", "int(b) v", "float(weight) w"), 30, 2 * len(pairs))
+    for v in range(30):
+        at = slice(first[v], first[v + 1] if v < 29 else None)
+        assert sorted(zip(source[at].tolist(), weight[at].tolist())) == sorted((a if b == v else b, float(w)) for (a, b), w in pairs.items() if v in (a, b))
